@@ -55,15 +55,13 @@ class HashSet:
     def __init__(self, windows: DataFrame, most_windows: int = MOST_WINDOWS):
         self.windows = windows
         distinct = windows.select("n", "window", "hash", "head").distinct()
-        self.small = distinct.limit(most_windows + 1).count() <= most_windows
-        self.lengths = sorted(r[0] for r in distinct.select("n").distinct().collect())
+        rows = distinct.limit(most_windows + 1).collect()
+        self.small = len(rows) <= most_windows
+        self.lengths = sorted({r["n"] for r in rows} if self.small else {r[0] for r in windows.select("n").distinct().collect()})
         self.sets: dict[int, tuple[set, set, set]] = {}
-        if self.small:
-            for r in distinct.toLocalIterator():
-                heads, hashes, texts = self.sets.setdefault(r["n"], (set(), set(), set()))
-                heads.add(r["head"])
-                hashes.add(r["hash"])
-                texts.add(r["window"])
+        for r in rows if self.small else ():
+            for known, value in zip(self.sets.setdefault(r["n"], (set(), set(), set())), (r["head"], r["hash"], r["window"]), strict=True):
+                known.add(value)
 
     def starts(self, array: str, n: int) -> str:
         """SQL of the positions in an array of words where a window of n words starts, verified by its text."""
@@ -81,8 +79,11 @@ def _spread(starts: str, n: int) -> str:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """docs' columns but `text`, and words (its words), hits (array of struct(window, n, at): verified windows of the
     benchmark), hit (distinct positions of words inside them). Columns of those names in docs are replaced."""
+    return _scan(docs, HashSet(materialise(benchmark_windows(benchmark, window), "windows"), most_windows))
+
+
+def _scan(docs: DataFrame, found: HashSet) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "words", "hits", "hit")]
-    found = HashSet(materialise(benchmark_windows(benchmark, window), "windows"), most_windows)
     df = docs.select(*[F.col(f"`{c}`") for c in kept], words(F.col("text")).alias("words"))
     none = F.expr("cast(array() as array<struct<window:string, n:int, at:int>>)")
     if not found.small:
@@ -114,7 +115,7 @@ def _joined(df: DataFrame, found: HashSet, kept: list[str]) -> DataFrame:
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids, as strings, of the items hit): a row for each document."""
     windows = materialise(benchmark_windows(benchmark, window), "windows")
-    scanned = scan(docs.select("doc_id", "text"), benchmark, window, most_windows).select(
+    scanned = _scan(docs.select("doc_id", "text"), HashSet(windows, most_windows)).select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.size("hit").cast("long").alias("n_hit"),

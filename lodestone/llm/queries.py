@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, mix, simhash
+from lodestone.llm import chat, decontam, mix, simhash, tokens
 from lodestone.llm.common import table
 
 
@@ -13,6 +13,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(spark, tokens.write(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -47,6 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_token_shards": op3_token_shards,
     "op6_decontaminate": op6_decontaminate,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
