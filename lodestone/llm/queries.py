@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, mix, simhash, tokens
-from lodestone.llm.common import table
+from lodestone.llm import chat, decontam, langid, mix, quality, rules, simhash, tokens
+from lodestone.llm.common import id_mod, table
+
+
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.KEEP_SCORE).cast("int").alias("predicted"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +28,11 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, tokens.write(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,6 +45,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, docs.filter(langid.training_fold()))
+    return found.select("doc_id", (id_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(r"SELECT * FROM VALUES (-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -56,9 +72,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_gam": op1_quality_gam,
     "op2_mix_sources": op2_mix_sources,
     "op3_token_shards": op3_token_shards,
+    "op4_quality_rules": op4_quality_rules,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language": op7_language,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
 }
