@@ -33,6 +33,29 @@ SELECT doc_id, size, source_size, target,
 FROM g
 """
 
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+b AS (SELECT *, length(x) // 2 AS n FROM d),
+c AS (
+  SELECT r, doc_id, n, f, substr(x, 2 * f + 1, 1122) AS part
+  FROM (SELECT r, doc_id, x, n, unnest(generate_series(0, n - 50, 512)) AS f FROM b WHERE n >= 50 AND doc_id IS NOT NULL)),
+g AS (
+  SELECT r, doc_id, f + i AS i, md5_number(substr(part, 2 * i + 1, 100)) AS k
+  FROM (SELECT r, doc_id, f, part, unnest(generate_series(0, least(511, n - 50 - f))) AS i FROM c)),
+m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT r, i FROM g JOIN m USING (k) WHERE doc_id > least),
+o AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS j FROM s),
+w AS (SELECT r, i, sum(CASE WHEN j IS NULL OR i > j + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM o),
+v AS (SELECT r, span, min(i) AS a, max(i) + 50 AS z FROM w GROUP BY r, span),
+kept AS (
+  SELECT r, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS y,
+         sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans
+  FROM (SELECT v.*, x, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS prev FROM v JOIN b USING (r)) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM b LEFT JOIN kept USING (r)
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
@@ -72,4 +95,4 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op6_decontaminate": OP6, "op9_chat_format": OP9}
+ORACLES = {"op2_mix_sources": OP2, "op5_suffix_dedup": OP5, "op6_decontaminate": OP6, "op9_chat_format": OP9}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, langid, mix, quality, rules, simhash, tokens
+from lodestone.llm import chat, decontam, dedup_spans, langid, mix, quality, rules, simhash, tokens
 from lodestone.llm.common import id_mod, table
 
 
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -76,6 +80,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_shards": op3_token_shards,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
     "op9_chat_format": op9_chat_format,
