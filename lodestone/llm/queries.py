@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, dedup_spans, langid, mix, quality, rules, simhash, tokens
+from lodestone.llm import chat, decontam, dedup_spans, langid, lm, mix, quality, rules, simhash, tokens
 from lodestone.llm.common import id_mod, table
 
 
@@ -55,6 +55,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(r"SELECT * FROM VALUES (-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -83,6 +87,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_language": op7_language,
+    "op8_maxent_lm": op8_maxent_lm,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
 }
