@@ -16,7 +16,7 @@ A document is found by its shard's range, then with a few probes and one compari
 document is touched.
 
 Texts are cut where the byte-level pre-tokenizer always cuts: around runs of white space, whose last space goes with
-the word behind it. Each distinct piece is encoded once while a worker remembers it, many in one call with newlines
+the word behind it, and between ASCII letters, digits and marks. Each distinct piece is encoded once while a worker remembers it, many in one call with newlines
 between them. This gives the ids of the whole text; texts with white space beyond ASCII or with the tokenizer's added tokens are encoded whole.
 
 Edge cases: null or empty texts are the end id alone; a null id comes first, under a key of its own; rows with one
@@ -44,14 +44,19 @@ END_ID = 2
 #: Ids in a shard: it is closed when the next document would pass this.
 SHARD_IDS = 1 << 18
 #: UTF-8 bytes of texts encoded at a time, and distinct pieces remembered by a Python worker.
-BATCH_BYTES, MOST_PIECES = 8 << 20, 800_000
+BATCH_BYTES, MOST_PIECES = 8 << 20, 1_200_000
 #: Pieces that are encoded in one call.
 JOINED = 1000
 
 SHARD = "part int, shard int, first long, last long, before long, docs int, ids long, nulls int, keys binary, payload binary, index binary"
 _ODD_SPACE = regex.compile(r"[^\S\x09-\x0D\x20]")
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Of bytes: 0 white space, 1 letters, 2 digits, 3 marks that always end a run of letters or digits, 4 all others
+#: (apostrophes can begin a contraction; bytes beyond ASCII may be anything).
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[[b for b in range(33, 127) if b != 39]] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
 
 
 class Encoder:
@@ -107,8 +112,7 @@ class Encoder:
             if len(gaps) != len(part) - 1:
                 raise ValueError("a piece holds the newline's id")
             self._learn(ids[ids != self.newline], np.diff(np.concatenate([[-1], gaps, [len(ids)]])) - 1, part)
-        known = self.known
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, and how many each text has."""
@@ -120,16 +124,18 @@ class Encoder:
         sizes = np.array([len(p) for p in plain], np.int64)
         data = np.frombuffer(b"".join(plain), np.uint8)
         edges = np.cumsum(sizes)
-        space = _SPACE[data]
+        kind = _KIND[data]
+        space = kind == 0
         first = np.zeros(len(data), bool)
         first[(edges - sizes)[sizes > 0]] = True
-        after = np.zeros(len(data), bool)  # behind white space of the same text
-        after[1:] = space[:-1] & ~first[1:]
-        ends_run = np.zeros(len(data), bool)  # the last of a run with something behind it
-        ends_run[:-1] = space[:-1] & after[1:] & ~space[1:]
-        newline = np.zeros(len(data), bool)  # behind white space that doesn't go with a word
-        newline[1:] = after[1:] & (data[:-1] != 32)
-        at = np.flatnonzero(first | (space & (~after | ends_run)) | (newline & ~space))
+        begins = first.copy()
+        after = space[:-1] & ~first[1:]  # behind white space of the same text
+        now, before = space[1:], space[:-1]
+        begins[1:] |= now & ~before  # a run of white space
+        begins[1:-1] |= after[:-1] & now[:-1] & ~now[1:] & ~first[2:]  # the last of a longer run, if something follows
+        begins[1:] |= after & ~now & (data[:-1] != 32)  # a word behind white space that doesn't go with it
+        begins[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4) & ~now & ~before
+        at = np.flatnonzero(begins)
         owner = np.searchsorted(edges, at, side="right")
         per_text = np.zeros(len(texts), np.int64)
         if len(at):
@@ -138,7 +144,7 @@ class Encoder:
             codes = self._codes(cut.dictionary.to_pylist())[cut.indices.to_numpy()]
             n = self.lengths[codes]
             ends = np.cumsum(n)
-            ids = self.flat[np.repeat(self.starts[codes] - (ends - n), n) + np.arange(ends[-1])]
+            ids = self.flat[np.repeat((self.starts[codes] - (ends - n)).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
             per_text = np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
         else:
             ids = np.empty(0, np.uint32)
