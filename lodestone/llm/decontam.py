@@ -30,6 +30,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
+_WORDS_SQL = f"coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), r'{WORDS}', 0), cast(array() AS array<string>))"
+_NO_HITS = "cast(array() AS array<struct<window:string, n:int, at:int>>)"
+
+
 def _hash_sql(array: str, n: int) -> str:
     return f"xxhash64({', '.join(f'get({array}, i + {j})' for j in range(n))})"
 
@@ -84,22 +88,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windo
 
 def _scan(docs: DataFrame, found: HashSet) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "words", "hits", "hit")]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], words(F.col("text")).alias("words"))
-    none = F.expr("cast(array() as array<struct<window:string, n:int, at:int>>)")
-    if not found.small:
-        return _joined(df, found, kept)
+    df = docs.select(*[F.col(f"`{c}`") for c in kept], "text")
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.expr(_found_sql(found)).alias("found")).select(*[F.col(f"`{c}`") for c in kept], "found.*")
+
+
+def _found_sql(found: HashSet) -> str:
+    """SQL of struct(words, hits, hit). The words and the starts are bound by lambdas, not by columns: else a filter on
+    the result, which Catalyst moves below the projection, would cut the text into words again at each position."""
     if not found.lengths:
-        return df.select("*", none.alias("hits"), F.expr("cast(array() as array<int>)").alias("hit"))
-    for n in found.lengths:
-        df = df.withColumn(f"at_{n}", F.expr(found.starts("words", n)))
-    hits = [F.expr(f"transform(at_{n}, p -> struct(array_join(slice(words, p + 1, {n}), ' ') AS window, {n} AS n, int(p) AS at))") for n in found.lengths]
-    hit = F.array_distinct(F.concat(*[F.expr(_spread(f"at_{n}", n)) for n in found.lengths]))
-    return df.select(*[F.col(f"`{c}`") for c in kept], "words", F.concat(*hits).alias("hits"), hit.alias("hit"))
+        return f"struct({_WORDS_SQL} AS words, {_NO_HITS} AS hits, cast(array() AS array<int>) AS hit)"
+    starts = ", ".join(f"{found.starts('w', n)} AS at_{n}" for n in found.lengths)
+    hits = ", ".join(f"transform(a.at_{n}, p -> struct(array_join(slice(w, p + 1, {n}), ' ') AS window, {n} AS n, int(p) AS at))" for n in found.lengths)
+    hit = ", ".join(_spread(f"a.at_{n}", n) for n in found.lengths)
+    inner = f"transform(array(struct({starts})), a -> struct(w AS words, concat({hits}) AS hits, array_distinct(concat({hit})) AS hit))"
+    return f"get(flatten(transform(array({_WORDS_SQL}), w -> {inner})), 0)"
 
 
 def _joined(df: DataFrame, found: HashSet, kept: list[str]) -> DataFrame:
     """The way for a benchmark beyond the bound: the documents' windows, by hash, meet the benchmark's in a shuffle."""
-    df = materialise(df.withColumn("row", F.monotonically_increasing_id()), "words")
+    df = df.select(*[F.col(f"`{c}`") for c in kept], words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row"))
+    df = materialise(df, "words")
     every = None
     for n in found.lengths:
         cut = F.expr(f"CASE WHEN size(words) >= {n} THEN transform(sequence(0, size(words) - {n}), i -> struct({_hash_sql('words', n)} AS hash, array_join(slice(words, i + 1, {n}), ' ') AS window)) ELSE array() END")
@@ -107,7 +115,7 @@ def _joined(df: DataFrame, found: HashSet, kept: list[str]) -> DataFrame:
         every = part if every is None else every.unionByName(part)
     known = found.windows.select("n", "hash", "window").distinct()
     hits = every.join(known, ["n", "hash", "window"]).groupBy("row").agg(F.collect_list(F.struct("window", "n", "at")).alias("hits"))
-    out = df.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", F.expr("cast(array() as array<struct<window:string, n:int, at:int>>)")))
+    out = df.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
     hit = F.array_distinct(F.expr("flatten(transform(hits, h -> sequence(h.at, h.at + h.n - 1)))"))
     return out.select(*[F.col(f"`{c}`") for c in kept], "words", "hits", hit.alias("hit"))
 
