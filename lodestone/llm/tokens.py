@@ -44,19 +44,25 @@ END_ID = 2
 #: Ids in a shard: it is closed when the next document would pass this.
 SHARD_IDS = 1 << 18
 #: UTF-8 bytes of texts encoded at a time, and distinct pieces remembered by a Python worker.
-BATCH_BYTES, MOST_PIECES = 8 << 20, 1_200_000
+BATCH_BYTES, MOST_PIECES = 6 << 20, 1_000_000
 #: Pieces that are encoded in one call.
 JOINED = 1000
 
 SHARD = "part int, shard int, first long, last long, before long, docs int, ids long, nulls int, keys binary, payload binary, index binary"
 _ODD_SPACE = regex.compile(r"[^\S\x09-\x0D\x20]")
-#: Of bytes: 0 white space, 1 letters, 2 digits, 3 marks that always end a run of letters or digits, 4 all others
-#: (apostrophes can begin a contraction; bytes beyond ASCII may be anything).
-_KIND = np.full(256, 4, np.uint8)
-_KIND[[9, 10, 11, 12, 13, 32]] = 0
-_KIND[[b for b in range(33, 127) if b != 39]] = 3
-_KIND[[*range(65, 91), *range(97, 123)]] = 1
-_KIND[48:58] = 2
+#: Of bytes: 0 the space, 1 other white space, 2 letters, 3 digits, 4 marks that always end a run of letters or digits,
+#: 5 all others (apostrophes can begin a contraction; bytes beyond ASCII may be anything).
+_KIND = np.full(256, 5, np.uint8)
+_KIND[32] = 0
+_KIND[9:14] = 1
+_KIND[[b for b in range(33, 127) if b != 39]] = 4
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
+_KIND[48:58] = 3
+#: Whether a piece begins between two kinds (first times 6, plus second), runs of white space aside.
+_CUT = np.zeros(36, bool)
+for _a in range(6):
+    for _b in range(6):
+        _CUT[6 * _a + _b] = (_a > 1 >= _b) or (_a == 1 < _b) or (1 < _a < 5 and 1 < _b < 5 and _a != _b)
 
 
 class Encoder:
@@ -124,20 +130,18 @@ class Encoder:
         sizes = np.array([len(p) for p in plain], np.int64)
         data = np.frombuffer(b"".join(plain), np.uint8)
         edges = np.cumsum(sizes)
+        texts_at = (edges - sizes)[sizes > 0]
         kind = _KIND[data]
-        space = kind == 0
-        first = np.zeros(len(data), bool)
-        first[(edges - sizes)[sizes > 0]] = True
-        begins = first.copy()
-        after = space[:-1] & ~first[1:]  # behind white space of the same text
-        now, before = space[1:], space[:-1]
-        begins[1:] |= now & ~before  # a run of white space
-        begins[1:-1] |= after[:-1] & now[:-1] & ~now[1:] & ~first[2:]  # the last of a longer run, if something follows
-        begins[1:] |= after & ~now & (data[:-1] != 32)  # a word behind white space that doesn't go with it
-        begins[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4) & ~now & ~before
+        pair = kind[:-1] * np.uint8(6) + kind[1:]
+        begins = np.ones(len(data), bool)
+        begins[1:] = _CUT[pair]
+        run = np.flatnonzero((pair < 8) & (kind[1:] < 2)) + 1  # white space behind white space
+        begins[texts_at] = True
+        if len(run):  # the last of a run begins a piece if something of the same text follows
+            ends_text = np.isin(run + 1, edges)
+            follows = ~ends_text & (kind[np.minimum(run + 1, len(kind) - 1)] > 1)
+            begins[run] = follows | np.isin(run, texts_at)
         at = np.flatnonzero(begins)
-        owner = np.searchsorted(edges, at, side="right")
-        per_text = np.zeros(len(texts), np.int64)
         if len(at):
             offsets = np.append(at, len(data)).astype(np.int32)
             cut = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
@@ -145,9 +149,9 @@ class Encoder:
             n = self.lengths[codes]
             ends = np.cumsum(n)
             ids = self.flat[np.repeat((self.starts[codes] - (ends - n)).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
-            per_text = np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
+            per_text = np.diff(np.append(0, ends)[np.searchsorted(at, np.append(0, edges))])
         else:
-            ids = np.empty(0, np.uint32)
+            ids, per_text = np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         if odd:
             rows, split = self.whole([texts[i] for i in odd]), np.split(ids, np.cumsum(per_text)[:-1])
             for i, row in zip(odd, rows, strict=True):
