@@ -56,7 +56,7 @@ def small_pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 50
     links = numbered.join(out, "s").groupBy("d").agg(F.array_sort(F.collect_list(F.struct("s", (F.col("n") / F.col("out")).alias("share")))).alias("ins"))
     sent = out.agg(F.collect_set("s").alias("senders"))
     one = links.agg(F.map_from_entries(F.collect_list(F.struct("d", "ins"))).alias("ins")).crossJoin(names).crossJoin(sent)
-    rows = F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.struct(F.coalesce(F.try_element_at("ins", i.cast("long")), F.array().cast("array<struct<s:bigint,share:double>>")).alias("ins"), ~F.array_contains("senders", i.cast("long")).alias("dangling")))
+    rows = F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.struct(F.coalesce(F.try_element_at("ins", i.cast("long")), F.array().cast("array<struct<s:bigint,share:double>>")).alias("ins"), (~F.array_contains("senders", i.cast("long"))).alias("dangling")))
     one = one.select("names", rows.alias("rows"), F.size("names").alias("n"))
     start = F.transform("rows", lambda r: F.lit(1.0) / F.col("n"))
 
