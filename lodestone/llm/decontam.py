@@ -89,7 +89,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windo
 def _scan(docs: DataFrame, found: HashSet) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "words", "hits", "hit")]
     df = docs.select(*[F.col(f"`{c}`") for c in kept], "text")
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.expr(_found_sql(found)).alias("found")).select(*[F.col(f"`{c}`") for c in kept], "found.*")
+    if not found.small:
+        return _joined(df, found, kept)
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.expr(_found_sql(found)).alias("__found")).select(*[F.col(f"`{c}`") for c in kept], "__found.*")
 
 
 def _found_sql(found: HashSet) -> str:
@@ -106,16 +108,16 @@ def _found_sql(found: HashSet) -> str:
 
 def _joined(df: DataFrame, found: HashSet, kept: list[str]) -> DataFrame:
     """The way for a benchmark beyond the bound: the documents' windows, by hash, meet the benchmark's in a shuffle."""
-    df = df.select(*[F.col(f"`{c}`") for c in kept], words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row"))
+    df = df.select(*[F.col(f"`{c}`") for c in kept], words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("__n"))
     df = materialise(df, "words")
     every = None
     for n in found.lengths:
         cut = F.expr(f"CASE WHEN size(words) >= {n} THEN transform(sequence(0, size(words) - {n}), i -> struct({_hash_sql('words', n)} AS hash, array_join(slice(words, i + 1, {n}), ' ') AS window)) ELSE array() END")
-        part = df.select("row", F.posexplode(cut).alias("at", "w")).select("row", "at", F.lit(n).alias("n"), "w.hash", "w.window")
+        part = df.select("__n", F.posexplode(cut).alias("at", "w")).select("__n", "at", F.lit(n).alias("n"), "w.hash", "w.window")
         every = part if every is None else every.unionByName(part)
     known = found.windows.select("n", "hash", "window").distinct()
-    hits = every.join(known, ["n", "hash", "window"]).groupBy("row").agg(F.collect_list(F.struct("window", "n", "at")).alias("hits"))
-    out = df.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
+    hits = every.join(known, ["n", "hash", "window"]).groupBy("__n").agg(F.collect_list(F.struct("window", "n", "at")).alias("hits"))
+    out = df.join(hits, "__n", "left").withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
     hit = F.array_distinct(F.expr("flatten(transform(hits, h -> sequence(h.at, h.at + h.n - 1)))"))
     return out.select(*[F.col(f"`{c}`") for c in kept], "words", "hits", hit.alias("hit"))
 
@@ -142,15 +144,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """docs without contaminated documents (mode "documents"), or with the hit words cut out of their texts (mode "spans")."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
-    whole = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("__text"))
-    marked = scan(whole, benchmark, window, most_windows)
-    columns = [F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    marked = scan(docs.select(row, "text"), benchmark, window, most_windows)
+    own = [F.col("__row").getField(c).alias(c) for c in docs.columns]
     if mode == "documents":
-        return marked.filter(F.size("hit") == 0).select(*columns)
-    gaps = F.split("__text", WORDS)
-    own = F.regexp_extract_all("__text", F.lit(WORDS), F.lit(0))
-    marked = marked.withColumn("gaps", gaps).withColumn("own", own)
+        return marked.filter(F.size("hit") == 0).select(*own)
+    text = F.col("__row").getField("text")
+    marked = marked.withColumn("gaps", F.split(text, WORDS)).withColumn("own", F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)))
     pieces = F.transform("own", lambda w, i: F.concat(F.get("gaps", i), F.when(F.array_contains("hit", i), "").otherwise(w)))
     cut = F.concat(F.array_join(pieces, ""), F.element_at("gaps", -1))
-    columns = [F.when(F.size("hit") > 0, cut).otherwise(F.col("__text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*columns)
+    return marked.select(*[F.when(F.size("hit") > 0, cut).otherwise(text).alias("text") if c == "text" else x for c, x in zip(docs.columns, own, strict=True)])

@@ -162,12 +162,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE,
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """docs without all but one document of each component: the one of the smallest id stays. Of repeated rows that
-    share this id, one stays."""
+    share this id, one stays. The list of kept ids grows with the corpus, so it is never broadcast: a merge join has
+    the same plan at every size."""
     found = near_duplicates(docs, k, distance, blocks)
     kept = materialise(found.filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("doc_id").distinct(), "kept")
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
     repeated = materialise(docs.groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"), "repeated")
-    single = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*cols)
+    single = docs.alias("d").join(kept.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*cols)
     if repeated.isEmpty():
         return single
     rest = single.join(repeated, "doc_id", "left_anti").select(*docs.columns)
