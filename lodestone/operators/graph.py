@@ -15,9 +15,9 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return ends.groupBy("file").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, iterations: int = 50, cut_every: int = 10) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, iterations: int = 50) -> DataFrame:
     """file, in_degree, out_degree, pagerank. Edges are first summed by pair, so a step shuffles each pair once; dangling
-    nodes give to all. Lineage is cut by checkpoints, which executors share."""
+    nodes give to all. A step reads the last one's ranks three times, so each is cut by a checkpoint, which executors share."""
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
@@ -32,14 +32,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(stats.select(F.col("file").alias("src"), "out_degree"), "src")
     weighted = weighted.select("src", "dst", (F.col("n") / F.col("out_degree")).alias("share")).checkpoint()
     ranks = stats.select("file", (F.col("out_degree") == 0).alias("dangling"), F.lit(1.0 / n).alias("pagerank"))
-    for step in range(iterations):
+    for _ in range(iterations):
         inflow = weighted.join(ranks, F.col("src") == F.col("file")).groupBy("dst").agg(F.sum(F.col("share") * F.col("pagerank")).alias("inflow"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)).alias("lost"))
         moved = ranks.join(inflow, ranks["file"] == inflow["dst"], "left").crossJoin(F.broadcast(lost))
         new = (1 - damping) / n + damping * F.col("lost") / n + damping * F.coalesce("inflow", F.lit(0.0))
-        ranks = moved.select("file", "dangling", new.alias("pagerank"))
-        if step % cut_every == cut_every - 1:
-            ranks = ranks.checkpoint()
+        ranks = moved.select("file", "dangling", new.alias("pagerank")).checkpoint()
     return stats.join(ranks.select("file", "pagerank"), "file")
 
 

@@ -38,7 +38,7 @@ SYNTH = r"""syn AS (SELECT p_partkey AS id, p_retailprice AS price, p_name AS na
   WHEN 3 THEN 'web/dist/' || w || p_partkey || '.min.js' WHEN 4 THEN 'docs/RELEASE-v1.' || (p_partkey % 9) || '.md' ELSE 'src/' || w || '/' || w || (p_partkey % 5) || '.py' END AS path
   FROM (SELECT *, lower(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS w FROM part))"""
 TRIALS = """tr AS (SELECT (user_id % 6)::VARCHAR AS repo, user_id::VARCHAR AS task_id, 'any' AS effort, day AS trial, policy, round(v, 2) AS context_tokens, n AS tool_calls, v / n AS elapsed_seconds,
-  1 - ((user_id + day) % 10) / 40.0::DOUBLE AS task_completion_quality, (user_id + day) % 11 > 0 AS work_completed
+  1 - ((user_id + day) % 10) / 32.0::DOUBLE AS task_completion_quality, (user_id + day) % 11 > 0 AS work_completed
   FROM (SELECT user_id, day(ts)::INT AS day, event_type AS policy, sum(value) AS v, count(*) AS n FROM events GROUP BY ALL)),
 pol AS (SELECT event_type AS p, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events))"""
 PAIRS = """pr AS (SELECT t.repo, t.task_id, t.trial, t.context_tokens AS tt, b.context_tokens AS bt, t.task_completion_quality AS tq, b.task_completion_quality AS bq, t.work_completed AS tw, b.work_completed AS bw
@@ -137,8 +137,8 @@ ORACLES = {
     "paired_efficiency": f"""WITH {TRIALS}, {PAIRS}, g AS (SELECT count(*) AS pairs, avg(tq) + 0.02 >= avg(bq) AND avg(tw::INT) + 0.02 >= avg(bw::INT) AS ok FROM pr), m AS (SELECT count(*) AS n, quantile_cont(value, 0.25) AS p25, median(value) AS median, quantile_cont(value, 0.75) AS p75, count(DISTINCT repo) AS repos FROM tm), z AS (SELECT count(*) AS eligible, sum(bt) / sum(tt) AS ros FROM el)
       SELECT pairs, eligible, ok AND pairs > 0 AS quality_gate, n, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, round(ros, 6) AS ratio_of_sums, CASE WHEN ok AND pairs > 0 AND n >= 30 AND repos >= 3 AND eligible / pairs >= 0.8 THEN 'reportable' ELSE 'insufficient' END AS claim_status FROM g, m, z""",
     "repo_rollup": f"WITH {TRIALS}, {PAIRS} SELECT repo, count(*) AS tasks, round(median(value), 6) AS median FROM tm GROUP BY repo",
-    "policy_totals": f"WITH {TRIALS} SELECT policy, count(*) AS trials, round(sum(context_tokens), 2) AS context_tokens, sum(tool_calls)::BIGINT AS tool_calls, round(avg(elapsed_seconds), 6) AS mean_elapsed, round(avg(work_completed::INT), 6) AS completed, round(avg(task_completion_quality), 6) AS quality FROM tr GROUP BY policy",
-    "trial_collapse": f"WITH {TRIALS} SELECT policy, repo, task_id, round(median(context_tokens), 4) AS tokens, median(tool_calls) AS calls, round(median(elapsed_seconds), 6) AS elapsed, round(avg(task_completion_quality), 6) AS quality, bool_and(task_completion_quality >= 0.8) AS gate FROM tr GROUP BY ALL",
+    "policy_totals": f"WITH {TRIALS} SELECT policy, count(*) AS trials, round(sum(context_tokens), 2) AS context_tokens, sum(tool_calls)::BIGINT AS tool_calls, round(avg(elapsed_seconds), 6) AS mean_elapsed, round(avg(work_completed::INT), 6) AS completed, round(avg(task_completion_quality), 9) AS quality FROM tr GROUP BY policy",
+    "trial_collapse": f"WITH {TRIALS} SELECT policy, repo, task_id, round(median(context_tokens), 4) AS tokens, median(tool_calls) AS calls, round(median(elapsed_seconds), 6) AS elapsed, round(avg(task_completion_quality), 9) AS quality, bool_and(task_completion_quality >= 0.8) AS gate FROM tr GROUP BY ALL",
     "capacity_projection": f"WITH {CHUNKS}, w AS (SELECT source AS repo, count(*) AS chunks, sum(least(length(chunk), 7500))::BIGINT AS model_chars FROM c GROUP BY source), o AS (SELECT chunks AS c1, model_chars AS m1 FROM w WHERE repo = 'src1'), z AS (SELECT w.*, greatest(chunks / c1::DOUBLE, model_chars / m1::DOUBLE) AS l FROM w, o) SELECT repo, chunks, model_chars, round(l, 6) AS load_ratio, round(l * 29.469, 5) AS projected_seconds, l * 29.469 <= 40 AS within_limit FROM z",
     "mrr_hit_rate": rf"""WITH {FILES}, b AS (SELECT item_id, text, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{3,}}'), lambda y: lower(y)), lambda y: NOT list_contains(string_split('the a an is for to of and that this where what how does in on with from are be can do not it its as by at or but all any if when which who whose', ' '), y)) AS w FROM benchmark),
       o AS (SELECT item_id, y FROM (SELECT item_id, y, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM (SELECT item_id, y, min(i) AS i FROM (SELECT item_id, unnest(w) AS y, generate_subscripts(w, 1) AS i FROM b) GROUP BY item_id, y)) WHERE k <= 3),

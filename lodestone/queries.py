@@ -325,7 +325,7 @@ def trials(spark, d) -> DataFrame:
     one = e.groupBy(F.col("user_id"), day.alias("day"), F.col("event_type").alias("policy")).agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n"))
     return one.select(
         (F.col("user_id") % 6).cast("string").alias("repo"), F.col("user_id").cast("string").alias("task_id"), F.lit("any").alias("effort"), F.col("day").cast("int").alias("trial"), "policy",
-        F.round("v", 2).alias("context_tokens"), F.col("n").alias("tool_calls"), (F.col("v") / F.col("n")).alias("elapsed_seconds"), (1 - (F.col("user_id") + F.col("day")) % 10 / 40).alias("task_completion_quality"),
+        F.round("v", 2).alias("context_tokens"), F.col("n").alias("tool_calls"), (F.col("v") / F.col("n")).alias("elapsed_seconds"), (1 - (F.col("user_id") + F.col("day")) % 10 / 32).alias("task_completion_quality"),
         ((F.col("user_id") + F.col("day")) % 11 > 0).alias("work_completed"),
     )
 
@@ -354,12 +354,12 @@ def bootstrap_ci(spark, d):
 
 
 def policy_totals(spark, d):
-    return S.policy_totals(trials(spark, d)).select("policy", "trials", F.round("context_tokens", 2).alias("context_tokens"), "tool_calls", F.round("mean_elapsed", 6).alias("mean_elapsed"), F.round("completed", 6).alias("completed"), F.round("quality", 6).alias("quality"))
+    return S.policy_totals(trials(spark, d)).select("policy", "trials", F.round("context_tokens", 2).alias("context_tokens"), "tool_calls", F.round("mean_elapsed", 6).alias("mean_elapsed"), F.round("completed", 6).alias("completed"), F.round("quality", 9).alias("quality"))
 
 
 def trial_collapse(spark, d):
     rows = S.trial_collapse(trials(spark, d), F.col("task_completion_quality") >= 0.8)
-    return rows.select("policy", "repo", "task_id", F.round("tokens", 4).alias("tokens"), "calls", F.round("elapsed", 6).alias("elapsed"), F.round("quality", 6).alias("quality"), "gate")
+    return rows.select("policy", "repo", "task_id", F.round("tokens", 4).alias("tokens"), "calls", F.round("elapsed", 6).alias("elapsed"), F.round("quality", 9).alias("quality"), "gate")
 
 
 def capacity_projection(spark, d):
