@@ -99,7 +99,8 @@ ORACLES = {
     "rrf_fusion": f"WITH {SCORED}, a AS (SELECT id, row_number() OVER (ORDER BY semantic DESC, id) AS r FROM s ORDER BY r LIMIT 30), b AS (SELECT id, row_number() OVER (ORDER BY lexical DESC, id) AS r FROM s ORDER BY r LIMIT 30) SELECT coalesce(a.id, b.id) AS id, (a.id IS NOT NULL)::INT + (b.id IS NOT NULL)::INT AS channels, round(coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0), 9) AS score FROM a FULL JOIN b USING (id) ORDER BY coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) DESC, id LIMIT 20",
     "max_dedupe_union": f"WITH {SCORED}, u AS ((SELECT id, semantic AS score FROM s ORDER BY semantic DESC, id LIMIT 30) UNION ALL (SELECT id, lexical FROM s ORDER BY lexical DESC, id LIMIT 30)) SELECT id, round(max(score), 9) AS score FROM u GROUP BY id",
     "degree_stats": f"WITH {EDGES}, {DEG} SELECT * FROM deg",
-    "pagerank_trade": f"""WITH RECURSIVE {EDGES}, {DEG}, sz AS (SELECT count(*)::DOUBLE AS n FROM deg), w AS (SELECT src, dst, count(*)::DOUBLE / any_value(out_degree) AS share FROM e JOIN deg ON src = file GROUP BY src, dst),
+    "pagerank_trade": f"""WITH RECURSIVE {EDGES}, {DEG}, sz AS (SELECT count(*)::DOUBLE AS n FROM deg), w AS (SELECT src, dst, count(*)::DOUBLE / any_value(out_degree) AS share FROM e JOIN deg ON src = file GROUP BY src, dst
+        UNION ALL SELECT a.file, b.file, 1 / n FROM deg a, deg b, sz WHERE a.out_degree = 0 UNION ALL SELECT file, file, 0 FROM deg),
       pr AS (SELECT 0 AS step, file, 1 / n AS p FROM deg, sz UNION ALL SELECT step + 1, dst, 0.15 / any_value(n) + 0.85 * sum(share * p) FROM pr JOIN w ON src = file, sz WHERE step < 50 GROUP BY step, dst)
       SELECT file, round(p, 9) AS pagerank FROM pr WHERE step = 50""",
     "graph_tiebreak": f"""WITH {EDGES}, {DEG}, r AS (SELECT file AS id, 0.5 - floor(file / 4) * 0.004 AS score, in_degree / (SELECT sum(in_degree) FROM deg)::DOUBLE AS pr, row_number() OVER (ORDER BY 0.5 - floor(file / 4) * 0.004 DESC, file) AS k FROM deg),
