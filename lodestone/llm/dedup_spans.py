@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,10 @@ class Group:
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Payloads are compressed here, better than the shuffle would: contexts are text, and lie together."""
     to, back, payload = zip(*rows, strict=True) if rows else ((), (), ())
+    coder = zstandard.ZstdCompressor(level=3)
+    payload = [coder.compress(p) for p in payload]
     return pa.table({"to": pa.array(to, pa.int32()), "back": pa.array(back, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
@@ -177,7 +181,8 @@ def _by_place(hashes: np.ndarray, places: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _payloads(table: pa.Table) -> list[bytes]:
-    return [p.as_py() for p in table.column("payload")]
+    coder = zstandard.ZstdDecompressor()
+    return [coder.decompress(p.as_py()) for p in table.column("payload")]
 
 
 def anchors(table: pa.Table, places: int) -> pa.Table:
