@@ -157,4 +157,10 @@ ORACLES = {
       SELECT doc_id, lang AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS k FROM s) WHERE k = 1""",
     "expiring_index": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "stream_index_upsert": "SELECT 'doc_' || doc_id AS file, CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000 ELSE doc_id END AS version, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END AS n_chars FROM documents",
+    "ngram_centroid_whole": """WITH d AS (SELECT doc_id, lang, doc_id % 2 AS fold, lower(text) AS x FROM documents),
+      g AS (SELECT doc_id, lang, fold, x[i:i + 2] AS g, count(*) AS n FROM (SELECT *, unnest(generate_series(1, greatest(length(x) - 2, 1))) AS i FROM d) GROUP BY ALL),
+      c AS (SELECT 1 - fold AS fold, lang, g, sum(n)::DOUBLE AS w FROM g WHERE lang IS NOT NULL GROUP BY ALL), z AS (SELECT fold, lang, sqrt(sum(w * w)) AS len FROM c GROUP BY ALL),
+      s AS (SELECT doc_id, c.lang, sum(n * w) / any_value(len) AS score FROM g JOIN c USING (fold, g) JOIN z ON z.lang = c.lang AND z.fold = c.fold GROUP BY doc_id, c.lang),
+      b AS (SELECT doc_id, lang AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS k FROM s) WHERE k = 1)
+      SELECT doc_id, predicted FROM d LEFT JOIN b USING (doc_id)""",
 }

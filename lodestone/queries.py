@@ -412,6 +412,20 @@ def ngram_centroid(spark, d):
     return R.best_per_key(best, ["doc_id"], [F.desc(F.round("score", 9)), F.col("lang")]).select("doc_id", F.col("lang").alias("predicted"))
 
 
+def ngram_centroid_whole(spark, d):
+    """Language of every document by cosine with centroids of character trigrams of the other fold's whole texts (folds by
+    id). A text without a known trigram has no language."""
+    low = F.lower("text")
+    grams = F.when(F.char_length(low) < 3, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)).alias("fold"))
+    c = docs.filter("lang IS NOT NULL").select((1 - F.col("fold")).alias("fold"), "lang", F.explode(grams).alias("g")).groupBy("fold", "lang", "g").agg(F.count(F.lit(1)).alias("w"))
+    size = c.groupBy("fold", "lang").agg(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("len"))
+    dots = docs.select("doc_id", "fold", F.explode(grams).alias("g")).join(F.broadcast(c), ["fold", "g"]).groupBy("doc_id", "fold", "lang").agg(F.sum("w").alias("dot"))
+    best = dots.join(F.broadcast(size), ["fold", "lang"]).select("doc_id", "lang", (F.col("dot") / F.col("len")).alias("score"))
+    best = R.best_per_key(best, ["doc_id"], [F.desc(F.round("score", 9)), F.col("lang")]).select(F.col("doc_id").alias("id"), F.col("lang").alias("predicted"))
+    return docs.join(best, docs["doc_id"].eqNullSafe(best["id"]), "left").select("doc_id", "predicted")
+
+
 def expiring_index(spark, d):
     """Latest version of each key: events as writes, a user's last event by time and id."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("version"))
@@ -437,6 +451,6 @@ QUERIES = {
         unembedded_files, dim_filter, missing_files, index_stats, enrich_progress, tier_merge, source_type_prior, non_canonical_penalty, family_dedupe, folder_counts, group_budget,
         prefix_budget, metadata_topk, metadata_rerank, living_authority_filter, low_evidence_gate, shortcut_gate, content_scan, symbol_channel, symbol_boost, recall_lanes,
         agent_context, strict_verdict, interval_overlap_anchor, paired_efficiency, repo_rollup, bootstrap_ci, policy_totals, trial_collapse, capacity_projection, mrr_hit_rate,
-        intent_classify, focused_passages, ngram_centroid, expiring_index, stream_index_upsert,
+        intent_classify, focused_passages, ngram_centroid, expiring_index, stream_index_upsert, ngram_centroid_whole,
     )
 }
