@@ -163,4 +163,8 @@ ORACLES = {
       s AS (SELECT doc_id, c.lang, sum(n * w) / any_value(len) AS score FROM g JOIN c USING (fold, g) JOIN z ON z.lang = c.lang AND z.fold = c.fold GROUP BY doc_id, c.lang),
       b AS (SELECT doc_id, lang AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS k FROM s) WHERE k = 1)
       SELECT doc_id, predicted FROM d LEFT JOIN b USING (doc_id)""",
+    "intent_classify_whole": r"""WITH u AS (SELECT conv_id, turn, lower(text) AS q, text AS raw FROM conversations WHERE role = 'user'), w AS (SELECT *, regexp_extract_all(q, '[a-z][a-z0-9_]*') AS t FROM u)
+      SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'mixed' WHEN regexp_matches(q, 'find |where is|where''s|locate |show me|look for|search for|open ') OR regexp_matches(raw, '\b\w+\.(?:py|js|ts|tsx|rs|go|md|json|yaml|yml|toml|html|svg|pdf|docx|txt|sh|c|cpp|h|hpp|java|kt|swift|sql)\b') THEN 'filename'
+        WHEN list_has_any(t, string_split('how why what explain describe implement implementation logic behaviour behavior flow pipeline purpose reason decide decides handle handles process calls called invoked trigger triggers', ' ')) THEN 'semantic'
+        WHEN len(list_filter(t, lambda y: length(y) > 2)) >= 6 THEN 'semantic' WHEN len(list_filter(t, lambda y: length(y) > 2)) BETWEEN 1 AND 4 THEN 'lexical' ELSE 'mixed' END AS intent FROM w""",
 }

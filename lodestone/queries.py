@@ -394,6 +394,11 @@ def intent_classify(spark, d):
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", P.intent_column(F.substring("text", 1, 40)).alias("intent"))
 
 
+def intent_classify_whole(spark, d):
+    """Intents of whole user turns."""
+    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", P.intent_column(F.col("text")).alias("intent"))
+
+
 def focused_passages(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text", T.hit_count(["that", "the", "der"], F.col("text")).alias("hits")).filter("hits > 0")
     rows = rows.withColumn("size", F.char_length("text"))
@@ -451,6 +456,6 @@ QUERIES = {
         unembedded_files, dim_filter, missing_files, index_stats, enrich_progress, tier_merge, source_type_prior, non_canonical_penalty, family_dedupe, folder_counts, group_budget,
         prefix_budget, metadata_topk, metadata_rerank, living_authority_filter, low_evidence_gate, shortcut_gate, content_scan, symbol_channel, symbol_boost, recall_lanes,
         agent_context, strict_verdict, interval_overlap_anchor, paired_efficiency, repo_rollup, bootstrap_ci, policy_totals, trial_collapse, capacity_projection, mrr_hit_rate,
-        intent_classify, focused_passages, ngram_centroid, expiring_index, stream_index_upsert, ngram_centroid_whole,
+        intent_classify, focused_passages, ngram_centroid, expiring_index, stream_index_upsert, ngram_centroid_whole, intent_classify_whole,
     )
 }

@@ -12,3 +12,10 @@ def test_ngram_centroid_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.predicted for r in q.ngram_centroid_whole(spark, str(tmp_path)).collect()}
     assert got == {i: lang for i, _, lang in rows[:10]} | {11: None, 12: None}
+
+
+def test_intent_classify_whole(spark, tmp_path):
+    rows = [(1, 0, "user", "token refresh " + " " * 40 + "explain"), (1, 1, "assistant", "explain"), (2, 0, "user", "token" + " " * 40 + "in auth.py")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in q.intent_classify_whole(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, "semantic"), (2, 0, "filename")]
