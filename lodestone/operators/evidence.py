@@ -108,16 +108,15 @@ def low_evidence_gate(results: DataFrame, terms: list[str], floor: float = 0.5)
 def living_authority(results: DataFrame, query: str, score: str = "score", tie: str = "id") -> DataFrame:
     """If an unversioned policy document leads, only other authorities, files that aren't documents, and documents or
     versions that the query names stay."""
-    w = Window.partitionBy()
-    leader = F.max_by("path", F.struct(F.col(score), -F.col(tie))).over(w)
+    leader = results.agg(F.max_by("path", F.struct(F.col(score), -F.col(tie))).alias("__leader"))
     versions = T.version_tokens(T.basename(F.col("path")))
     words = [x for x in T.re.findall(r"[A-Za-z0-9]+", query.lower()) if len(x) >= 4]
     stem = F.filter(F.split(F.lower(F.regexp_replace(T.basename(F.col("path")), r"\.[^.]*$", "")), "[^a-z0-9]+"), lambda t: F.char_length(t) >= 4)
     named = F.arrays_overlap(stem, F.array(*map(F.lit, words))) if words else F.lit(False)
     known = F.arrays_overlap(versions, T.version_tokens(F.lit(query)))
     keep = ~T.is_document(F.col("path")) | T.is_authority(F.col("path")) | F.when(F.size(versions) > 0, known).otherwise(named)
-    marked = results.withColumn("__on", T.is_authority(leader)).withColumn("__keep", keep)
-    return marked.filter(~F.col("__on") | F.col("__keep")).drop("__on", "__keep")
+    marked = results.crossJoin(F.broadcast(leader)).withColumn("__on", T.is_authority(F.col("__leader"))).withColumn("__keep", keep)
+    return marked.filter(~F.col("__on") | F.col("__keep")).drop("__leader", "__on", "__keep")
 
 
 def shortcut_gate(hits: DataFrame, terms: int, most_terms: int = 6, most_files: int = 10, least_overlap: int = 2, most_folders: int = 2) -> DataFrame:

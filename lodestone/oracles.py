@@ -167,4 +167,5 @@ ORACLES = {
       SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'mixed' WHEN regexp_matches(q, 'find |where is|where''s|locate |show me|look for|search for|open ') OR regexp_matches(raw, '\b\w+\.(?:py|js|ts|tsx|rs|go|md|json|yaml|yml|toml|html|svg|pdf|docx|txt|sh|c|cpp|h|hpp|java|kt|swift|sql)\b') THEN 'filename'
         WHEN list_has_any(t, string_split('how why what explain describe implement implementation logic behaviour behavior flow pipeline purpose reason decide decides handle handles process calls called invoked trigger triggers', ' ')) THEN 'semantic'
         WHEN len(list_filter(t, lambda y: length(y) > 2)) >= 6 THEN 'semantic' WHEN len(list_filter(t, lambda y: length(y) > 2)) BETWEEN 1 AND 4 THEN 'lexical' ELSE 'mixed' END AS intent FROM w""",
+    "living_authority_all": rf"WITH {SYNTH} SELECT id, CASE WHEN id = 0 THEN 'docs/SECURITY.md' ELSE path END AS path FROM syn WHERE (id = 0 OR NOT path LIKE 'docs/%' OR path = 'docs/RELEASE-v1.4.md' OR path LIKE 'docs/guide\_%' ESCAPE '\')",
 }

@@ -262,6 +262,12 @@ def living_authority_filter(spark, d):
     return E.living_authority(rows, "how is release 1.4 secured").select("id", "path")
 
 
+def living_authority_all(spark, d):
+    """living_authority_filter over every row of `part`."""
+    rows = synthetic(spark, d).select("id", F.when(F.col("id") == 0, "docs/SECURITY.md").otherwise(F.col("path")).alias("path"), (1.0 / (F.col("id") + 1)).alias("score"))
+    return E.living_authority(rows, "how is release 1.4 secured").select("id", "path")
+
+
 def low_evidence_gate(spark, d):
     rows = R.top_k(scored(spark, d), 10, "lexical").select("id", "path", F.col("chunk").alias("snippet"), (F.col("semantic") * 0.1).alias("score"))
     return E.low_evidence_gate(rows, TERMS).select("id")
@@ -456,6 +462,6 @@ QUERIES = {
         unembedded_files, dim_filter, missing_files, index_stats, enrich_progress, tier_merge, source_type_prior, non_canonical_penalty, family_dedupe, folder_counts, group_budget,
         prefix_budget, metadata_topk, metadata_rerank, living_authority_filter, low_evidence_gate, shortcut_gate, content_scan, symbol_channel, symbol_boost, recall_lanes,
         agent_context, strict_verdict, interval_overlap_anchor, paired_efficiency, repo_rollup, bootstrap_ci, policy_totals, trial_collapse, capacity_projection, mrr_hit_rate,
-        intent_classify, focused_passages, ngram_centroid, expiring_index, stream_index_upsert, ngram_centroid_whole, intent_classify_whole,
+        intent_classify, focused_passages, ngram_centroid, expiring_index, stream_index_upsert, ngram_centroid_whole, intent_classify_whole, living_authority_all,
     )
 }

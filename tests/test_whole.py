@@ -19,3 +19,10 @@ def test_intent_classify_whole(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(tuple(r) for r in q.intent_classify_whole(spark, str(tmp_path)).collect())
     assert got == [(1, 0, "semantic"), (2, 0, "filename")]
+
+
+def test_living_authority_all(spark, tmp_path):
+    rows = [(i, f"part {i}", 1.0) for i in range(700)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.id for r in q.living_authority_all(spark, str(tmp_path)).collect()}
+    assert got == {i for i in range(700) if i == 0 or i % 7 != 4 or i % 9 == 4}
