@@ -16,12 +16,11 @@ So a passage of millions of documents costs each group one anchor and one contex
 
 Edge cases: a null text is empty; a document with a null id keeps all and takes nothing from others; rows with one id
 don't take from one another; texts under 50 bytes keep all; an empty table gives an empty result; extra columns are
-ignored.
+kept by `cut_spans`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from lodestone.llm.common import shuffle_buckets
 from lodestone.llm.suffix import common_prefixes, merge, sorted_suffixes, words_at
@@ -41,6 +41,7 @@ ROW = RUN + 1 + (-(RUN + 1)) % 8
 #: Bytes of text whose windows are computed at a time, and of contexts in one suffix array.
 CHUNK, SHARD = 2 << 20, 4 << 20
 FAR = np.uint64(2**64 - 1)
+SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())]))
 PACKED = "to int, back int, payload binary"
 
 
@@ -300,7 +301,7 @@ def _classes(rows: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def remove(table: pa.Table, known: pa.Table) -> pa.Table:
-    """A row for each document, without what the replies in `known` cover."""
+    """The documents, with the spans that the replies in `known` cover and the bytes that they leave."""
     group = Group(table)
     edge = np.zeros(int(group.sizes.sum()) + 1, np.int32)
     if len(known):
@@ -326,28 +327,44 @@ def remove(table: pa.Table, known: pa.Table) -> pa.Table:
         np.add.at(edge, place + a[told], 1)
         np.add.at(edge, place + b[told] + LENGTH, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    removed, spans, digests = [], [], []
+    spans, kept = [], []
     for raw, start, size in zip(group.raw, group.starts, group.sizes, strict=True):
         mine = gone[start : start + size]
-        k = int(np.count_nonzero(mine))
-        removed.append(k)
-        spans.append(int(mine[0]) + int(np.count_nonzero(mine[1:] & ~mine[:-1])) if k else 0)
-        digests.append(hashlib.sha256(np.frombuffer(raw, np.uint8)[~mine].tobytes() if k else raw).hexdigest())
-    columns = [group.ids, pa.array(group.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-    return pa.table(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        turns = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0))
+        spans.append([{"begin": int(b), "end": int(e)} for b, e in turns.reshape(-1, 2)])
+        kept.append(np.frombuffer(raw, np.uint8)[~mine].tobytes() if len(turns) else raw)
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    return table.drop_columns(["db"]).append_column("spans", pa.array(spans, kind)).append_column("kept", pa.array(kept, pa.binary()))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each document.
+def cut_spans(docs: DataFrame) -> DataFrame:
+    """docs' columns, then spans (the byte ranges of text that go: begin, and end behind the last) and kept (the bytes that
+    stay; a range may begin or end inside a character): a row for each document. Columns of these names are replaced.
 
-    One plan: the shuffle that groups the texts is planned three times and run once (exchange reuse).
+    One plan: the shuffle that groups the texts is planned three times and run once (exchange reuse). Other columns ride in it.
     """
     places = 2 * shuffle_buckets(docs.sparkSession)
     place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(places)).cast("int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("db"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "spans", "kept")]
+    rest = [F.struct(*others).alias("rest")] if others else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("db"), *rest)
     sent = texts.groupBy("db").applyInArrow(lambda t: anchors(t, places), PACKED)
     back = sent.groupBy("to").applyInArrow(shared, PACKED)
     cut = texts.groupBy("db").cogroup(back.groupBy("to")).applyInArrow(lambda t, r: contexts(t, r, places), PACKED)
     known = cut.groupBy("to").applyInArrow(match, PACKED)
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return texts.groupBy("db").cogroup(known.groupBy("to")).applyInArrow(remove, result)
+    result = texts.drop("db").schema.add("spans", SPANS).add("kept", BinaryType())
+    found = texts.groupBy("db").cogroup(known.groupBy("to")).applyInArrow(remove, result)
+    named = [F.col("rest").getField(c).alias(c) if c in others else F.col(c) for c in docs.columns if c not in ("spans", "kept")]
+    return found.select(*named, "spans", "kept")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of cut_spans: a row for each document."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return cut_spans(docs.select("doc_id", "text")).select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
