@@ -5,9 +5,9 @@ lower-case letters and single spaces. A whole text is cut into blocks, each bloc
 independent, so a long text can't become its own dictionary. The score grows with the margin to the runner-up, and a
 prediction whose margin is narrow is marked rejected.
 
-Sampling: rows of a language are taken by a hash of their id, as many as fill the dictionary; at most `sample_docs`
-of each language are expected on the driver, and of each no more than `DICT_BYTES` / `sample_docs` bytes, twice. Their number and
-size don't grow with the corpus.
+Sampling: rows of a language are taken by a hash of their id and text, `sample_docs` of each language as expected, or all
+if there are no more. They fill its dictionary together: a text gives all its letters up to a share that grows as there are
+fewer or shorter texts, and a longer one pieces from all over it. What reaches the driver doesn't grow with the corpus.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; null languages are no languages; ties go to
 the language with the most training rows, then the first by name; without training rows every text is `und`; repeated
@@ -32,6 +32,8 @@ DICT_BYTES, SAMPLE_DOCS, BLOCK, LEVEL = 96 << 10, 160, 2048, 6
 NARROW = 2.0
 #: How fast the score nears 1 with the margin in bytes.
 SHARP = 0.35
+#: Pieces that a text longer than its share gives.
+PIECES = 8
 UNKNOWN = "und"
 _NO_LETTERS = regex.compile(r"[^\p{L}]+")
 
@@ -41,14 +43,37 @@ def normalised(text: str) -> str:
     return _NO_LETTERS.sub(" ", text.lower()).strip()
 
 
+def fair_share(sizes: list[int], total: int) -> int:
+    """The share by which texts of some sizes, each cut to it, make up the total; the largest size if they can't."""
+    for i, n in enumerate(sorted(sizes)):
+        share = -(-total // (len(sizes) - i))
+        if n >= share:
+            return max(1, share)
+        total -= n
+    return max(sizes, default=1)
+
+
 def sample(training: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, tuple[int, list[str]]]:
-    """language -> its number of rows and texts of a bounded sample of them."""
-    rows = training.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
-    part = F.col("rows") * (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
-    some = rows.join(sized_broadcast(counts), "lang").filter(part < docs)
+    """language -> its number of rows and what a bounded sample of them gives for its dictionary: whole texts, or pieces
+    from all over those that are longer than their share of it."""
+    rows = training.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("h").alias("distinct")), "languages")
+    part = F.col("distinct") * (F.pmod("h", F.lit(1 << 30)) / float(1 << 30))
+    letters = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
+    some = rows.join(sized_broadcast(counts), "lang").filter(part < docs).dropDuplicates(["lang", "h"])
+    some = materialise(some.select("lang", "h", letters.alias("text")).withColumn("size", F.octet_length("text")), "sample")
     found: dict[str, tuple[int, list[str]]] = {r["lang"]: (r["rows"], []) for r in counts.collect()}
-    for r in some.select("lang", F.substring("text", 1, 2 * DICT_BYTES // docs).alias("text")).orderBy(F.xxhash64("doc_id"), "text").collect():
+    sizes: dict[str, list[int]] = {k: [] for k in found}
+    for r in some.select("lang", "size").collect():
+        sizes[r["lang"]].append(r["size"])
+    if not found:
+        return found
+    shares = some.sparkSession.createDataFrame([(k, fair_share(v, DICT_BYTES)) for k, v in sizes.items()], "lang string, share long")
+    n = F.char_length("text")
+    each = F.ceil(F.col("share") * n / F.col("size") / PIECES).cast("int")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr("text", (1 + F.floor(i * (n - each) / (PIECES - 1))).cast("int"), each))
+    cut = F.when(F.col("size") <= F.col("share"), F.col("text")).otherwise(F.array_join(spread, " "))
+    for r in some.join(sized_broadcast(shares), "lang").select("lang", cut.alias("text"), "h").orderBy("h", "text").collect():
         found[r["lang"]][1].append(r["text"])
     return found
 
