@@ -43,8 +43,8 @@ from lodestone.llm.mph import MinimalPerfectHash, fingerprint, mixed
 END_ID = 2
 #: Ids in a shard: it is closed when the next document would pass this.
 SHARD_IDS = 1 << 18
-#: UTF-8 bytes of texts encoded at a time, and distinct pieces remembered by a Python worker.
-BATCH_BYTES, MOST_PIECES = 6 << 20, 1_000_000
+#: UTF-8 bytes of texts encoded at a time; distinct pieces, and bytes of them, that a Python worker remembers.
+BATCH_BYTES, MOST_PIECES, MOST_BYTES = 6 << 20, 500_000, 24 << 20
 #: Pieces that are encoded in one call.
 JOINED = 1000
 
@@ -81,6 +81,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known.clear()
+        self.held = 0
         self.flat, self.filled = np.empty(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.empty(MOST_PIECES, np.int64), np.empty(MOST_PIECES, np.int64)
 
@@ -97,11 +98,12 @@ class Encoder:
         self.starts[k : k + len(pieces)] = self.filled + np.cumsum(n) - n
         self.lengths[k : k + len(pieces)] = n
         self.filled += len(ids)
+        self.held += sum(map(len, pieces))
         self.known.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
     def _codes(self, pieces: list[bytes]) -> np.ndarray:
         """The number of each of some distinct pieces, encoding those that aren't known."""
-        if len(self.known) + len(pieces) > MOST_PIECES:
+        if len(self.known) + len(pieces) > MOST_PIECES or self.held > MOST_BYTES:
             self.forget()
         new = [p for p in pieces if p not in self.known]
         alone = [p for p in new if not p.strip() or self.newline is None]
@@ -166,6 +168,17 @@ class Encoder:
         return out, total
 
 
+_CODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def kept_encoder(path: str, end_id: int = END_ID) -> Encoder:
+    """This process's encoder of a tokenizer: Python workers run many tasks, and what one learnt serves the next."""
+    if (path, end_id) not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path, end_id] = Encoder(path, end_id)
+    return _CODERS[path, end_id]
+
+
 def document_keys(ids: list[int | None]) -> np.ndarray:
     """A 64 bit key for each of a shard's documents, in order: of its id, and of its turn among rows of that id."""
     seen: dict[int | None, int] = {}
@@ -233,7 +246,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     rows = rows.sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, shard, before = Encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
+        coder, part, shard, before = kept_encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         tokens: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -322,7 +335,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     """doc_id, tokens (array of ids) of those of some ids that have a document: only shards whose range holds one are
-    read, and each document by a few probes. The first of rows with one id is returned."""
+    read, and each document by a few probes; its own id is compared then, as a fingerprint alone would let one absent id
+    in 65,536 through. The first of rows with one id is returned."""
     wanted = sorted(set(ids))
     near = F.exists(F.array(*[F.lit(i).cast("long") for i in wanted]), lambda i: (F.col("first") <= i) & (F.col("last") >= i))
     shards = spark.read.parquet(path).filter((F.col("first") <= wanted[-1]) & (F.col("last") >= wanted[0]) & near)
@@ -330,10 +344,11 @@ def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(len(b)):
-                first, last, payload, index = (c[row].as_py() for c in b.columns)
+                first, last, nulls, keys, payload, index = (c[row].as_py() for c in b.columns)
                 here = [i for i in wanted if first <= i <= last]
-                shard = Shard(payload, index)
-                hits = [(i, shard.ids(int(o))) for i, o in zip(here, shard.find(keys_of(here, np.zeros(len(here), np.uint64))), strict=True) if o >= 0]
+                shard, own = Shard(payload, index), listed(nulls, keys)
+                found = shard.find(keys_of(here, np.zeros(len(here), np.uint64)))
+                hits = [(i, shard.ids(int(o))) for i, o in zip(here, found, strict=True) if o >= 0 and own[o] == i]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in hits], pa.int64()), pa.array([t.tolist() for _, t in hits], pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
-    return shards.select("first", "last", "payload", "index").mapInArrow(find, "doc_id long, tokens array<long>")
+    return shards.select("first", "last", "nulls", "keys", "payload", "index").mapInArrow(find, "doc_id long, tokens array<long>")
