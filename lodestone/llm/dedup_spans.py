@@ -5,14 +5,16 @@ left out first, and what is left is decided by suffix arrays:
 
 1. anchors: each 50 byte window has an anchor, its 16 byte string of least hash, so equal windows have equal anchors.
    A group sends each distinct anchor once, by hash, with a mark if two of its documents have it.
-2. shared: anchors of two documents are sent back to the groups that have them.
-3. contexts: a group cuts out the maximal runs of windows around shared anchors, keeps each distinct one
-   once with its least document id, and sends it by its anchor's hash: equal windows meet in one place.
-4. match: there, shards of bounded size get a suffix array of their windows each; neighbours with 50 common bytes form
-   a class with a least document id; the shards' classes are merged by binary search. The ids go back by runs of windows.
+2. shared: anchors of two documents are sent back to the groups that have them, marked if very many groups do.
+3. contexts: a group cuts out the maximal runs of windows around shared anchors, keeps each distinct one once with its
+   least document id, and sends it by its anchor's hash: equal windows meet in one place. The windows of a marked anchor
+   are sent one by one, by the hash of their 50 bytes, so that no place gets all contexts of a frequent string.
+4. match: equal rows are merged. Rows that share their anchor with others are laid out in shards of bounded size; each gets
+   a suffix array by rank doubling, and neighbours whose common prefix (Kasai) has 50 bytes form a class with a least
+   document id; the shards' classes are merged by binary search. The ids go back by runs of windows.
 5. remove: a group covers the windows of its documents whose class has a smaller id.
 
-So a passage of millions of documents costs each group one anchor and one context, not one for each document.
+So a passage of millions of documents costs each group its anchors and contexts once, not once for each document.
 
 Edge cases: a null text is empty; a document with a null id keeps all and takes nothing from others; rows with one id
 don't take from one another; texts under 50 bytes keep all; an empty table gives an empty result; extra columns are
@@ -40,7 +42,8 @@ RUN = LENGTH + REACH - 1
 ROW = RUN + 1 + (-(RUN + 1)) % 8
 #: Bytes of text whose windows are computed at a time, and of contexts in one suffix array.
 CHUNK, SHARD = 2 << 20, 4 << 20
-FAR = np.uint64(2**64 - 1)
+#: Groups that have an anchor, beyond which its windows are sent one by one and so to many places.
+CROWD = 64
 SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())]))
 PACKED = "to int, back int, payload binary"
 
@@ -55,13 +58,10 @@ def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return out
 
 
-def _anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash, at least 1 and even, of the ANCHOR bytes from each position on."""
-    w = words_at(data)
-    second = np.zeros_like(w)
-    second[: max(0, len(w) - 8)] = w[8:]
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash, at least 2 and even, of two words."""
     with np.errstate(over="ignore"):
-        z = w * np.uint64(0x9E3779B97F4A7C15)
+        z = first * np.uint64(0x9E3779B97F4A7C15)
         z ^= z >> np.uint64(32)
         z += second
         z *= np.uint64(0xD6E8FEB86659FD93)
@@ -71,24 +71,39 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
     return (z | np.uint64(2)) & ~np.uint64(1)
 
 
+def _anchor_hashes(data: np.ndarray) -> np.ndarray:
+    """The hash of the ANCHOR bytes from each position on."""
+    w = words_at(data)
+    second = np.zeros_like(w)
+    second[: max(0, len(w) - 8)] = w[8:]
+    return _mixed(w, second)
+
+
+def _hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for some positions with ANCHOR bytes behind them."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    both = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, ANCHOR)[at]).view(">u8").astype(np.uint64)
+    return _mixed(both[:, 0], both[:, 1])
+
+
 class Windows:
-    """The windows of some texts laid end to end, and their anchors."""
+    """The windows of some texts laid end to end, and their anchors. part: which texts take part."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, part: np.ndarray):
         h = _anchor_hashes(data)
         ends = np.repeat(np.cumsum(sizes), sizes)
-        whole = np.arange(len(data)) + LENGTH <= ends
+        whole = (np.arange(len(data)) + LENGTH <= ends) & np.repeat(part, sizes)
         self.least = np.where(whole, _sliding(h, REACH, np.minimum), np.uint64(0))
         back = _sliding(self.least[::-1].copy(), REACH, np.maximum)[::-1]
-        self.chosen = back == h
-        self.at = np.flatnonzero(self.chosen)
+        self.at = np.flatnonzero(back == h)
         self.hash = h[self.at]
         self.whole = whole
 
     def runs(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window, and anchor hash, of each run of windows with one anchor among the (sorted) shared."""
+        """First and last window, and the anchor, of each run of windows with one anchor among the (sorted) shared."""
         if not len(self.at) or not len(shared):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         near = np.minimum(np.searchsorted(shared, self.hash), len(shared) - 1)
         known = shared[near] == self.hash
         p = self._near(self.at[known])
@@ -100,68 +115,91 @@ class Windows:
         keep = known[k]
         p, k = p[keep], k[keep]
         if not len(p):
-            return p, p, np.empty(0, np.uint64)
+            return p, p, p
         new = np.ones(len(p), bool)
         new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(p)) - 1
-        return p[first], p[last], self.hash[k[first]]
+        return p[first], p[last], self.at[k[first]]
 
     def _near(self, at: np.ndarray) -> np.ndarray:
-        """Whole windows that hold one of some anchors."""
-        edge = np.zeros(len(self.whole) + 1, np.int32)
-        np.add.at(edge, np.maximum(at - REACH + 1, 0), 1)
-        np.add.at(edge, at + 1, -1)
-        return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & self.whole)
+        """Whole windows that hold one of some (ascending) anchors."""
+        if not len(at):
+            return at
+        first, last = np.maximum(at - REACH + 1, 0), at + 1
+        first[1:] = np.maximum(first[1:], last[:-1])
+        n = last - first
+        p = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return p[self.whole[p]]
 
 
 class Group:
-    """Documents of one group in order of id: their bytes end to end."""
+    """Documents of one group: their bytes end to end."""
 
     def __init__(self, table: pa.Table):
         self.ids = table.column("doc_id").combine_chunks()
-        column = table.column("text").combine_chunks().cast(pa.large_binary()).fill_null(b"")
-        self.raw = column.to_pylist()
-        self.sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        text = table.column("text").combine_chunks().cast(pa.large_binary()).fill_null(b"")
+        edges = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset) if len(text) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+        self.sizes, self.starts = np.diff(edges), edges[:-1] - edges[0]
         #: Documents without an id take no part.
-        self.part = np.flatnonzero(self.ids.is_valid().to_numpy(zero_copy_only=False) & (self.sizes >= LENGTH))
+        self.part = self.ids.is_valid().to_numpy(zero_copy_only=False)
         self.id_values = self.ids.fill_null(0).to_numpy()
 
-    def chunks(self) -> Iterator[tuple[np.ndarray, Windows, np.ndarray]]:
-        """Some documents, the windows of their bytes end to end, and where those begin."""
-        if not len(self.part):
-            return
-        group = (np.cumsum(self.sizes[self.part]) - 1) // CHUNK
-        for docs in np.split(self.part, np.flatnonzero(np.diff(group)) + 1):
-            data = np.frombuffer(b"".join([self.raw[i] for i in docs]), np.uint8)
-            yield docs, Windows(data, self.sizes[docs]), data
-
-    def contexts(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct runs as rows (length, bytes, zeros) in order, their anchors' hashes; then of each run in the
-        documents: its row, document, where in the document it begins, and how many windows it has."""
-        rows, hashes, docs, offsets, counts = [], [], [], [], []
-        for part, windows, data in self.chunks():
-            first, last, h = windows.runs(shared)
-            if not len(first):
-                continue
-            n = last - first + 1
-            padded = np.concatenate([data, np.zeros(RUN, np.uint8)])
-            row = np.zeros((len(first), ROW), np.uint8)
-            row[:, 1 : RUN + 1] = np.lib.stride_tricks.sliding_window_view(padded, RUN)[first]
-            size = n + LENGTH - 1
-            row[:, 1 : RUN + 1][np.arange(RUN)[None, :] >= size[:, None]] = 0
-            row[:, 0] = size
-            begins = np.cumsum(self.sizes[part]) - self.sizes[part]
-            owner = np.searchsorted(begins, first, side="right") - 1
-            for x, y in zip((rows, hashes, docs, offsets, counts), (row, h, part[owner], first - begins[owner], n), strict=True):
-                x.append(y)
-        if not rows:
+    def chunks(self) -> Iterator[tuple[int, Windows]]:
+        """Where some documents' bytes begin, and their windows."""
+        turn = (np.cumsum(self.sizes) - self.sizes) // CHUNK
+        for docs in np.split(np.arange(len(self.sizes)), np.flatnonzero(np.diff(turn)) + 1):
+            if len(docs) and self.sizes[docs].sum() >= LENGTH:
+                start = int(self.starts[docs[0]])
+                yield start, Windows(self.data[start : start + int(self.sizes[docs].sum())], self.sizes[docs], self.part[docs])
+
+    def owners(self, at: np.ndarray) -> np.ndarray:
+        """The documents that some positions lie in."""
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+    def runs(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the runs of windows around shared anchors, in order: where they begin, how many windows, the anchor."""
+        found = [(start + first, last - first + 1, anchor + start) for start, windows in self.chunks() for first, last, anchor in [windows.runs(shared)]]
+        if not found:
             none = np.empty(0, np.int64)
-            return np.empty((0, ROW), np.uint8), np.empty(0, np.uint64), none, none, none, none
-        all_rows = np.concatenate(rows)
-        _, one, row_of = np.unique(all_rows.view(f"S{ROW}").ravel(), return_index=True, return_inverse=True)
-        return all_rows[one], np.concatenate(hashes)[one], row_of, np.concatenate(docs), np.concatenate(offsets), np.concatenate(counts)
+            return none, none, none
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def rows(self, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Runs' texts as rows of a length, bytes, and zeros."""
+        out, size = np.zeros((len(begin), ROW), np.uint8), n + LENGTH - 1
+        padded = np.concatenate([self.data, np.zeros(RUN, np.uint8)])
+        out[:, 1 : RUN + 1] = np.lib.stride_tricks.sliding_window_view(padded, RUN)[begin]
+        out[:, 1 : RUN + 1][np.arange(RUN)[None, :] >= size[:, None]] = 0
+        out[:, 0] = size
+        return out
+
+    def pieces(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What is sent of the runs around known (sorted) anchors, in order: where it begins, how many windows it has,
+        the anchor's place in it (plus 128 if it is alone), and the anchor's hash. A run is sent whole; of an anchor that is
+        marked as crowded each window is sent alone."""
+        plain = known & ~np.uint64(1)
+        begin, n, anchor = self.runs(plain)
+        h = _hashes_at(self.data, anchor)
+        crowded = (known[np.searchsorted(plain, h)] & np.uint64(1)).astype(bool) if len(h) else np.empty(0, bool)
+        if crowded.any():
+            many = np.where(crowded, n, 1)
+            begin, anchor, h, n, crowded = (np.repeat(x, many) for x in (begin, anchor, h, np.where(crowded, 1, n), crowded))
+            begin = begin + np.where(crowded, np.arange(len(begin)) - np.repeat(np.cumsum(many) - many, many), 0)
+        return begin, n, (anchor - begin + np.where(crowded, 128, 0)).astype(np.uint8), h
+
+
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct row, and each row's number among those. Rows are compared whole where 64 bits agree;
+    should two rows differ there, some are named twice, which their users allow."""
+    names, words = _names(rows), np.ascontiguousarray(rows).view(np.uint64)
+    order = np.argsort(names, kind="stable")
+    new = np.ones(len(rows), bool)
+    new[1:] = (names[order][1:] != names[order][:-1]) | (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    of = np.empty(len(rows), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -172,108 +210,147 @@ def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"to": pa.array(to, pa.int32()), "back": pa.array(back, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
-def _by_place(hashes: np.ndarray, places: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places that hashes go to, and which."""
-    place = (hashes >> np.uint64(33)) % np.uint64(places)
-    order = np.argsort(place, kind="stable")
-    cuts = np.flatnonzero(np.diff(place[order])) + 1
-    for which in np.split(order, cuts) if len(order) else ():
+def _by_place(place: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places, and which of some things go there, in a given order."""
+    order = order[np.argsort(place[order].astype(np.int32), kind="stable")]
+    for which in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else ():
         yield int(place[which[0]]), which
 
 
+def _place(hashes: np.ndarray, places: int) -> np.ndarray:
+    return ((hashes >> np.uint64(33)) % np.uint64(places)).astype(np.int64)
+
+
 def _payloads(table: pa.Table) -> list[bytes]:
     coder = zstandard.ZstdDecompressor()
     return [coder.decompress(p.as_py()) for p in table.column("payload")]
 
 
+def _planes(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte, which packs their leading bytes away."""
+    steps = np.diff(hashes, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def anchors(table: pa.Table, places: int) -> pa.Table:
     group, seen = Group(table), []
-    for docs, windows, _ in group.chunks():
-        begins = np.cumsum(group.sizes[docs]) - group.sizes[docs]
-        owner = docs[np.searchsorted(begins, windows.at, side="right") - 1]
-        seen.append((windows.hash, group.id_values[owner]))
+    for start, windows in group.chunks():
+        seen.append((windows.hash, group.id_values[group.owners(windows.at + start)]))
     if not seen:
         return _packed([])
     h, ids = (np.concatenate(x) for x in zip(*seen, strict=True))
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, ids = h[order], ids[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
     marked = h[first] | several.astype(np.uint64)
     me = table.column("db")[0].as_py()
-    return _packed([(to, me, marked[which].tobytes()) for to, which in _by_place(h[first], places)])
+    return _packed([(to, me, _planes(marked[which])) for to, which in _by_place(_place(h[first], places), np.arange(len(first)))])
 
 
-def shared(table: pa.Table) -> pa.Table:
-    raw, back = _payloads(table), table.column("back").to_numpy()
-    parts = [np.frombuffer(p, np.uint64) for p in raw]
+def shared(table: pa.Table, crowd: int) -> pa.Table:
+    """Replies: the anchors of a group that two documents have, marked if so many groups have them that their contexts
+    would crowd one place."""
+    parts, back = [_from_planes(p) for p in _payloads(table)], table.column("back").to_numpy()
     h, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     marked, h = (h & np.uint64(1)).astype(bool), h & ~np.uint64(1)
-    order = np.argsort(h, kind="stable")
-    first = np.append(True, h[order][1:] != h[order][:-1])
-    size = np.diff(np.append(np.flatnonzero(first), len(h)))
-    some = np.logical_or.reduceat(marked[order], np.flatnonzero(first)) | (size > 1)
-    keep = np.empty(len(h), bool)
+    order = np.argsort(h)
+    first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    size = np.diff(np.append(first, len(h)))
+    some = np.logical_or.reduceat(marked[order], first) | (size > 1)
+    keep, reply = np.empty(len(h), bool), np.empty(len(h), np.uint64)
     keep[order] = np.repeat(some, size)
-    return _packed([(int(back[i]), 0, parts[i][keep[owner == i]].tobytes()) for i in np.unique(owner[keep])])
+    reply[order] = h[order] | np.repeat(size > crowd, size).astype(np.uint64)
+    return _packed([(int(back[i]), 0, _planes(reply[which])) for i, which in _by_place(owner, np.flatnonzero(keep))])
 
 
 def _shared_of(table: pa.Table) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(_payloads(table)), np.uint64) & ~np.uint64(1))
+    """Sorted, with the marks of crowded ones."""
+    return np.sort(np.concatenate([_from_planes(p) for p in _payloads(table)]))
 
 
 def contexts(table: pa.Table, replies: pa.Table, places: int) -> pa.Table:
-    """Payload: n, then anchors, least ids, whether several ids have the row, and the rows."""
+    """Payload: n, then least ids, where the row first begins in its group, its anchor's place, whether several ids have
+    it, and the rows."""
     if not len(table) or not len(replies):
         return _packed([])
     group = Group(table)
-    rows, h, row_of, docs, _, _ = group.contexts(_shared_of(replies))
-    if not len(rows):
+    begin, n, lies, h = group.pieces(_shared_of(replies))
+    if not len(begin):
         return _packed([])
-    ids = group.id_values[docs]
-    low, high = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
-    np.minimum.at(low, row_of, ids)
-    np.maximum.at(high, row_of, ids)
+    rows, ids = group.rows(begin, n), group.id_values[group.owners(begin)]
+    one, of = distinct(rows)
+    order = np.argsort(of, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+    low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
+    rows, lies, begin = rows[one], lies[one], begin[one]
+    h = np.where(lies >= 128, _names(rows), h[one])
+    start = np.ascontiguousarray(rows[:, 1:9]).view(">u8").ravel().astype(np.uint64)
     me, out = table.column("db")[0].as_py(), []
-    for to, which in _by_place(h, places):
-        out.append((to, me, len(which).to_bytes(8, "little") + h[which].tobytes() + low[which].tobytes() + (low != high)[which].tobytes() + rows[which].tobytes()))
+    for to, w in _by_place(_place(h, places), np.argsort(start)):
+        out.append((to, me, len(w).to_bytes(8, "little") + b"".join(x[w].tobytes() for x in (low, begin, lies, low != high, rows))))
     return _packed(out)
 
 
 def match(table: pa.Table) -> pa.Table:
-    """Reply payload: n, then anchors, names of rows, first and last window, least id."""
+    """Reply payload: n, then where the row first begins in its group, a least id, the anchor's place, and the first and
+    last window of the row that have this id."""
     raw, back = _payloads(table), table.column("back").to_numpy()
-    anchor, low, several, rows, owner = [], [], [], [], []
-    for i, p in enumerate(raw):
-        n = int.from_bytes(p[:8], "little")
-        anchor.append(np.frombuffer(p, np.uint64, n, 8))
-        low.append(np.frombuffer(p, np.int64, n, 8 + 8 * n))
-        several.append(np.frombuffer(p, bool, n, 8 + 16 * n))
-        rows.append(np.frombuffer(p, np.uint8, n * ROW, 8 + 17 * n).reshape(n, ROW))
-        owner.append(np.full(n, i))
-    anchor, low, several, rows, owner = (np.concatenate(x) for x in (anchor, low, several, rows, owner))
+    sizes = np.array([int.from_bytes(p[:8], "little") for p in raw])
+    parts, at = [], 0
+    for kind, width in ((np.int64, 8), (np.int64, 8), (np.uint8, 1), (bool, 1), (np.uint8, ROW)):
+        parts.append(np.concatenate([np.frombuffer(p, kind, n * width // np.dtype(kind).itemsize, 8 + at * n) for p, n in zip(raw, sizes, strict=True)]))
+        at += width
+    low, begin, lies, several, rows = parts
+    rows, owner = rows.reshape(-1, ROW), np.repeat(np.arange(len(raw)), sizes)
+    del raw, parts
+    one, of = distinct(rows)
+    order = np.argsort(of, kind="stable")
+    least = np.minimum.reduceat(low[order], np.flatnonzero(np.append(True, np.diff(of[order]) != 0)))
+    # Rows whose anchor has no other row are settled; the others' windows go through suffix arrays.
+    text = rows[one]
+    h = np.where(lies[one] >= 128, _names(text), _hashes_at(text.ravel(), np.arange(len(one)) * ROW + 1 + (lies[one] & 127)))
+    by = np.argsort(h, kind="stable")
+    lonely = np.ones(len(h) + 1, bool)
+    lonely[1:-1] = h[by][1:] != h[by][:-1]
+    open_ = np.sort(by[~(lonely[:-1] & lonely[1:])])
     step = max(1, SHARD // ROW)
-    shards = [_classes(rows[k : k + step], low[k : k + step]) for k in range(0, len(rows), step)]
-    least = merge([(keys, values) for keys, values, _, _ in shards])
-    row = np.concatenate([k * step + w for k, (_, _, w, _) in enumerate(shards)])
-    value = np.concatenate([v[c] for v, (_, _, _, c) in zip(least, shards, strict=True)])
-    new = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))
-    first = np.flatnonzero(new)
-    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-    window = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
-    a, b, r, v = window[first], window[np.append(first[1:], len(row)) - 1], row[first], value[first]
-    useful = (v < low[r]) | several[r]
-    a, b, r, v = a[useful].astype(np.uint8), b[useful].astype(np.uint8), r[useful], v[useful]
-    out, who, names = [], owner[r], _names(rows)
-    order = np.argsort(who, kind="stable")
-    for w in np.split(order, np.flatnonzero(np.diff(who[order])) + 1) if len(order) else ():
-        payload = len(w).to_bytes(8, "little") + b"".join(x.tobytes() for x in (anchor[r[w]], names[r[w]], v[w], a[w], b[w]))
-        out.append((int(back[who[w[0]]]), 0, payload))
+    shards = [_classes(text[open_[k : k + step]], least[open_[k : k + step]]) for k in range(0, len(open_), step)]
+    values = merge([(keys, value) for keys, value, _, _ in shards])
+    a, b, r, v = (np.empty(0, np.int64) for _ in range(4))
+    if shards:
+        row = np.concatenate([open_[k * step + w] for k, (_, _, w, _) in enumerate(shards)])
+        value = np.concatenate([x[c] for x, (_, _, _, c) in zip(values, shards, strict=True)])
+        new = np.append(True, (row[1:] != row[:-1]) | (value[1:] != value[:-1]))
+        first, top = np.flatnonzero(new), np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        window = np.arange(len(row)) - np.repeat(top, np.diff(np.append(top, len(row))))
+        a, b, r, v = window[first], window[np.append(first[1:], len(row)) - 1], row[first], value[first]
+    settled = np.ones(len(one), bool)
+    settled[open_] = False
+    s = np.flatnonzero(settled)
+    a, b = np.concatenate([a, np.zeros(len(s), np.int64)]), np.concatenate([b, text[s, 0].astype(np.int64) - LENGTH])
+    r, v = np.concatenate([r, s]), np.concatenate([v, least[s]])
+    # What is known of a distinct row, for each group that sent it.
+    by = np.argsort(r, kind="stable")
+    lo, hi = np.searchsorted(r[by], of, side="left"), np.searchsorted(r[by], of, side="right")
+    n = hi - lo
+    sent = np.repeat(np.arange(len(of)), n)
+    told = by[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    useful = (v[told] < low[sent]) | several[sent]
+    sent, told = sent[useful], told[useful]
+    out, a, b = [], a.astype(np.uint8), b.astype(np.uint8)
+    for i, w in _by_place(owner[sent], np.argsort(begin[sent], kind="stable")):
+        out.append((int(back[i]), 0, len(w).to_bytes(8, "little") + b"".join(x.tobytes() for x in (begin[sent[w]], v[told[w]], lies[sent[w]], a[told[w]], b[told[w]]))))
     return _packed(out)
 
 
 def _names(rows: np.ndarray) -> np.ndarray:
-    """A 64 bit name of each row's content, for use beside its anchor's hash."""
+    """A 64 bit name of each row's content."""
     out = np.zeros(len(rows), np.uint64)
     with np.errstate(over="ignore"):
         for column in np.ascontiguousarray(rows).view(np.uint64).T:
@@ -287,57 +364,68 @@ def _classes(rows: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     flat = rows.ravel()
     n = rows[:, 0].astype(np.int64) - LENGTH + 1
     row = np.repeat(np.arange(len(rows)), n)
-    at = row * ROW + 1 + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = row * ROW + 1 + window
     words = words_at(flat)
     order = sorted_suffixes(words, at, LENGTH)
-    head = common_prefixes(words, at[order], LENGTH) < LENGTH
-    head[:1] = True
+    which = np.searchsorted(at, order)
+    head = common_prefixes(words, order, (n[row] + LENGTH - 1 - window)[which]) < LENGTH
     first = np.flatnonzero(head)
-    least = np.minimum.reduceat(low[row[order]], first)
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(flat, np.zeros(LENGTH, np.uint8)), LENGTH)[at[order[first]]]).view(f"S{LENGTH}").ravel()
+    least = np.minimum.reduceat(low[row[which]], first)
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(flat, np.zeros(LENGTH, np.uint8)), LENGTH)[order[first]]).view(f"S{LENGTH}").ravel()
     of = np.empty(len(at), np.int64)
-    of[order] = np.cumsum(head) - 1
+    of[which] = np.cumsum(head) - 1
     return keys, least, row, of
 
 
+def joined(begin: np.ndarray, end: np.ndarray, group: Group) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges as the fewest that cover them, in order; none reaches from one document into the next."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    owner = group.owners(begin)
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > end[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return begin[first], end[np.append(first[1:], len(begin)) - 1] if len(first) else end
+
+
+def removed(group: Group, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Beginnings and ends of the byte ranges that the replies take from a group."""
+    parts = []
+    for p in _payloads(known):
+        n = int.from_bytes(p[:8], "little")
+        parts.append([np.frombuffer(p, kind, n, 8 + k * n) for kind, k in ((np.int64, 0), (np.int64, 8), (np.uint8, 16), (np.uint8, 17), (np.uint8, 18))])
+    told, least, place, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    marked = _hashes_at(group.data, told + (place & 127)) | (place >> 7)
+    begin, n, _, _ = group.pieces(np.unique(marked))
+    _, of = distinct(group.rows(begin, n))
+    text = of[np.searchsorted(begin, told)]
+    by = np.argsort(of, kind="stable")
+    lo, hi = np.searchsorted(of[by], text, side="left"), np.searchsorted(of[by], text, side="right")
+    m = hi - lo
+    which = by[np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+    reply = np.repeat(np.arange(len(told)), m)
+    hit = group.id_values[group.owners(begin[which])] > least[reply]
+    which, reply = which[hit], reply[hit]
+    return joined(begin[which] + a[reply], begin[which] + b[reply] + LENGTH, group)
+
+
 def remove(table: pa.Table, known: pa.Table) -> pa.Table:
     """The documents, with the spans that the replies in `known` cover and the bytes that they leave."""
-    group = Group(table)
-    edge = np.zeros(int(group.sizes.sum()) + 1, np.int32)
-    if len(known):
-        parts = []
-        for p in _payloads(known):
-            n = int.from_bytes(p[:8], "little")
-            parts.append([np.frombuffer(p, kind, n, 8 + k * n) for kind, k in ((np.uint64, 0), (np.uint64, 8), (np.int64, 16), (np.uint8, 24), (np.uint8, 25))])
-        anchor, name, least, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-        rows, h, row_of, docs, offsets, _ = group.contexts(np.unique(anchor))
-        ours = _names(rows) ^ h
-        order = np.argsort(ours, kind="stable")
-        r = order[np.minimum(np.searchsorted(ours[order], name ^ anchor), len(ours) - 1)]
-        fits = (ours[r] == (name ^ anchor)) & (h[r] == anchor)
-        r, least, a, b = r[fits], least[fits], a[fits], b[fits]
-        order = np.argsort(row_of, kind="stable")
-        lo, hi = np.searchsorted(row_of[order], r, side="left"), np.searchsorted(row_of[order], r, side="right")
-        n = hi - lo
-        which = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        told = np.repeat(np.arange(len(r)), n)
-        hit = group.id_values[docs[which]] > least[told]
-        which, told = which[hit], told[hit]
-        place = group.starts[docs[which]] + offsets[which]
-        np.add.at(edge, place + a[told], 1)
-        np.add.at(edge, place + b[told] + LENGTH, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    group, none = Group(table), np.empty(0, np.int64)
+    begin, end = removed(group, known) if len(table) and len(known) else (none, none)
+    owner = group.owners(begin)
+    cuts = np.searchsorted(owner, np.arange(len(table) + 1))
     spans, kept = [], []
-    for raw, start, size in zip(group.raw, group.starts, group.sizes, strict=True):
-        mine = gone[start : start + size]
-        turns = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0))
-        spans.append([{"begin": int(b), "end": int(e)} for b, e in turns.reshape(-1, 2)])
-        kept.append(np.frombuffer(raw, np.uint8)[~mine].tobytes() if len(turns) else raw)
+    for i, (start, size) in enumerate(zip(group.starts.tolist(), group.sizes.tolist(), strict=True)):
+        b, e = begin[cuts[i] : cuts[i + 1]].tolist(), end[cuts[i] : cuts[i + 1]].tolist()
+        spans.append([{"begin": x - start, "end": y - start} for x, y in zip(b, e, strict=True)])
+        kept.append(b"".join([group.data[x:y] for x, y in zip([start, *e], [*b, start + size], strict=True)]))
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     return table.drop_columns(["db"]).append_column("spans", pa.array(spans, kind)).append_column("kept", pa.array(kept, pa.binary()))
 
 
-def cut_spans(docs: DataFrame) -> DataFrame:
+def cut_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """docs' columns, then spans (the byte ranges of text that go: begin, and end behind the last) and kept (the bytes that
     stay; a range may begin or end inside a character): a row for each document. Columns of these names are replaced.
 
@@ -349,7 +437,7 @@ def cut_spans(docs: DataFrame) -> DataFrame:
     rest = [F.struct(*others).alias("rest")] if others else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("db"), *rest)
     sent = texts.groupBy("db").applyInArrow(lambda t: anchors(t, places), PACKED)
-    back = sent.groupBy("to").applyInArrow(shared, PACKED)
+    back = sent.groupBy("to").applyInArrow(lambda t: shared(t, crowd), PACKED)
     cut = texts.groupBy("db").cogroup(back.groupBy("to")).applyInArrow(lambda t, r: contexts(t, r, places), PACKED)
     known = cut.groupBy("to").applyInArrow(match, PACKED)
     result = texts.drop("db").schema.add("spans", SPANS).add("kept", BinaryType())
@@ -358,10 +446,10 @@ def cut_spans(docs: DataFrame) -> DataFrame:
     return found.select(*named, "spans", "kept")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of cut_spans: a row for each document."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    return cut_spans(docs.select("doc_id", "text")).select(
+    return cut_spans(docs.select("doc_id", "text"), crowd).select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         removed.alias("n_removed"),

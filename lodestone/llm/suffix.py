@@ -1,4 +1,4 @@
-"""Suffix arrays of byte buffers in numpy: refinement of groups, capped common prefixes, merging by binary search."""
+"""Suffix arrays of byte buffers in numpy: refinement by rank doubling, Kasai's common prefixes, merging by binary search."""
 
 from __future__ import annotations
 
@@ -14,48 +14,85 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return out[: len(data)]
 
 
-def _offsets(depth: int) -> list[int]:
-    """Where to read words so that together they cover `depth` bytes."""
-    return [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]
-
-
 def sorted_suffixes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes that start at `at`, by their first `depth` bytes (at least 8).
+    """The suffixes that start at `at` (ascending positions), ordered by their first `depth` bytes (at least 8); equal ones
+    stay in order of position.
 
-    Larsson and Sadakane's refinement: suffixes with an equal start form a group, every round splits the groups by what
-    comes next, and groups of one are never touched again. As only `depth` bytes matter, a round splits by
-    the next eight bytes; ranks at doubled distances aren't needed.
+    Larsson and Sadakane's refinement: suffixes are sorted by eight bytes, and those with an equal start form a group
+    whose number is its members' rank. A round splits each group by the ranks at the distance sorted so far, which
+    doubles it; groups of one are never sorted again. The last round's distance makes up exactly `depth`, and a round
+    takes only positions that a later one asks for.
     """
-    order = np.arange(len(at))
-    head = np.zeros(len(at), bool)
-    head[:1] = True
-    for off in _offsets(depth):
-        last = np.append(head[1:], True) if len(head) else head
-        open_ = np.flatnonzero(~(head & last))
-        if not len(open_):
-            break
+    steps, have = [], 8
+    while have < depth:
+        steps.append(min(2 * have, depth) - have)
+        have += steps[-1]
+    wanted = [np.zeros(len(words), bool)]
+    wanted[0][at] = True
+    for off in reversed(steps):
+        more = wanted[0].copy()
+        more[off:] |= wanted[0][: len(more) - off]
+        wanted.insert(0, more)
+    order = np.flatnonzero(wanted[0])
+    order = order[np.argsort(words[order], kind="stable")]
+    rank = np.zeros(len(words), np.int64)
+    rank[order] = np.cumsum(_heads(words[order])) - 1
+    for off, keep in zip(steps, wanted[1:], strict=True):
+        order = order[keep[order]]
+        head = _heads(rank[order])
+        open_ = np.flatnonzero(~(head & np.append(head[1:], True)))
         mine = order[open_]
-        key, group = words[at[mine] + off], np.cumsum(head[open_])
+        key = (np.cumsum(head[open_]) << 32) | rank[mine + off]
         by = np.argsort(key, kind="stable")
-        by = by[np.argsort(group[by], kind="stable")] if group[-1] > 1 else by
-        order[open_], key = mine[by], key[by]
-        split = np.ones(len(key), bool)
-        split[1:] = (key[1:] != key[:-1]) | head[open_][1:]
-        head[open_] = split
+        order[open_] = mine[by]
+        head[open_] = _heads(key[by])
+        rank[order] = np.cumsum(head) - 1
     return order
 
 
-def common_prefixes(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """How many bytes, up to `depth`, each suffix of a sorted list shares with the one before it (0 for the first)."""
-    out = np.zeros(len(at), np.int64)
-    same = np.arange(1, len(at))
-    for off in _offsets(depth):
-        differ = words[at[same] + off] ^ words[at[same - 1] + off]
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    out = np.ones(len(keys), bool)
+    out[1:] = keys[1:] != keys[:-1]
+    return out
+
+
+def common_prefixes(words: np.ndarray, order: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix of a sorted list shares with the one before it (0 for the first). room: how many
+    bytes each suffix of the list has.
+
+    Kasai's rule in text order: where a suffix and its neighbour both follow, by one byte, a suffix and that one's
+    neighbour, they share one byte less than those. Only where this breaks are bytes compared, eight at a time.
+    """
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
+        return out
+    by = np.argsort(order[1:], kind="stable") + 1
+    p, q, most = order[by], order[by - 1], np.minimum(room[by], room[by - 1])
+    first = np.flatnonzero(np.append(True, (np.diff(p) != 1) | (np.diff(q) != 1)))
+    last, shared = np.append(first[1:], len(p)), np.zeros(len(p), np.int64)
+    while len(first):
+        n = _compared(words, p[first], q[first], most[first])
+        ahead = np.minimum(n, last - first - 1)
+        run = np.repeat(np.arange(len(first)), ahead + 1)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(ahead + 1) - ahead - 1, ahead + 1)
+        shared[first[run] + step] = n[run] - step
+        first += ahead + 1
+        left = first < last
+        first, last = first[left], last[left]
+    out[by] = shared
+    return out
+
+
+def _compared(words: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes, up to most, the suffixes at p and q share."""
+    out, same, off = most.copy(), np.arange(len(p)), 0
+    while len(same := same[most[same] > off]):
+        differ = words[p[same] + off] ^ words[q[same] + off]
         apart = differ != 0
-        first = (differ[apart].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
-        out[same[apart]] = off + first
-        same = same[~apart]
-    out[same] = depth
+        byte = (differ[apart].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+        out[same[apart]] = np.minimum(off + byte, out[same[apart]])
+        same, off = same[~apart], off + 8
     return out
 
 

@@ -103,8 +103,10 @@ def test_rule_statistics(docs, rows):
     assert got == sorted(want, key=repr)
 
 
-def test_dedup_spans(docs, rows):
-    got = collected(dedup_spans.deduplicate(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_dedup_spans(docs, rows, crowd):
+    """With whole runs, and with all windows of anchors that two groups have sent one by one."""
+    got = collected(dedup_spans.deduplicate(docs, crowd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     least: dict[bytes, int] = {}
     raw = [(r[0], (r[1] or "").encode()) for r in rows]
     for i, b in raw:
@@ -127,14 +129,15 @@ def test_dedup_spans(docs, rows):
 def test_suffix_arrays_and_merge():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 700).astype(np.uint8)
+    data[300:420], data[450:560] = data[20:140], 97
     raw, words, at = data.tobytes(), suffix.words_at(data), np.arange(600)
     order = suffix.sorted_suffixes(words, at, 50)
-    keys = [raw[i : i + 50] for i in order]
-    assert keys == sorted(raw[i : i + 50] for i in at)
-    shared = suffix.common_prefixes(words, at[order], 50)
-    for k in range(1, len(keys)):
-        n = next((j for j in range(50) if keys[k][j] != keys[k - 1][j]), 50)
-        assert shared[k] == n
+    assert [raw[i : i + 50] for i in order] == sorted(raw[i : i + 50] for i in at)
+    room = len(raw) - order
+    shared = suffix.common_prefixes(words, order, room)
+    for k in range(1, len(order)):
+        p, q = int(order[k]), int(order[k - 1])
+        assert shared[k] == next((j for j in range(len(raw) - max(p, q)) if raw[p + j] != raw[q + j]), len(raw) - max(p, q))
     a, b = np.array([b"ab", b"cd"]), np.array([b"cd", b"ef"])
     assert [x.tolist() for x in suffix.merge([(a, np.array([5, 9])), (b, np.array([2, 7]))])] == [[5, 2], [2, 7]]
 
