@@ -7,8 +7,8 @@ left out first, and what is left is decided by suffix arrays:
    A group sends each distinct anchor once, by hash, with a mark if two of its documents have it.
 2. shared: anchors of two documents are sent back to the groups that have them, marked if very many groups do.
 3. contexts: a group cuts out the maximal runs of windows around shared anchors, keeps each distinct one once with its
-   least document id, and sends it by its anchor's hash: equal windows meet in one place. The windows of a marked anchor
-   are sent one by one, by the hash of their 50 bytes, so that no place gets all contexts of a frequent string.
+   least document id, and sends it by its anchor's hash: equal windows meet in one place. Runs of a marked anchor are
+   cut up by anchors of 32 bytes and sent by those, so that no place gets all contexts of a frequent string.
 4. match: equal rows are merged. Rows that share their anchor with others are laid out in shards of bounded size; each gets
    a suffix array by rank doubling, and neighbours whose common prefix (Kasai) has 50 bytes form a class with a least
    document id; the shards' classes are merged by binary search. The ids go back by runs of windows.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ RUN = LENGTH + REACH - 1
 ROW = RUN + 1 + (-(RUN + 1)) % 8
 #: Bytes of text whose windows are computed at a time, and of contexts in one suffix array.
 CHUNK, SHARD = 2 << 20, 4 << 20
-#: Groups that have an anchor, beyond which its windows are sent one by one and so to many places.
-CROWD = 64
+#: Groups that have an anchor, beyond which its runs are cut up by longer anchors and so go to many places.
+CROWD = 1000
+WIDE_MARK, FAR = 128, np.uint64(2**64 - 1)
 SPANS = ArrayType(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())]))
 PACKED = "to int, back int, payload binary"
 
@@ -133,10 +135,23 @@ class Windows:
         return p[self.whole[p]]
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """A group's documents by id, then text: a shuffle that is read again gives its rows in another order."""
+    by = table.append_column("size", pc.binary_length(table.column("text"))).select(["doc_id", "size"])
+    order = pc.sort_indices(by, [("doc_id", "ascending"), ("size", "ascending")])
+    table, by = table.take(order), by.take(order)
+    same = pc.and_kleene(*(pc.equal(c.slice(1).fill_null(-1), c.slice(0, max(0, len(c) - 1)).fill_null(-1)) for c in by.combine_chunks().columns)) if len(by) > 1 else None
+    if same is None or not pc.any(same).as_py():
+        return table
+    rows = sorted(range(len(table)), key=lambda i, ids=table.column("doc_id").to_pylist(), texts=table.column("text").to_pylist(): (ids[i] is None, ids[i] or 0, texts[i] is not None, texts[i] or ""))
+    return table.take(pa.array(rows))
+
+
 class Group:
     """Documents of one group: their bytes end to end."""
 
     def __init__(self, table: pa.Table):
+        self.table = table = in_order(table)
         self.ids = table.column("doc_id").combine_chunks()
         text = table.column("text").combine_chunks().cast(pa.large_binary()).fill_null(b"")
         edges = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, 8 * text.offset) if len(text) else np.zeros(1, np.int64)
@@ -177,17 +192,28 @@ class Group:
 
     def pieces(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What is sent of the runs around known (sorted) anchors, in order: where it begins, how many windows it has,
-        the anchor's place in it (plus 128 if it is alone), and the anchor's hash. A run is sent whole; of an anchor that is
-        marked as crowded each window is sent alone."""
+        the anchor's place in it (plus WIDE_MARK if it is a wide one), and the anchor's hash. A run is sent whole; that of an
+        anchor marked as crowded is cut up by the anchors of twice that length in its windows."""
         plain = known & ~np.uint64(1)
         begin, n, anchor = self.runs(plain)
         h = _hashes_at(self.data, anchor)
         crowded = (known[np.searchsorted(plain, h)] & np.uint64(1)).astype(bool) if len(h) else np.empty(0, bool)
-        if crowded.any():
-            many = np.where(crowded, n, 1)
-            begin, anchor, h, n, crowded = (np.repeat(x, many) for x in (begin, anchor, h, np.where(crowded, 1, n), crowded))
-            begin = begin + np.where(crowded, np.arange(len(begin)) - np.repeat(np.cumsum(many) - many, many), 0)
-        return begin, n, (anchor - begin + np.where(crowded, 128, 0)).astype(np.uint8), h
+        lies = (anchor - begin).astype(np.uint8)
+        if not crowded.any():
+            return begin, n, lies, h
+        short = _anchor_hashes(self.data)
+        wide = np.full(len(short), FAR)
+        wide[:-ANCHOR] = _mixed(short[:-ANCHOR], short[ANCHOR:])
+        least, reach = _sliding(wide, LENGTH - 2 * ANCHOR + 1, np.minimum), LENGTH - 2 * ANCHOR + 1
+        many = n[crowded]
+        run = np.repeat(np.arange(len(many)), many)
+        at = begin[crowded][run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+        first = np.flatnonzero(np.append(True, (np.diff(run) != 0) | (least[at[1:]] != least[at[:-1]])))
+        cut, size = at[first], np.diff(np.append(first, len(at)))
+        place = np.lib.stride_tricks.sliding_window_view(wide, reach)[cut].argmin(axis=1) + WIDE_MARK
+        parts = ((begin, cut), (n, size), (lies, place.astype(np.uint8)), (h, least[cut]))
+        order = np.argsort(np.concatenate([begin[~crowded], cut]))
+        return tuple(np.concatenate([x[~crowded], y])[order] for x, y in parts)
 
 
 def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,8 +314,7 @@ def contexts(table: pa.Table, replies: pa.Table, places: int) -> pa.Table:
     order = np.argsort(of, kind="stable")
     first = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
     low, high = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
-    rows, lies, begin = rows[one], lies[one], begin[one]
-    h = np.where(lies >= 128, _names(rows), h[one])
+    rows, lies, begin, h = rows[one], lies[one], begin[one], h[one]
     start = np.ascontiguousarray(rows[:, 1:9]).view(">u8").ravel().astype(np.uint64)
     me, out = table.column("db")[0].as_py(), []
     for to, w in _by_place(_place(h, places), np.argsort(start)):
@@ -298,8 +323,8 @@ def contexts(table: pa.Table, replies: pa.Table, places: int) -> pa.Table:
 
 
 def match(table: pa.Table) -> pa.Table:
-    """Reply payload: n, then where the row first begins in its group, a least id, the anchor's place, and the first and
-    last window of the row that have this id."""
+    """Reply payload: n, then where the row first begins in its group, a least id, and the first (plus WIDE_MARK if the row's
+    anchor is a wide one) and last window of the row that have this id."""
     raw, back = _payloads(table), table.column("back").to_numpy()
     sizes = np.array([int.from_bytes(p[:8], "little") for p in raw])
     parts, at = [], 0
@@ -312,13 +337,9 @@ def match(table: pa.Table) -> pa.Table:
     one, of = distinct(rows)
     order = np.argsort(of, kind="stable")
     least = np.minimum.reduceat(low[order], np.flatnonzero(np.append(True, np.diff(of[order]) != 0)))
-    # Rows whose anchor has no other row are settled; the others' windows go through suffix arrays.
+    # Rows that can't share a window with another are settled; the others' windows go through suffix arrays.
     text = rows[one]
-    h = np.where(lies[one] >= 128, _names(text), _hashes_at(text.ravel(), np.arange(len(one)) * ROW + 1 + (lies[one] & 127)))
-    by = np.argsort(h, kind="stable")
-    lonely = np.ones(len(h) + 1, bool)
-    lonely[1:-1] = h[by][1:] != h[by][:-1]
-    open_ = np.sort(by[~(lonely[:-1] & lonely[1:])])
+    open_ = np.flatnonzero(_entangled(text, lies[one]))
     step = max(1, SHARD // ROW)
     shards = [_classes(text[open_[k : k + step]], least[open_[k : k + step]]) for k in range(0, len(open_), step)]
     values = merge([(keys, value) for keys, value, _, _ in shards])
@@ -345,10 +366,29 @@ def match(table: pa.Table) -> pa.Table:
     sent, told = sent[useful], told[useful]
     out, a, b = [], a.astype(np.uint8), b.astype(np.uint8)
     for i, w in _by_place(owner[sent], np.argsort(begin[sent], kind="stable")):
-        out.append((int(back[i]), 0, len(w).to_bytes(8, "little") + b"".join(x.tobytes() for x in (begin[sent[w]], v[told[w]], lies[sent[w]], a[told[w]], b[told[w]]))))
+        out.append((int(back[i]), 0, len(w).to_bytes(8, "little") + b"".join(x.tobytes() for x in (begin[sent[w]], v[told[w]], a[told[w]] | (lies[sent[w]] & WIDE_MARK), b[told[w]]))))
     return _packed(out)
 
 
+def _entangled(rows: np.ndarray, lies: np.ndarray) -> np.ndarray:
+    """Which distinct rows may share a window with another. Such rows have one anchor, and, as a window has 34 bytes beside it,
+    the same 16 bytes before the anchor or behind it."""
+    flat, wide, lies = rows.ravel(), lies >= WIDE_MARK, (lies % WIDE_MARK).astype(np.int64)
+    at = np.arange(len(rows)) * ROW + 1 + lies
+    h = _hashes_at(flat, at)
+    h[wide] = _mixed(h[wide], _hashes_at(flat, at[wide] + ANCHOR))
+    before, behind = ~wide & (lies >= ANCHOR), ~wide & (rows[:, 0] - lies >= 2 * ANCHOR)
+    out = np.zeros(len(rows), bool)
+    for which, shift in ((wide, 0), (before, -ANCHOR), (behind, ANCHOR)):
+        i = np.flatnonzero(which)
+        key = _mixed(h[i], _hashes_at(flat, at[i] + shift)) if shift else h[i]
+        by = np.argsort(key)
+        twin = np.zeros(len(i) + 1, bool)
+        twin[1:-1] = key[by][1:] == key[by][:-1]
+        out[i[by[twin[:-1] | twin[1:]]]] = True
+    return out
+
+
 def _names(rows: np.ndarray) -> np.ndarray:
     """A 64 bit name of each row's content."""
     out = np.zeros(len(rows), np.uint64)
@@ -394,9 +434,11 @@ def removed(group: Group, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     parts = []
     for p in _payloads(known):
         n = int.from_bytes(p[:8], "little")
-        parts.append([np.frombuffer(p, kind, n, 8 + k * n) for kind, k in ((np.int64, 0), (np.int64, 8), (np.uint8, 16), (np.uint8, 17), (np.uint8, 18))])
-    told, least, place, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-    marked = _hashes_at(group.data, told + (place & 127)) | (place >> 7)
+        parts.append([np.frombuffer(p, kind, n, 8 + k * n) for kind, k in ((np.int64, 0), (np.int64, 8), (np.uint8, 16), (np.uint8, 17))])
+    told, least, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    short = _anchor_hashes(group.data)
+    marked = np.lib.stride_tricks.sliding_window_view(short, REACH)[told].min(axis=1) | (a // WIDE_MARK)
+    a %= WIDE_MARK
     begin, n, _, _ = group.pieces(np.unique(marked))
     _, of = distinct(group.rows(begin, n))
     text = of[np.searchsorted(begin, told)]
@@ -416,7 +458,7 @@ def remove(table: pa.Table, known: pa.Table) -> pa.Table:
     begin, end = removed(group, known) if len(table) and len(known) else (none, none)
     owner = group.owners(begin)
     cuts = np.searchsorted(owner, np.arange(len(table) + 1))
-    spans, kept = [], []
+    table, spans, kept = group.table, [], []
     for i, (start, size) in enumerate(zip(group.starts.tolist(), group.sizes.tolist(), strict=True)):
         b, e = begin[cuts[i] : cuts[i + 1]].tolist(), end[cuts[i] : cuts[i + 1]].tolist()
         spans.append([{"begin": x - start, "end": y - start} for x, y in zip(b, e, strict=True)])
