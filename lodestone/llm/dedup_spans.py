@@ -472,18 +472,20 @@ def cut_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     stay; a range may begin or end inside a character): a row for each document. Columns of these names are replaced.
 
     One plan: the shuffle that groups the texts is planned three times and run once (exchange reuse). Other columns ride in it.
+    A group is a partition of its own, so that none holds several by chance.
     """
     places = 2 * shuffle_buckets(docs.sparkSession)
     place = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(places)).cast("int")
     others = [c for c in docs.columns if c not in ("doc_id", "text", "spans", "kept")]
     rest = [F.struct(*others).alias("rest")] if others else []
+    at = lambda df, column: df.repartitionById(places, F.col(column)).groupBy(column)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("db"), *rest)
-    sent = texts.groupBy("db").applyInArrow(lambda t: anchors(t, places), PACKED)
-    back = sent.groupBy("to").applyInArrow(lambda t: shared(t, crowd), PACKED)
-    cut = texts.groupBy("db").cogroup(back.groupBy("to")).applyInArrow(lambda t, r: contexts(t, r, places), PACKED)
-    known = cut.groupBy("to").applyInArrow(match, PACKED)
+    sent = at(texts, "db").applyInArrow(lambda t: anchors(t, places), PACKED)
+    back = at(sent, "to").applyInArrow(lambda t: shared(t, crowd), PACKED)
+    cut = at(texts, "db").cogroup(at(back, "to")).applyInArrow(lambda t, r: contexts(t, r, places), PACKED)
+    known = at(cut, "to").applyInArrow(match, PACKED)
     result = texts.drop("db").schema.add("spans", SPANS).add("kept", BinaryType())
-    found = texts.groupBy("db").cogroup(known.groupBy("to")).applyInArrow(remove, result)
+    found = at(texts, "db").cogroup(at(known, "to")).applyInArrow(remove, result)
     named = [F.col("rest").getField(c).alias(c) if c in others else F.col(c) for c in docs.columns if c not in ("spans", "kept")]
     return found.select(*named, "spans", "kept")
 
