@@ -11,7 +11,7 @@ source is a few numbers; it is broadcast after being counted, and joined by a sh
 
 Edge cases: null or empty texts have size 0 and are never copied; a null source is a source of its own, ordered last;
 rows with one id share a hash and are taken together; a source without words has target 0; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored by `mix` and kept by `mixed_rows`, whatever their names.
 """
 
 from __future__ import annotations
@@ -118,11 +118,11 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_copie
     copies follow from its own hash and its source's threshold."""
     sizes = sized(docs)
     limits = thresholds(sizes, source_targets(sizes, weights, most_copies)).select("key", "copies", "prefix", "bits", "last")
-    limits = materialise(limits, "limits").select(*[F.col(c).alias(f"mix_{c}") for c in ("key", "copies", "prefix", "bits", "last")])
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    top = F.call_function("shiftright", id_hash(F.col("doc_id")), F.lit(HASH_BITS) - F.col("mix_bits"))
-    more = (top < F.col("mix_prefix")) | ((top == F.col("mix_prefix")) & F.col("mix_last"))
-    copies = F.when(F.col("text").rlike(WORD), F.col("mix_copies") + more.cast("long")).otherwise(F.lit(0))
-    joined = docs.join(sized_broadcast(limits), key == F.col("mix_key")).withColumn("mix_n", copies.cast("int"))
-    again = joined.filter("mix_n > 0").withColumn("mix_again", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of docs meets one of limits
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    rows = docs.select(row).withColumn("key", F.coalesce(F.concat(F.lit("s"), own["source"]), F.lit("n")))
+    top = F.call_function("shiftright", id_hash(own["doc_id"]), F.lit(HASH_BITS) - F.col("bits"))
+    more = (top < F.col("prefix")) | ((top == F.col("prefix")) & F.col("last"))
+    copies = F.when(own["text"].rlike(WORD), F.col("copies") + more.cast("long")).otherwise(F.lit(0)).cast("int")
+    taken = rows.join(sized_broadcast(materialise(limits, "limits")), "key").select("row", copies.alias("n")).filter("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*[x.alias(c) for c, x in own.items()])

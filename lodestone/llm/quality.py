@@ -9,7 +9,7 @@ At most about `sample_rows` labelled rows, taken by a hash of their ids, are use
 find their texts and what reaches the driver (a few MB of features). Scoring is map-only.
 
 Edge cases: null and empty texts are scored by features that are all 0; null labels, and labels without a document,
-are ignored; repeated rows each get a row; without labels of both kinds every score is the share of label 1 (or 0.5);
+are ignored; repeated rows and labels are learnt once; repeated rows each get a row; without labels of both kinds every score is the share of label 1 (or 0.5);
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -182,13 +182,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE,
     return model
 
 
+def _some(rows: DataFrame, most: int) -> DataFrame:
+    """All of some distinct rows, or about `most` of them by their hash."""
+    n = rows.count()
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
 def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits to documents (doc_id, text) with a label (doc_id, quality) in a fold: about sample_rows of them."""
+    """Fits to documents (doc_id, text) with a label (doc_id, quality) in a fold: about sample_rows of them. Both the labels
+    that are broadcast and the rows of features that reach the driver are counted before, and taken by a hash beyond the bound."""
     known = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isin(0, 1))
-    known = materialise(known.filter(training_fold() if fold is None else fold), "labels")
-    rows = known.count()
-    if rows > sample_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / rows))
+    known = _some(materialise(known.filter(training_fold() if fold is None else fold).distinct(), "labels"), sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, sample
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
-    got = joined.mapInArrow(run, f"doc_id {kind}, label long, features array<float>").toArrow()
+    measured = joined.mapInArrow(run, f"doc_id {kind}, label long, features array<float>").distinct()
+    got = _some(materialise(measured, "measured"), sample_rows).toArrow()
     x, y = np.array(got["features"].to_pylist(), np.float32).reshape(got.num_rows, len(FEATURES)), got["label"].to_numpy()
     order = np.lexsort((*x.T, y, got["doc_id"].to_numpy()))
     return fit(x[order], y[order].astype(float))

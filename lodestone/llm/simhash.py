@@ -13,8 +13,8 @@ Components come from alternating large-star and small-star rounds, whose tables
 round; no link, component or fingerprint is collected.
 
 Edge cases: a null text is empty; texts without words have fingerprint zero and are linked like any other; a null id
-never becomes a component's id unless all its ids are null; repeated rows each get a row; an empty table gives an
-empty result; extra columns are ignored.
+never becomes a component's id unless all its ids are null; repeated rows each get a row (`keep_one` keeps one of them);
+an empty table gives an empty result; extra columns are ignored (`keep_one` keeps them).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -60,16 +60,18 @@ def fingerprints(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long), a row for each document; map-only."""
+def fingerprint_table(docs: DataFrame, k: int = SHINGLE, *others: Column) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a long), and other columns of longs, a row for each document; map-only."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = fingerprints(b.column("text").to_pylist(), k).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            fps = pa.array(fingerprints(b.column("text").to_pylist(), k).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps, *b.columns[2:]], names)
 
+    rows = docs.select("doc_id", "text", *others)
+    names = ["doc_id", "fp", *rows.columns[2:]]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(encode, ", ".join([f"doc_id {kind}", *[f"{n} long" for n in names[1:]]]))
 
 
 def _bounds(blocks: int) -> list[tuple[int, int]]:
@@ -149,27 +151,46 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
 
 
+def _grouped(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """fp, label (its component, by the least node): a row for each distinct fp."""
+    nodes = materialise(fps.select("fp").distinct(), "nodes")
+    found = components(links(nodes, distance, blocks))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id that can be reached): a row for each document."""
     fps = materialise(fingerprint_table(docs, k), "fingerprints")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    found = components(links(nodes, distance, blocks))
-    labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    labelled = _grouped(fps, distance, blocks).join(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp")
     ids = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     by_fp = materialise(labelled.join(ids, "label").select("fp", "component_id"), "labels")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """docs without all but one document of each component: the one of the smallest id stays. Of repeated rows that
-    share this id, one stays. The list of kept ids grows with the corpus, so it is never broadcast: a merge join has
-    the same plan at every size."""
-    found = near_duplicates(docs, k, distance, blocks)
-    kept = materialise(found.filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select("doc_id").distinct(), "kept")
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    repeated = materialise(docs.groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"), "repeated")
-    single = docs.alias("d").join(kept.hint("merge").alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select(*cols)
+    """docs without all but one row of each component: the one of the smallest id stays; a null id comes last, and rows of
+    one id are taken by fingerprint, then by a hash of the text. Of equal rows of this id and text, which may differ in
+    other columns, the one of the least hash stays. So every component keeps a row, and reruns keep the same.
+
+    The list of kept rows grows with the corpus, so it is never broadcast: a merge join has the same plan at every size.
+    """
+    mark = F.xxhash64("text").alias("mark")
+    fps = materialise(fingerprint_table(docs, k, mark), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "fp", "mark"))
+    best = fps.groupBy("fp").agg(first.alias("r")).join(_grouped(fps, distance, blocks), "fp").groupBy("label").agg(F.min("r").alias("r"))
+    kept = materialise(best.select("r.doc_id", "r.mark"), "kept")
+    repeated = fps.groupBy("doc_id", "mark").count().filter("count > 1").select("doc_id", "mark")
+    repeated = materialise(repeated.alias("x").join(kept.hint("merge").alias("y"), _same("x", "y"), "left_semi"), "repeated")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = docs.select("doc_id", F.xxhash64("text").alias("mark"), row).alias("d").join(kept.hint("merge").alias("k"), _same("d", "k"), "left_semi")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
     if repeated.isEmpty():
-        return single
-    rest = single.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return rest.unionByName(single.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        return one.select(*own)
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = F.xxhash64(*[F.col("row").getField(c) for c in plain])
+    several = one.alias("o").join(repeated.alias("r"), _same("o", "r"), "left_semi").groupBy("doc_id", "mark").agg(F.min_by("row", order).alias("row"))
+    return one.alias("o").join(repeated.alias("r"), _same("o", "r"), "left_anti").select(*own).unionByName(several.select(*own))
+
+
+def _same(x: str, y: str) -> Column:
+    return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.mark") == F.col(f"{y}.mark"))

@@ -49,7 +49,11 @@ def test_mix_near_targets(docs, rows):
         assert abs(taken[s] - target[s]) <= most[s] / 2 + 1e-6
     again = mix.mix(docs.repartition(5))
     assert collected(again, "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got), key=repr)
-    assert mix.mixed_rows(docs).count() == sum(r.copies for r in got)
+    clash = docs.withColumnsRenamed({"words": "mix_key", "hits": "prefix", "size": "copies", "label": "bits", "db": "row"})
+    taken = Counter(tuple(r) for r in mix.mixed_rows(clash).collect())
+    assert mix.mixed_rows(clash).columns == clash.columns
+    copies = {r.doc_id: r.copies for r in got if r["size"]}
+    assert taken == Counter({k: n * copies[k[0]] for k, n in Counter(r for r in rows if WORD.search(r[1] or "")).items() if copies[k[0]]})
 
 
 def test_mix_bounded_sources_joined_without_broadcast(docs, monkeypatch):
@@ -188,7 +192,7 @@ def test_lm_classes_sum_to_one():
     assert np.allclose(np.exp(m.log_classes(np.arange(64))).sum(axis=1), 1)
 
 
-def brute_simhash(rows):
+def brute_components(rows):
     fps = []
     for r in rows:
         w = WORD.findall((r[1] or "").translate(LOW))
@@ -206,7 +210,16 @@ def brute_simhash(rows):
         for b in range(a):
             if bin(fps[a] ^ fps[b]).count("1") <= 2:
                 parent[find(a)] = find(b)
-    least = defaultdict(list)
+    return fps, [find(k) for k in range(len(rows))]
+
+
+def component_of(rows):
+    return brute_components(rows)[1]
+
+
+def brute_simhash(rows):
+    fps, group = brute_components(rows)
+    least, find = defaultdict(list), group.__getitem__
     for k, r in enumerate(rows):
         if r[0] is not None:
             least[find(k)].append(r[0])
@@ -215,8 +228,25 @@ def brute_simhash(rows):
 
 def test_simhash(docs, rows):
     assert collected(simhash.near_duplicates(docs), "doc_id", "fp", "component_id") == sorted(brute_simhash(rows), key=repr)
-    kept = [r.doc_id for r in simhash.keep_one(docs).collect() if r.doc_id is not None]
-    assert sorted(kept) == sorted({x[2] for x in brute_simhash(rows) if x[0] is not None})
+
+
+def test_keep_one(spark, docs, rows):
+    """Null ids, repeated ids with equal and with other texts, and columns of any name."""
+    more = [(20, "an other text of a repeated id", "en", "s0", 1), (None, "said by nobody else", "en", "s0", 1), (None, "said by nobody else", "de", "s0", 1), (106, "one", "de", "s9", 3)]
+    rows = [*rows, *[m + rows[0][5:] for m in more]]
+    df = spark.createDataFrame(rows, docs.schema).withColumnsRenamed({"words": "mark", "hits": "row", "label": "late"})
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    got = [tuple(r) for r in got.collect()]
+    label = {}
+    for k, g in enumerate(component_of(rows)):
+        label.setdefault(g, []).append(rows[k])
+    assert len(got) == len(label)
+    first = lambda r: (r[0] is None, r[0] or 0)
+    for g in label.values():
+        least = min(map(first, g))
+        assert sum(r in got for r in {x for x in g}) == 1 and any(r in got for r in g if first(r) == least)
+    assert sorted(got, key=repr) == sorted((tuple(r) for r in simhash.keep_one(df.repartition(7)).collect()), key=repr)
 
 
 @pytest.mark.parametrize("most_paired", [1, 32])
