@@ -176,3 +176,44 @@ def truncated(text: Column, most: int) -> Column:
 def token_estimate(text: Column) -> Column:
     """A token for each four characters, one at least."""
     return F.greatest(F.lit(1), F.floor(F.char_length(text) / 4)).cast("long")
+
+
+def lines(text: Column) -> Column:
+    """A text's lines at any line end; an end at the end of the text begins no line."""
+    rows = F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    return F.when(F.element_at(rows, -1) == "", F.slice(rows, 1, F.size(rows) - 1)).otherwise(rows)
+
+
+def folder(path: Column) -> Column:
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(".")
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path without empty parts and dots; two dots go up, and stay at the front if there is nothing to leave."""
+    empty = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+
+
+def plain_token(text: Column) -> Column:
+    """Lower-case letters and digits."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def display_path(path: Column, root: str | None) -> Column:
+    """A path relative to a root that it lies under."""
+    if not root:
+        return path
+    base = root.rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+
+
+def covered_forms(terms: list[str], text: Column) -> Column:
+    """Of each term the first of its forms that occurs in a text."""
+    low, plain = F.lower(text), plain_token(text)
+    hit = [F.coalesce(*[F.when(plain.contains(f) | low.contains(f), F.lit(f)) for f in forms]) for t in terms if (forms := normal_forms(t))]
+    return F.array_distinct(F.array_compact(F.array(*hit))) if hit else F.array().cast("array<string>")

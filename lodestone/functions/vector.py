@@ -40,9 +40,10 @@ def gate_threshold(sigma: Column, rows: Column, static: float = 0.015, floor: fl
 def hashed_embedding(tokens: Column, dimension: int = 64) -> Column:
     """A deterministic stand-in for a model: signed hashed counts of tokens, scaled to length 1."""
     slots = F.transform(tokens, lambda t: F.xxhash64(t))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda i: F.aggregate(F.filter(slots, lambda h: F.pmod(h, F.lit(dimension)) == i), F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)),
-    )
-    length = F.greatest(F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
-    return F.transform(sums, lambda x: (x / length).cast("float"))
+    sign = lambda h: F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)
+    at = lambda hs, i: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(dimension)) == i), F.lit(0.0), lambda s, h: s + sign(h))
+    # Bound by lambdas, so that tokens are hashed once and not for each place and for the length.
+    sums = F.transform(F.array(slots), lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: at(hs, i)))
+    unit = lambda x: F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-12))
+    whole = F.transform(sums, lambda x: F.struct(x.alias("x"), unit(x).alias("n")))
+    return F.get(F.transform(whole, lambda w: F.transform(w["x"], lambda y: (y / w["n"]).cast("float"))), F.lit(0))

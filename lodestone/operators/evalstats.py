@@ -105,3 +105,97 @@ def bm25_rank(counts: DataFrame, files: int, in_path: Column) -> DataFrame:
     idf = F.ln(1 + F.lit(files) / (F.col("df") + 1))
     part = idf * (F.when(F.col("n") > 0, 1 + F.ln("n")).otherwise(0.0) + F.when(in_path, 2.0).otherwise(0.0))
     return counts.join(F.broadcast(df), "term").groupBy("path").agg(F.sum(part).alias("score")).filter("score > 0")
+
+
+# How path, facts, breadth and precision make up each deliverable's score, and what makes up the final one.
+DELIVERABLES = {
+    "path_decision": (0.70, 0.20, 0.0, 0.10),
+    "source_evidence": (0.40, 0.45, 0.0, 0.15),
+    "multi_file_explanation": (0.35, 0.40, 0.15, 0.10),
+    "generic": (0.35, 0.35, 0.20, 0.10),
+}
+FINAL = (0.55, 0.20, 0.15, 0.10)
+
+
+def context_scores(expected: Column, terms: Column, paths: Column, payload: Column) -> Column:
+    """struct(path_coverage, path_precision, evidence_coverage, sufficiency, found) of a retrieved context: expected paths that a
+    path holds, distinct paths that hold one, terms in the payload."""
+    real = F.array_distinct(F.filter(paths, lambda p: p != ""))
+    share = lambda n, of, empty: F.when(F.size(of) > 0, n / F.size(of)).otherwise(empty)
+    found = F.size(F.filter(expected, lambda e: F.exists(paths, lambda p: F.contains(p, e))))
+    right = F.size(F.filter(real, lambda p: F.exists(expected, lambda e: F.contains(p, e))))
+    low = F.lower(payload)
+    told = F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t))))
+    coverage, evidence = share(found, expected, 1.0), share(told, terms, 1.0)
+    precision = F.when(F.size(real) == 0, F.when(F.size(expected) > 0, 0.0).otherwise(1.0)).when(F.size(expected) == 0, 1.0).otherwise(right / F.size(real))
+    return F.struct(F.round(coverage, 3).alias("path_coverage"), F.round(precision, 3).alias("path_precision"), F.round(evidence, 3).alias("evidence_coverage"), F.round(0.6 * coverage + 0.4 * evidence, 3).alias("sufficiency"), right.alias("found"))
+
+
+def completion_quality(deliverable: Column, path: Column, fact: Column, breadth: Column, precision: Column, sufficiency: Column, threshold: float = 0.85) -> Column:
+    """How well a context can complete a task: the deliverable's own mix, retrieval, the lesser of path and facts, and
+    whether a search would have stopped."""
+    mix = lambda w: w[0] * path + w[1] * fact + w[2] * breadth + w[3] * precision
+    own = F.coalesce(*[F.when(deliverable == k, mix(w)) for k, w in DELIVERABLES.items()], mix(DELIVERABLES["generic"]))
+    stop = F.when(sufficiency >= threshold, 1.0).otherwise(F.least(F.lit(0.8), sufficiency))
+    return FINAL[0] * own + FINAL[1] * sufficiency + FINAL[2] * F.least(path, fact) + FINAL[3] * stop
+
+
+def reduction_ratios(rows: DataFrame, indexed_tokens: Column, source_tokens: Column) -> DataFrame:
+    """One row of means over rows (retrieval_tokens, expected_hit, latency): how many times less than the index and the
+    sources a retrieval is, each ratio rounded before it is averaged."""
+    times = lambda total: F.round(total / F.col("retrieval_tokens"), 1)
+    return rows.agg(
+        F.round(F.avg("retrieval_tokens"), 1).alias("retrieval_tokens"), F.round(F.avg(times(indexed_tokens)), 1).alias("indexed_reduction"),
+        F.round(F.avg(times(source_tokens)), 1).alias("source_reduction"), F.round(F.avg("latency"), 3).alias("latency"),
+        F.concat(F.count_if(F.col("expected_hit")).cast("string"), F.lit("/"), F.count("expected_hit").cast("string")).alias("hit_rate"),
+    )
+
+
+def policy_ratios(totals: DataFrame, treatment: str, baseline: str, fields: tuple[str, ...]) -> DataFrame:
+    """One row: baseline / treatment of each field of policy_totals."""
+    pick = lambda p, f: F.max(F.when(F.col("policy") == p, F.col(f)))
+    return totals.agg(*[ratio(pick(baseline, f), pick(treatment, f)).alias(f) for f in fields])
+
+
+# Parts of a path that say little about an implementation.
+LOW_VALUE_PARTS = ("/.git/", "/bench/", "/benchmark/", "/benchmarks/", "/docs/", "/doc/", "/examples/", "/fixtures/")
+
+
+def probe_rank(path: Column, matched: Column, suffixes: tuple[str, ...]) -> list[Column]:
+    """The order of paths found by matched terms: more terms, source files, no side folders, terms in the path, short ones."""
+    low = F.concat(F.lit("/"), F.lower(path))
+    side = sum((low.contains(p).cast("int") for p in LOW_VALUE_PARTS), F.lit(0)) + (low.contains("generated") | low.contains("snapshot")).cast("int")
+    ext = F.regexp_extract(F.lower(path), r"\.([^./]+)$", 1)
+    return [F.desc(F.size(matched)), F.desc(ext.isin(*suffixes)), side, F.desc(F.size(F.filter(matched, lambda t: F.contains(low, t)))), F.char_length(path), path]
+
+
+def word_match(term: Column, word: Column) -> Column:
+    """How many letters of two words agree: all and one more if equal, the shorter's if one holds the other, a common start of
+    four letters at least, else 0."""
+    n = F.least(F.char_length(term), F.char_length(word))
+    common = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(term, F.lit(1), k) == F.substr(word, F.lit(1), k))), F.lit(0))
+    return (
+        F.when((F.char_length(term) < 3) | (F.char_length(word) < 3), 0).when(term == word, F.char_length(term) + 1)
+        .when(F.contains(word, term) | F.contains(term, word), n).when(common >= 4, common).otherwise(0)
+    )
+
+
+def merged_receipts(receipts: DataFrame, consistent: tuple[str, ...], rows: DataFrame) -> DataFrame:
+    """rows (repo, task_id, policy, trial) of receipts (repo, commit, clean and the consistent columns), if they belong
+    together: no repository twice, one value of each consistent column, full commits of clean trees, each task and trial once
+    for each policy, and pairs complete. One aggregation decides; it raises with what is wrong."""
+    r = receipts.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("repo").alias("repos"), F.count_if(~F.coalesce(F.col("commit").rlike("^[0-9a-fA-F]{40}$"), F.lit(False))).alias("commits"),
+        F.count_if(~F.coalesce(F.col("clean"), F.lit(False))).alias("dirty"), *[F.count_distinct(c).alias(f"v_{c}") for c in consistent],
+    ).first()
+    wrong = [f"all receipts must use the same {c}" for c in consistent if r[f"v_{c}"] > 1]
+    wrong += ["at least one receipt is required"] * (r["n"] == 0) + ["duplicate repository receipt"] * (r["repos"] < r["n"])
+    wrong += ["a full source commit is required"] * (r["commits"] > 0) + ["receipts must come from a clean tree"] * (r["dirty"] > 0)
+    policies = rows.select("policy").distinct().count()
+    per = rows.groupBy("repo", "task_id", "trial").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("policy").alias("p"))
+    bad = per.agg(F.count_if(F.col("n") > F.col("p")).alias("again"), F.count_if(F.col("p") < policies).alias("half")).first()
+    wrong += ["duplicate observation"] * ((bad["again"] or 0) > 0) + ["incomplete pair"] * ((bad["half"] or 0) > 0)
+    wrong += ["rows of a repository without a receipt"] * (not rows.join(receipts, "repo", "left_anti").isEmpty())
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return rows

@@ -18,9 +18,25 @@ def path_lane(files: DataFrame, terms: list[str]) -> DataFrame:
     return files.select("path", n.alias("n")).filter("n > 0").select("path", F.lit("path").alias("lane"), (0.75 + 0.15 * F.col("n")).alias("score"))
 
 
+def term_lane(chunks: DataFrame, terms: list[str], lane: str, weight: float) -> DataFrame:
+    """path, lane, score: the weight for each term that a chunk of the file has in some form."""
+    low = F.lower("chunk")
+    hit = F.array_compact(F.array(*[F.when(T.any_of(low.contains(v) for v in T.synonym_variants(t)), F.lit(i)) for i, t in enumerate(terms)]))
+    found = chunks.select("path", F.explode(hit).alias("term")).groupBy("path").agg(F.count_distinct("term").alias("n"))
+    return found.select("path", F.lit(lane).alias("lane"), (weight * F.col("n")).alias("score"))
+
+
+def symbol_lane(symbols: DataFrame, terms: list[str]) -> DataFrame:
+    """path, lane, score: 1 for each term that lies in a name of the file in some form."""
+    name, words = F.lower("name"), F.concat(F.lit(" "), F.col("name_lower"), F.lit(" "))
+    hit = F.array_compact(F.array(*[F.when(T.any_of(name.contains(v) | words.contains(f" {v} ") for v in T.synonym_variants(t)), F.lit(i)) for i, t in enumerate(terms)]))
+    found = symbols.select(F.col("file").alias("path"), F.explode(hit).alias("term")).groupBy("path").agg(F.count_distinct("term").alias("n"))
+    return found.select("path", F.lit("symbol").alias("lane"), (LANE_WEIGHTS["symbol"] * F.col("n")).alias("score"))
+
+
 def content_lane(chunks: DataFrame, terms: list[str], lane: str, weight: float) -> DataFrame:
     """path, lane, score of the files of which a chunk has a term: one scan for all terms."""
-    hit = T.any_of(F.lower("chunk").contains(v) for t in terms for v in T.surface_variants(t))
+    hit = T.any_of(F.lower("chunk").contains(v) for t in terms for v in T.synonym_variants(t))
     return chunks.filter(hit).select("path").distinct().select("path", F.lit(lane).alias("lane"), F.lit(weight).alias("score"))
 
 
@@ -32,40 +48,57 @@ def source_type_lane(files: DataFrame, terms: list[str], wanted: str) -> DataFra
     return found.select("path", F.lit("source-type").alias("lane"), (1.10 + 0.20 * F.col("n")).alias("score"))
 
 
-def recall(lanes: list[DataFrame], most_paths: int = 120) -> DataFrame:
-    """path, score (summed over lanes), lanes: the best paths."""
+def votes(lanes: list[DataFrame]) -> DataFrame:
+    """path, score (summed over lanes), lanes."""
     every = lanes[0]
     for x in lanes[1:]:
         every = every.unionByName(x)
-    votes = every.groupBy("path").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("lane")).alias("lanes"))
-    return votes.orderBy(F.desc("score"), "path").limit(most_paths)
+    return every.groupBy("path").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("lane")).alias("lanes"))
+
+
+def recall(lanes: list[DataFrame], most_paths: int = 120) -> DataFrame:
+    """The best paths of votes."""
+    return votes(lanes).orderBy(F.desc("score"), "path").limit(most_paths)
 
 
 def candidate_score(lexical: Column, identity: Column, anchor: Column, terms: Column, path_score: Column, prior: Column) -> Column:
     return lexical + 0.05 * identity + anchor + 0.18 * terms + 0.12 * path_score + 0.35 * prior
 
 
+# What a kind of question adds for a kind of file (source, test, doc, any other), and for names that it favours.
+# A name is given as (how it is compared, the value, what it adds); "dir" compares a part of the path.
+PRIORS = {
+    "test_location": ((0.15, 2.5, -1.5, -1.0), ()),
+    "config_location": ((0.1, -0.8, -0.45, 0.1), (("starts", "config.", 2.4), ("dir", "config", 1.3))),
+    "indexing_rules": ((0.1, -1.2, -0.4, 0.1), (("is", "indexer.py", 1.9), ("is", "indexer.rs", 1.9), ("ends", "_indexer.py", 1.9), ("has", "ignore", 1.0))),
+    "search_result_logic": ((0.1, -5.0, -0.4, 0.1), (("is", "storage.py", 1.6), ("is", "search.rs", 1.6), ("has", "search", 1.0), ("has", "storage", 1.0))),
+    "file_location": ((0.35, -0.9, -0.35, -0.8), ()),
+    "implementation": ((0.35, -0.9, -0.35, -0.8), ()),
+}
+OTHERWISE = {"lockfile": -0.8, "generated": -0.8}
+#: Questions whose prior for tests holds whatever a test is called.
+TESTS_FIRST = ("search_result_logic",)
+SNAPSHOT_PRIOR = -1.0
+
+
 def intent_prior(intent: str, path: Column) -> Column:
-    """What a kind of question adds for a kind of file."""
-    kind, low = T.source_type(path), F.lower(path)
+    """What a kind of question adds for a kind of file, by PRIORS."""
+    kind, low = T.source_type(path), F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    if intent not in PRIORS:
+        return F.coalesce(*[F.when(kind == k, v) for k, v in OTHERWISE.items()], F.lit(0.0))
+    (source, test, doc, rest), names = PRIORS[intent]
     name = T.basename(low)
+    compared = {"is": lambda v: name == v, "starts": name.startswith, "ends": name.endswith, "has": name.contains, "dir": lambda v: low.contains(f"/{v}/") | low.endswith(f"/{v}")}
+    by_kind = F.when(kind == "source", source).when(kind == "test", test).when(kind == "doc", doc).otherwise(rest)
+    first = [F.when(kind == "test", test)] if intent in TESTS_FIRST else []
+    return F.coalesce(*first, *[F.when(compared[how](value), worth) for how, value, worth in names], by_kind)
+
 
-    def by(source: float, test: float, doc: float, rest: float) -> Column:
-        return F.when(kind == "source", source).when(kind == "test", test).when(kind == "doc", doc).otherwise(rest)
-
-    if intent == "test_location":
-        return by(0.15, 2.5, -1.5, -1.0)
-    if intent == "config_location":
-        return F.when(name.startswith("config."), 2.4).when(low.contains("/config/") | low.endswith("/config"), 1.3).otherwise(by(0.1, -0.8, -0.45, 0.1))
-    if intent == "indexing_rules":
-        own = name.isin("indexer.py", "indexer.rs") | name.endswith("_indexer.py")
-        return F.when(own, 1.9).when(name.contains("ignore"), 1.0).otherwise(by(0.1, -1.2, -0.4, 0.1))
-    if intent == "search_result_logic":
-        named = F.when(name.isin("storage.py", "search.rs"), 1.6).when(name.contains("search") | name.contains("storage"), 1.0)
-        return F.when(kind == "test", -5.0).otherwise(named.otherwise(by(0.1, 0.1, -0.4, 0.1)))
-    if intent in ("file_location", "implementation"):
-        return by(0.35, -0.9, -0.35, -0.8)
-    return F.when(kind.isin("lockfile", "generated"), -0.8).otherwise(0.0)
+def version_prior(query: str, path: Column) -> Column:
+    """What a document of a version adds if the query doesn't name the version."""
+    versions = T.version_tokens(T.basename(path))
+    named = F.arrays_overlap(versions, T.version_tokens(F.lit(query)))
+    return F.when(T.is_document(path) & (F.size(versions) > 0) & ~named, SNAPSHOT_PRIOR).otherwise(0.0)
 
 
 def confidence(top: Column, gap: Column, covered: Column, terms: Column, lanes: Column) -> Column:

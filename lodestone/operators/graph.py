@@ -30,7 +30,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float =
     if not n:
         return stats.withColumn("pagerank", F.lit(None).cast("double"))
     weighted = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).join(stats.select(F.col("file").alias("src"), "out_degree"), "src")
-    weighted = weighted.select("src", "dst", (F.col("n") / F.col("out_degree")).alias("share")).checkpoint()
+    weighted = weighted.select("src", "dst", (F.col("n") / F.col("out_degree")).alias("share")).repartition("src").checkpoint()
     ranks = stats.select("file", (F.col("out_degree") == 0).alias("dangling"), F.lit(1.0 / n).alias("pagerank"))
     for _ in range(iterations):
         inflow = weighted.join(ranks, F.col("src") == F.col("file")).groupBy("dst").agg(F.sum(F.col("share") * F.col("pagerank")).alias("inflow"))

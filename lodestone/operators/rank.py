@@ -28,7 +28,8 @@ def best_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def diversify(rows: DataFrame, k: int, per_file: int = PER_FILE, score: str = "score", file: str = "path", tie: str = "id") -> DataFrame:
     """At most per_file rows of a file first, then the others in order until k. Ranks are kept as `rank`."""
     w = Window.partitionBy(file).orderBy(F.desc(score), F.col(tie))
-    late = rows.withColumn("__late", (F.row_number().over(w) > per_file).cast("int"))
+    near = rows.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k)  # k rows of a file are enough, and the limit goes below the shuffle
+    late = near.withColumn("__late", (F.col("__rn") > per_file).cast("int")).drop("__rn")
     best = late.orderBy("__late", F.desc(score), F.col(tie)).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy("__late", F.desc(score), F.col(tie)))).drop("__late")
 
@@ -40,7 +41,7 @@ def file_rank(rows: DataFrame, k: int, score: str = "score", file: str = "path",
 def max_dedupe(rows: DataFrame, keys: list[str], score: str = "score", tie: str = "id") -> DataFrame:
     """Of rows with one key, the best: combined before the shuffle."""
     others = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(F.col(score), -F.col(tie))).alias("b"))
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))).alias("b"))
     return best.select(*keys, "b.*")
 
 

@@ -11,7 +11,7 @@ from lodestone.functions import text as T
 from lodestone.functions import vector as V
 from lodestone.operators import evidence as E
 from lodestone.operators import rank as R
-from lodestone.plans.planner import QuerySpec, agent_intent
+from lodestone.plans.planner import QuerySpec
 
 LEXICAL_WEIGHT, SYMBOL_WEIGHT = 0.2, 0.10
 
@@ -38,6 +38,8 @@ def hybrid_search(chunks: DataFrame, spec: QuerySpec, files: DataFrame | None =
         rows = rows.filter(F.col("language").isin(*spec.languages))
     if spec.include or spec.exclude:
         rows = rows.filter(T.glob_match(F.col("path"), spec.include, spec.exclude))
+    if spec.vector is None:
+        raise ValueError("a QuerySpec needs a vector for hybrid_search; symbol_search and the recall module work without one")
     query = vector_literal(spec.vector)
     rows = rows.filter(V.has_dimension(F.col("embedding"), len(spec.vector)))
     if spec.multi_resolution and files is not None:
@@ -49,7 +51,8 @@ def hybrid_search(chunks: DataFrame, spec: QuerySpec, files: DataFrame | None =
     rows = rows.withColumn("lexical_score", lexical)
     blend = F.col("semantic_score") if spec.semantic_only else F.col("semantic_score") * (1 - LEXICAL_WEIGHT) + F.col("lexical_score") * LEXICAL_WEIGHT
     rows = rows.withColumn("score", blend).drop("embedding")
-    rows = R.max_dedupe(rows, ["path", "chunk"])
+    place = [c for c in ("start_line", "end_line") if c in rows.columns]
+    rows = R.max_dedupe(rows.withColumn("__h", F.xxhash64("chunk")), ["path", *place, "__h"]).drop("__h")
     if reranker is not None:
         rows = reranker(R.top_k(rows, spec.rerank_pool))
     rows = rows.withColumn("score", R.penalised(F.col("score"), T.is_non_canonical(F.col("path"))))
@@ -86,8 +89,33 @@ def cascade_search(chunks: DataFrame, files: DataFrame, spec: QuerySpec, second_
     if second_vector is None:
         return first
     again = hybrid_search(chunks, QuerySpec(**{**spec.__dict__, "vector": second_vector}))
-    both = R.best_per_key(first.drop("rank").unionByName(again.drop("rank")), ["id"], [F.desc("score")])
-    return R.diversify(both, spec.top_k)
+    both = R.best_per_key(first.drop("rank").unionByName(again.drop("rank")), ["path", "id"], [F.desc("score")])
+    ranked = R.top_k(both, spec.top_k)
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
+def multi_channel_search(chunks: DataFrame, spec: QuerySpec, symbols: DataFrame, pool: int = 30) -> DataFrame:
+    """path, id, score, cosine_rank, symbol_rank: chunks of the hybrid search and the first chunks of the files whose symbols
+    match, fused by rank. A file's chunk that both channels return counts for both."""
+    first = hybrid_search(chunks, QuerySpec(**{**spec.__dict__, "top_k": pool}), symbols=symbols).select("path", "id", F.col("rank").alias("cosine_rank"))
+    terms = [t for t in T.query_terms(spec.query) if len(t) >= 4]
+    if not terms:
+        both = first.withColumn("symbol_rank", F.lit(None).cast("int"))
+    else:
+        second = symbol_chunks(symbols, chunks, terms, pool).select(F.col("file").alias("path"), "id", F.col("rank").alias("symbol_rank"))
+        both = first.join(second, ["path", "id"], "full")
+    part = lambda c: F.coalesce(1.0 / (R.RRF_K + F.col(c)), F.lit(0.0))
+    return R.top_k(both.withColumn("score", part("cosine_rank") + part("symbol_rank")), spec.top_k)
+
+
+def symbol_chunks(symbols: DataFrame, chunks: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
+    """symbol_search with the id of each file's first chunk; files without a chunk are left out before the limit."""
+    order = F.struct("chunk_index", "id") if "chunk_index" in chunks.columns else F.struct("id")
+    first = chunks.groupBy(F.col("path").alias("file")).agg(F.min_by("id", order).alias("id"))
+    found = E.symbol_hits(symbols, terms).join(first, "file")
+    w = Window.orderBy(F.desc("hits"), F.desc("exact"), "file")
+    best = found.orderBy(F.desc("hits"), F.desc("exact"), "file").limit(k)
+    return best.withColumn("score", E.symbol_score(F.col("hits"), F.col("exact"), len(terms))).withColumn("rank", F.row_number().over(w))
 
 
 def symbol_search(symbols: DataFrame, terms: list[str], k: int = 10) -> DataFrame:
@@ -98,22 +126,6 @@ def symbol_search(symbols: DataFrame, terms: list[str], k: int = 10) -> DataFram
     return best.withColumn("score", E.symbol_score(F.col("hits"), F.col("exact"), len(terms))).withColumn("rank", F.row_number().over(w))
 
 
-def agent_context(files: DataFrame, chunks: DataFrame, query: str, k: int = 10, symbols: DataFrame | None = None) -> DataFrame:
-    """path, id, score, lanes, evidence (terms): files recalled by several lanes, the best chunk of each by evidence."""
-    terms = T.query_terms(query, 12)
-    lanes = [E.path_lane(files, terms), E.content_lane(chunks, terms, "chunk", E.LANE_WEIGHTS["chunk"])]
-    if symbols is not None:
-        lanes.append(E.symbol_hits(symbols, terms).select(F.col("file").alias("path"), F.lit("symbol").alias("lane"), F.lit(E.LANE_WEIGHTS["symbol"]).alias("score")))
-    votes = E.recall(lanes).withColumnRenamed("score", "path_score")
-    rows = chunks.join(F.broadcast(votes), "path")
-    found = T.covered(terms, F.concat(F.col("path"), F.lit("\n"), F.col("chunk")))
-    lexical = T.lexical_score(query, F.lit(""), F.col("chunk")) + 0.5 * T.lexical_score(query, F.col("path"), F.lit(""))
-    rows = rows.withColumn("evidence", found).withColumn("lexical", lexical).filter("lexical > 0")
-    score = E.candidate_score(F.col("lexical"), F.lit(0.0), F.lit(0.0), F.size("evidence"), F.col("path_score"), E.intent_prior(agent_intent(query), F.col("path")))
-    best = R.best_per_key(rows.withColumn("score", score), ["path"], [F.desc("score"), F.col("id")])
-    return best.select("path", "id", "score", "lanes", "evidence").orderBy(F.desc("score"), "path").limit(k)
-
-
 def verdict(results: DataFrame, terms: int) -> DataFrame:
     """One row: top_score, gap, confidence, quality of a context (path, score, lanes, evidence)."""
     w = Window.orderBy(F.desc("score"), "path")

@@ -16,6 +16,7 @@ from lodestone.operators import evidence as E
 from lodestone.operators import graph as G
 from lodestone.operators import rank as R
 from lodestone.plans import planner as P
+from lodestone.plans import recall as A
 from lodestone.plans import search as Q
 from lodestone.sources import corpus as C
 from lodestone.sources import store
@@ -82,7 +83,7 @@ def multi_resolution_search(spark, d):
     e = table(spark, d, "embeddings")
     q = query_vector(spark, d)
     means = store.file_vectors(e.select(F.col("label").alias("file"), "embedding")).crossJoin(F.broadcast(q))
-    near = R.top_k(means.select("file", V.cosine(F.col("embedding"), F.col("q")).alias("score")), 3, tie="file")
+    near = R.top_k(means.select("file", V.cosine(F.col("embedding"), F.col("q")).alias("score")), 30, tie="file")
     rows = e.join(F.broadcast(near.select(F.col("file").alias("label"))), "label", "left_semi").crossJoin(F.broadcast(q))
     rows = rows.select("vec_id", "label", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
     return R.top_k(rows, 10, tie="vec_id").select("vec_id", "label", F.round("score", 9).alias("score"))
@@ -239,7 +240,8 @@ def folder_counts(spark, d):
 
 def group_budget(spark, d):
     rows = files(spark, d).withColumn("folder", F.regexp_replace("path", "/.*$", ""))
-    ranked = rows.withColumn("folder_rank", F.dense_rank().over(Window.orderBy("folder")))
+    folders = rows.select("folder").distinct().withColumn("folder_rank", F.row_number().over(Window.orderBy("folder")))
+    ranked = rows.join(folders, "folder")
     return R.group_budget(ranked, "folder", "folder_rank", [F.desc("n_chars"), F.col("id")]).select("folder", "folder_rank", "id")
 
 
@@ -258,12 +260,6 @@ def metadata_rerank(spark, d):
 
 
 def living_authority_filter(spark, d):
-    rows = synthetic(spark, d).filter("id < 300").select("id", F.when(F.col("id") == 0, "docs/SECURITY.md").otherwise(F.col("path")).alias("path"), (1.0 / (F.col("id") + 1)).alias("score"))
-    return E.living_authority(rows, "how is release 1.4 secured").select("id", "path")
-
-
-def living_authority_all(spark, d):
-    """living_authority_filter over every row of `part`."""
     rows = synthetic(spark, d).select("id", F.when(F.col("id") == 0, "docs/SECURITY.md").otherwise(F.col("path")).alias("path"), (1.0 / (F.col("id") + 1)).alias("score"))
     return E.living_authority(rows, "how is release 1.4 secured").select("id", "path")
 
@@ -306,17 +302,25 @@ def recall_lanes(spark, d):
     return E.recall(lanes).select("path", F.round("score", 9).alias("score"), F.array_join("lanes", ",").alias("lanes"))
 
 
+def contexts(spark, d) -> tuple[DataFrame, DataFrame]:
+    f = files(spark, d).select("id", "path", "chunk", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))
+    return f, A.agent_context(f.select("path"), f, " ".join(TERMS), 20)
+
+
 def agent_context(spark, d):
-    f = files(spark, d)
-    rows = Q.agent_context(f.select("path"), f, " ".join(TERMS), 20)
-    return rows.select("path", "id", F.round("score", 9).alias("score"), F.array_join("lanes", ",").alias("lanes"), F.array_join("evidence", ",").alias("evidence"))
+    return contexts(spark, d)[1].select("path", "id", F.round("score", 9).alias("score"), F.array_join("lanes", ",").alias("lanes"), F.array_join("evidence", ",").alias("evidence"))
 
 
 def strict_verdict(spark, d):
-    f = files(spark, d)
-    one = Q.verdict(Q.agent_context(f.select("path"), f, " ".join(TERMS), 20), len(TERMS))
-    passed = E.strict_passed(F.col("quality"), F.lit(True), F.col("covered") > 0, F.col("lanes"), F.lit(1), 10)
-    return one.select(F.round("top_score", 9).alias("top_score"), F.round("gap", 9).alias("gap"), "covered", "lanes", F.round("confidence", 9).alias("confidence"), "quality", passed.alias("passed"))
+    """Stored times are the files' sizes, and every third file is newer; the corpus-wide pass ranks by vector."""
+    f, context = contexts(spark, d)
+    semantic = R.top_k(embedded(spark, d).crossJoin(F.broadcast(query_vector(spark, d))).select("id", "path", V.cosine(F.col("embedding"), F.col("q")).alias("score")), 40)
+    semantic = semantic.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    listing = files(spark, d)
+    stored = listing.select("path", F.col("n_chars").cast("double").alias("file_mtime"))
+    now = listing.select("path", (F.col("n_chars") + F.col("id") % 3).cast("double").alias("mtime"))
+    one = A.strict_verdict(context, len(TERMS), semantic, stored, now, 20)
+    return one.select(F.round("top_score", 9).alias("top_score"), F.round("gap", 9).alias("gap"), "covered", "lanes", F.round("confidence", 9).alias("confidence"), "quality", "path", "fresh", "semantic_rank", "passed")
 
 
 def interval_overlap_anchor(spark, d):
@@ -355,7 +359,7 @@ def repo_rollup(spark, d):
 def bootstrap_ci(spark, d):
     a, b = policies(spark, d)
     good = S.eligible(S.paired(trials(spark, d), a, b, ("context_tokens", "task_completion_quality", "work_completed")))
-    draws = S.bootstrap_medians(S.task_medians(good, "context_tokens"), 500)
+    draws = S.bootstrap_medians(S.task_medians(good, "context_tokens"))
     return draws.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count(F.lit(1)).alias("samples"))
 
 
@@ -397,33 +401,18 @@ def _expected(items: DataFrame, f: DataFrame) -> DataFrame:
 
 
 def intent_classify(spark, d):
-    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", P.intent_column(F.substring("text", 1, 40)).alias("intent"))
-
-
-def intent_classify_whole(spark, d):
     """Intents of whole user turns."""
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", P.intent_column(F.col("text")).alias("intent"))
 
 
-def focused_passages(spark, d):
+def turn_budget(spark, d):
+    """Turns of a conversation with most terms, as long as they fit a budget."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text", T.hit_count(["that", "the", "der"], F.col("text")).alias("hits")).filter("hits > 0")
     rows = rows.withColumn("size", F.char_length("text"))
     return R.prefix_budget(rows, "conv_id", "size", [F.desc("hits"), F.col("turn")], 1500).select("conv_id", "turn", "hits")
 
 
 def ngram_centroid(spark, d):
-    """Language of a document by cosine with centroids of character trigrams of even documents' first 200 characters."""
-    low = F.lower(F.substring("text", 1, 200))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3)))
-    g = table(spark, d, "documents").select("doc_id", "lang", F.explode(grams).alias("g")).groupBy("doc_id", "lang", "g").agg(F.count(F.lit(1)).alias("n"))
-    c = g.filter("doc_id % 2 = 0").groupBy("lang", "g").agg(F.sum("n").alias("w"))
-    size = c.groupBy("lang").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    dots = g.filter("doc_id % 2 = 1").select("doc_id", "g", "n").join(c, "g").groupBy("doc_id", "lang").agg(F.sum(F.col("n") * F.col("w")).alias("dot"))
-    best = dots.join(F.broadcast(size), "lang").select("doc_id", "lang", (F.col("dot") / F.col("len")).alias("score"))
-    return R.best_per_key(best, ["doc_id"], [F.desc(F.round("score", 9)), F.col("lang")]).select("doc_id", F.col("lang").alias("predicted"))
-
-
-def ngram_centroid_whole(spark, d):
     """Language of every document by cosine with centroids of character trigrams of the other fold's whole texts (folds by
     id). A text without a known trigram has no language."""
     low = F.lower("text")
@@ -443,15 +432,27 @@ def expiring_index(spark, d):
     return store.latest(e, ["user_id"], "version").select("user_id", "event_id", "event_type")
 
 
+def scratch(spark) -> str:
+    """A new folder that all executors share: below the checkpoint folder, or, in local mode where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
+        found = spark.sparkContext.getCheckpointDir()
+    return f"{found.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def stream_index_upsert(spark, d):
     """documents, streamed in micro-batches into an index of its own in the scratch folder, then read back."""
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
-    home = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    home = scratch(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(home)
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file"), F.col("doc_id").alias("version"), "lang", "n_chars")
     docs.write.parquet(f"{home}/in")
     docs.filter("version % 10 = 0").withColumn("version", F.col("version") + 1_000_000).withColumn("n_chars", F.lit(0).cast("long")).write.mode("append").parquet(f"{home}/in")
     maintain.follow(spark, f"{home}/in", docs.schema, f"{home}/index", f"{home}/state", 1).awaitTermination()
-    return spark.read.parquet(f"{home}/index").select("file", "version", "n_chars")
+    return maintain.read(spark, f"{home}/index").select("file", "version", "n_chars")
 
 
 QUERIES = {
@@ -462,6 +463,6 @@ QUERIES = {
         unembedded_files, dim_filter, missing_files, index_stats, enrich_progress, tier_merge, source_type_prior, non_canonical_penalty, family_dedupe, folder_counts, group_budget,
         prefix_budget, metadata_topk, metadata_rerank, living_authority_filter, low_evidence_gate, shortcut_gate, content_scan, symbol_channel, symbol_boost, recall_lanes,
         agent_context, strict_verdict, interval_overlap_anchor, paired_efficiency, repo_rollup, bootstrap_ci, policy_totals, trial_collapse, capacity_projection, mrr_hit_rate,
-        intent_classify, focused_passages, ngram_centroid, expiring_index, stream_index_upsert, ngram_centroid_whole, intent_classify_whole, living_authority_all,
+        intent_classify, turn_budget, ngram_centroid, expiring_index, stream_index_upsert,
     )
 }

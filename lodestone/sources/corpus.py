@@ -1,11 +1,11 @@
-"""Files to rows: crawl with ignore rules, chunks, headers, symbols, import and link edges."""
+"""Files to rows: crawl with ignore rules, chunks, headers, symbols."""
 
 from __future__ import annotations
 
 import fnmatch
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -22,16 +22,18 @@ SYMBOL_KINDS = (
     ("class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_]\w*)"),
     ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)"),
     ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:trait|interface)\s+([A-Za-z_]\w*)"),
-    ("impl", r"^\s*impl(?:<[^>]*>)?\s+([A-Za-z_]\w*)"),
+    ("impl", r"^\s*impl(?:\s*<[^>]*>)?\s+(?:[\w:<>,\s]+\s+for\s+)?([A-Za-z_]\w*)"),
     ("module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)"),
 )
 MAX_LINES, MAX_CHARS = 50, 1000
+CODE_LINES, CODE_CHARS = 80, 2000
+CHUNK_ROWS = "array<struct<start_line:int,end_line:int,start_byte:bigint,end_byte:bigint,chunk:string>>"
 
 
 def ignored(path: Column, patterns: tuple[str, ...] = ()) -> Column:
     """Of a path below a root: default folders, dotted parts, and patterns of an ignore file."""
     parts = F.split(path, "/")
-    out = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED_DIRS)) | path.startswith("go/pkg/mod")
+    out = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED_DIRS)) | (path == "go/pkg/mod") | path.startswith("go/pkg/mod/")
     for p in patterns:
         name = p.strip("/")
         if p.endswith("/"):
@@ -64,9 +66,9 @@ def folder_counts(files: DataFrame, most: int = 60) -> DataFrame:
 
 
 def chunk_lines(text: Column, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> Column:
-    """Array of struct(start_line, end_line, start_byte, end_byte, chunk): lines taken until one more would pass a limit."""
-    raw = F.split(text, "\n")
-    lines = F.when(text.endswith("\n"), F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
+    """Array of struct(start_line, end_line, start_byte, end_byte, chunk): lines taken until one more would pass a limit. A blank
+    text has no chunk."""
+    lines = T.lines(text)
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(0).alias("line"), F.lit(0).cast("long").alias("byte"), F.array().cast("array<struct<line:int,byte:bigint>>").alias("cuts"))
 
     def take(s, x):
@@ -90,7 +92,7 @@ def chunk_lines(text: Column, max_lines: int = MAX_LINES, max_chars: int = MAX_C
         return F.transform(cuts, one)
 
     bound = F.transform(F.array(lines), lambda ls: F.transform(F.array(F.aggregate(ls, start, take)["cuts"]), lambda cuts: rows(cuts, ls)))
-    return F.get(F.flatten(bound), F.lit(0))
+    return F.when(text.rlike(r"\S"), F.get(F.flatten(bound), F.lit(0))).otherwise(F.array().cast(CHUNK_ROWS))
 
 
 def chunks(files: DataFrame, text: str = "text", **limits) -> DataFrame:
@@ -99,6 +101,39 @@ def chunks(files: DataFrame, text: str = "text", **limits) -> DataFrame:
     return files.select(*others, F.posexplode(chunk_lines(F.col(text), **limits)).alias("chunk_index", "c")).select(*others, "chunk_index", "c.*")
 
 
+def structural_chunks(files: DataFrame, text: str = "text", spans: DataFrame | None = None, max_lines: int = CODE_LINES, max_chars: int = CODE_CHARS) -> DataFrame:
+    """file, start_line, end_line, chunk. spans (file, start_line, end_line): what a parser found, of any nesting; of spans
+    below both limits and of three lines at least, those inside no other such span are chunks. Lines that no chunk
+    covers are cut by lines, unless they are dust (under 120 characters and three lines with text). Without a parser, or
+    without a span in a file, all lines are cut by lines."""
+    whole = files.select("file", T.lines(F.col(text)).alias("lines"))
+    if spans is None:
+        gaps = whole.select("file", "lines", F.lit(1).alias("a"), F.size("lines").alias("b"), F.lit(False).alias("covered"))
+        return _gap_chunks(gaps, max_lines, max_chars)
+    fit = spans.join(whole, "file").withColumn("chunk", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
+    n = F.col("end_line") - F.col("start_line")
+    fit = fit.filter((n >= 2) & (n < max_lines) & (F.octet_length("chunk") < max_chars)).select("file", "start_line", "end_line", "chunk").distinct()
+    before = Window.partitionBy("file").orderBy("start_line", F.desc("end_line")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = fit.withColumn("upto", F.coalesce(F.max("end_line").over(before), F.lit(0))).filter(F.col("end_line") > F.col("upto"))
+    last = Window.partitionBy("file").orderBy("start_line")
+    cuts = outer.select("file", (F.coalesce(F.lag("end_line").over(last), F.lit(0)) + 1).alias("a"), (F.col("start_line") - 1).alias("b"))
+    tails = outer.groupBy("file").agg((F.max("end_line") + 1).alias("a")).withColumn("b", F.lit(None).cast("int"))
+    gaps = whole.join(cuts.unionByName(tails), "file", "left")
+    covered = F.col("a").isNotNull()
+    gaps = gaps.select("file", "lines", F.coalesce("a", F.lit(1)).alias("a"), F.coalesce("b", F.size("lines")).alias("b"), covered.alias("covered")).filter("a <= b")
+    return outer.select("file", "start_line", "end_line", "chunk").unionByName(_gap_chunks(gaps, max_lines, max_chars))
+
+
+def _gap_chunks(gaps: DataFrame, max_lines: int, max_chars: int) -> DataFrame:
+    """Chunks of lines a to b of files; beside structural chunks only of gaps that aren't dust."""
+    cut = F.slice("lines", F.col("a"), F.col("b") - F.col("a") + 1)
+    rows = gaps.withColumn("cut", cut).withColumn("body", F.array_join("cut", "\n"))
+    dust = (F.char_length(F.trim("body")) < 120) & (F.size(F.filter("cut", lambda x: F.trim(x) != "")) < 3)
+    rows = rows.filter(F.col("body").rlike(r"\S") & ~(F.col("covered") & dust))
+    c = rows.select("file", "a", F.explode(chunk_lines(F.col("body"), max_lines, max_chars)).alias("c"))
+    return c.select("file", (F.col("a") + F.col("c.start_line") - 1).alias("start_line"), (F.col("a") + F.col("c.end_line") - 1).alias("end_line"), F.col("c.chunk").alias("chunk"))
+
+
 def header(path: Column, language: Column, symbol: Column) -> Column:
     named = F.when(symbol != "", F.concat(F.lit(" [symbol: "), symbol, F.lit("]"))).otherwise("")
     return F.concat(F.lit("[file: "), path, F.lit("] [lang: "), language, F.lit("]"), named, F.lit("\n\n"))
@@ -106,7 +141,7 @@ def header(path: Column, language: Column, symbol: Column) -> Column:
 
 def symbols(files: DataFrame, text: str = "text") -> DataFrame:
     """file, name, name_lower, kind, start_line: definitions found line by line."""
-    lines = files.select("file", F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    lines = files.select("file", F.posexplode(T.lines(F.col(text))).alias("at", "line"))
     found = F.coalesce(*[F.when(F.col("line").rlike(rx), F.struct(F.regexp_extract("line", rx, 1).alias("name"), F.lit(kind).alias("kind"))) for kind, rx in SYMBOL_KINDS])
     rows = lines.select("file", (F.col("at") + 1).alias("start_line"), found.alias("s")).filter("s IS NOT NULL")
     return rows.select("file", "s.name", T.camel_split(F.col("s.name")).alias("name_lower"), "s.kind", "start_line")
@@ -114,41 +149,6 @@ def symbols(files: DataFrame, text: str = "text") -> DataFrame:
 
 def first_symbol(text: Column) -> Column:
     """The first definition in the first 25 lines, or an empty string."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, 25), "\n")
-    rx = r"(?m)^\s*(?:pub\s+|export\s+|async\s+|abstract\s+)*(?:def|fn|func|function|class|struct|trait|interface|impl|mod|enum|type)\s+([A-Za-z_]\w*)"
+    head = F.array_join(F.slice(T.lines(text), 1, 25), "\n")
+    rx = r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+|export\s+|default\s+|async\s+|abstract\s+)*(?:def|fn|func|function|class|struct|trait|interface|impl|mod|enum|type)(?:\s*<[^>]*>)?\s+(?:[\w:<>,\s]+\s+for\s+)?([A-Za-z_]\w*)"
     return F.regexp_extract(head, rx, 1)
-
-
-def python_imports(files: DataFrame, text: str = "text") -> DataFrame:
-    """src, dst: files imported by absolute or relative name, resolved to the longest prefix that is a file."""
-    module = F.regexp_replace(F.regexp_replace(F.regexp_replace("file", r"\.py$", ""), "/__init__$", ""), "/", ".")
-    known = files.select("file", module.alias("module"))
-    plain = F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+([\w.]+)"), F.lit(1))
-    origin = F.regexp_extract_all(text, F.lit(r"(?m)^\s*from\s+(\.*[\w.]*)\s+import\s+"), F.lit(1))
-    wanted = known.join(files.select("file", F.explode(F.concat(plain, origin)).alias("name")), "file")
-    dots = F.char_length(F.regexp_extract("name", r"^(\.*)", 1))
-    package = F.when(F.col("file").endswith("__init__.py"), F.col("module")).otherwise(F.regexp_replace("module", r"\.?[^.]*$", ""))
-    parts = F.split(package, r"\.")
-    base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - dots + 1, F.lit(0))), ".")
-    rest = F.regexp_replace("name", r"^\.*", "")
-    full = F.when(dots > 0, F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(rest, F.lit("")))).otherwise(rest)
-    steps = wanted.select(F.col("file").alias("src"), F.monotonically_increasing_id().alias("i"), F.split(full, r"\.").alias("p"))
-    prefixes = steps.select("src", "i", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.slice("p", 1, n), "."))).alias("module"))
-    hit = prefixes.join(known.withColumnRenamed("file", "dst"), "module")
-    best = hit.groupBy("src", "i").agg(F.max_by("dst", F.char_length("module")).alias("dst"))
-    return best.filter("src <> dst").select("src", "dst")
-
-
-def link_edges(pages: DataFrame, text: str = "text") -> DataFrame:
-    """src, dst: markdown, wiki and html links without anchors, images and other hosts; relative ones resolved by folder."""
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(r"(?<!!)\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1)),
-        F.transform(F.regexp_extract_all(text, F.lit(r"(?<!!)\[\[([^\]|#]+)"), F.lit(1)), lambda w: F.concat(F.trim(w), F.lit(".md"))),
-        F.regexp_extract_all(text, F.lit(r'href="([^"]+)"'), F.lit(1)),
-    )
-    rows = pages.select(F.col("file").alias("src"), F.explode(found).alias("link")).filter(~F.col("link").rlike(r"^([a-z][a-z0-9+.-]*:|//|#)"))
-    folder = F.regexp_replace(F.regexp_extract("src", "^(.*/)?", 0), "/$", "")
-    link = F.regexp_replace("link", "[#?].*$", "")
-    joined = F.when(link.startswith("/"), F.substring(link, 2, 10_000)).otherwise(F.concat_ws("/", F.nullif(folder, F.lit("")), link))
-    clean = F.regexp_replace(F.regexp_replace(joined, r"(^|/)(\./)+", "$1"), r"[^/]+/\.\./", "")
-    return rows.select("src", clean.alias("dst")).filter("src <> dst AND dst <> ''")

@@ -40,5 +40,5 @@ def extract(files: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     real = files.filter(~F.element_at(F.split("path", "/"), -1).startswith("~$")).select("path", "content", ext.alias("ext"))
     office = real.filter("ext = 'docx'").select("path", "content").mapInArrow(read, "path string, text string").withColumn("source", F.lit("docx"))
-    plain = real.filter(F.col("ext").isin("txt", "md", "rst", "log", "csv", "tsv")).select("path", F.decode("content", "UTF-8").alias("text"), F.lit("text").alias("source"))
+    plain = real.filter(F.col("ext").isin("txt", "md", "rst", "log", "csv", "tsv")).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lit("text").alias("source"))
     return office.unionByName(plain).withColumn("has_text_layer", F.coalesce(F.char_length("text") >= F.when(F.col("source") == "docx", LEAST_TEXT).otherwise(1), F.lit(False)))
