@@ -132,18 +132,16 @@ def is_non_canonical(path: Column) -> Column:
 
 
 def glob_match(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
-    """Shell patterns on the path or its last part, compiled to regular expressions at plan time; a relative pattern
+    """Shell patterns on the path or its last part, compiled to one regular expression each at plan time; a relative pattern
     with a slash also matches behind any folder."""
+    rx = lambda p: "^" + fnmatch.translate(p).removesuffix(r"\z").removesuffix(r"\Z") + "$"
 
-    def one(pattern: str) -> Column:
-        rx = lambda p: "^" + fnmatch.translate(p).removesuffix(r"\z").removesuffix(r"\Z") + "$"
-        found = path.rlike(rx(pattern)) | basename(path).rlike(rx(pattern))
-        if "/" in pattern and not pattern.startswith("/"):
-            found = found | path.rlike(rx(f"*/{pattern}"))
-        return found
+    def some(patterns: tuple[str, ...]) -> Column:
+        deep = [f"*/{p}" for p in patterns if "/" in p and not p.startswith("/")]
+        return path.rlike("|".join(map(rx, [*patterns, *deep]))) | basename(path).rlike("|".join(map(rx, patterns)))
 
-    keep = any_of(map(one, include)) if include else F.lit(True)
-    return keep & ~any_of(map(one, exclude)) if exclude else keep
+    keep = some(include) if include else F.lit(True)
+    return keep & ~some(exclude) if exclude else keep
 
 
 def version_tokens(text: Column) -> Column:

@@ -46,7 +46,8 @@ PAIRS = """pr AS (SELECT t.repo, t.task_id, t.trial, t.context_tokens AS tt, b.c
 el AS (SELECT * FROM pr WHERE tw AND bw AND tq >= 0.85 AND bq >= 0.85),
 tm AS (SELECT repo, task_id, median(bt / tt) AS value FROM el WHERE tt > 0 AND bt >= 0 GROUP BY ALL)"""
 #: Chunks of lines by a recursive walk: a line at a time, a new chunk when one more would pass 50 lines or 1,000 characters.
-CHUNKS = r"""d0 AS (SELECT doc_id, lang, source, text, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+CHUNKS = r"""d00 AS (SELECT doc_id, lang, source, text, string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS l0 FROM documents WHERE regexp_matches(text, '[^\s]')),
+d0 AS (SELECT doc_id, lang, source, text, CASE WHEN l0[-1] = '' THEN l0[:-2] ELSE l0 END AS ls FROM d00),
 acc AS (SELECT *, list_reduce(list_transform(ls, lambda y: {'n': 1::BIGINT, 'c': (length(y) + 1)::BIGINT, 'cs': [1::BIGINT], 'k': 1::BIGINT}), lambda a, b: CASE WHEN a.n >= 50 OR a.c + b.c > 1000
   THEN {'n': 1::BIGINT, 'c': b.c, 'cs': list_append(a.cs, a.k + 1), 'k': a.k + 1} ELSE {'n': a.n + 1, 'c': a.c + b.c, 'cs': a.cs, 'k': a.k + 1} END) AS r FROM d0),
 ct AS (SELECT doc_id, lang, source, ls, strlen(text) AS bytes, r.cs AS cs, unnest(generate_series(1, len(r.cs))) AS j FROM acc),
@@ -76,8 +77,8 @@ LANES = f"""{FILES}, lanes AS (
   SELECT path, 'path' AS lane, 0.75 + 0.15 * ((contains(lower(path), 'doc'))::INT + (contains(lower(path), 'en') OR contains({PLAIN.replace("{x}", "path")}, 'en'))::INT) AS score FROM f
   UNION ALL SELECT path, 'chunk', 0.55 FROM f WHERE {variant_hit("chunk")} > 0
   UNION ALL SELECT path, 'rg', 0.9 FROM f WHERE contains(lower(chunk), 'thanedble'))"""
-CONTEXT = f"""{FILES}, lanes AS (SELECT path, 'chunk' AS lane, 0.55::DOUBLE AS score FROM f WHERE {variant_hit("chunk")} > 0),
-v AS (SELECT path, sum(score) AS path_score, list(DISTINCT lane ORDER BY lane) AS lanes FROM lanes GROUP BY path ORDER BY path_score DESC, path LIMIT 120),
+CONTEXT = f"""{FILES}, lanes AS (SELECT path, 0.55 * {variant_hit("chunk")} + 0.9 AS score, ['chunk', 'rg'] AS lanes FROM f WHERE {variant_hit("chunk")} > 0),
+v AS (SELECT path, score AS path_score, lanes FROM lanes ORDER BY path_score DESC, path LIMIT 100),
 w AS (SELECT f.*, path_score, lanes, {covered("path || chr(10) || chunk")} AS evidence, {tok("' ' || chunk")} AS t FROM f JOIN v USING (path)),
 z AS (SELECT *, least(1.0, 0.75 * len(list_filter({TERMS}, lambda q: list_contains(t, q))) / 3.0 + 0.25 * contains(array_to_string(t, ' '), 'attion thanedble hand')::INT)::DOUBLE AS lexical FROM w),
 ctx AS (SELECT path, id, lexical + 0.18 * len(evidence) + 0.12 * path_score AS score, lanes, evidence FROM z WHERE lexical > 0 ORDER BY score DESC, path LIMIT 20)"""
@@ -88,7 +89,7 @@ ORACLES = {
     "file_mean_vectors": f"WITH {MEANS} SELECT file, chunk_count, i - 1 AS i, round(embedding[i], 6) AS x FROM means, (SELECT unnest(generate_series(1, 64)) AS i)",
     "cosine_file_topk": f"WITH {MEANS}, {SMALLER} SELECT file, round({cos('embedding', 'q')}, 7) AS score FROM means, q ORDER BY {cos('embedding', 'q')} DESC, file LIMIT 5",
     "cascade_gate": f"WITH {MEANS}, {SMALLER}, p AS (SELECT {cos('embedding', 'q')} AS score, file FROM means, q ORDER BY 1 DESC, file LIMIT 10), g AS (SELECT max(score) - (SELECT score FROM p ORDER BY score DESC, file LIMIT 1 OFFSET 1) AS gap, stddev_pop(score) AS sigma, count(*) AS n FROM p) SELECT round(gap, 6) AS gap, round(sigma, 6) AS sigma, n, round(greatest(0.005, sigma), 6) AS threshold, gap >= greatest(0.005, sigma) AS early_exit FROM g",
-    "multi_resolution_search": f"WITH {MEANS}, {SMALLER}, p AS (SELECT file FROM means, q ORDER BY {cos('embedding', 'q')} DESC, file LIMIT 3) SELECT vec_id, label, round({cos('embedding', 'q')}, 9) AS score FROM embeddings, q WHERE label IN (SELECT file FROM p) ORDER BY {cos('embedding', 'q')} DESC, vec_id LIMIT 10",
+    "multi_resolution_search": f"WITH {MEANS}, {SMALLER}, p AS (SELECT file FROM means, q ORDER BY {cos('embedding', 'q')} DESC, file LIMIT 30) SELECT vec_id, label, round({cos('embedding', 'q')}, 9) AS score FROM embeddings, q WHERE label IN (SELECT file FROM p) ORDER BY {cos('embedding', 'q')} DESC, vec_id LIMIT 10",
     "lexical_score_all": f"WITH {FILES}, {LEX} SELECT id, round(lexical, 9) AS score FROM lx",
     "document_terms": rf"""WITH t AS (SELECT item_id, text, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{3,}}'), lambda y: lower(y)), lambda y: NOT list_contains(string_split('the a an is for to of and that this where what how does in on with from are be can do not it its as by at or but all any if when which who whose', ' '), y)) AS w FROM benchmark),
       o AS (SELECT item_id, string_agg(y, ' ' ORDER BY i) AS terms FROM (SELECT item_id, y, i, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM (SELECT item_id, y, min(i) AS i FROM (SELECT item_id, unnest(w) AS y, generate_subscripts(w, 1) AS i FROM t) GROUP BY item_id, y)) WHERE k <= 8 GROUP BY item_id)
@@ -125,7 +126,6 @@ ORACLES = {
     "prefix_budget": f"WITH {FILES} SELECT folder, id, n_chars FROM (SELECT split_part(path, '/', 1) AS folder, id, n_chars, sum(n_chars) OVER (PARTITION BY split_part(path, '/', 1) ORDER BY id ROWS UNBOUNDED PRECEDING) AS u FROM f) WHERE u <= 12000",
     "metadata_topk": "SELECT doc_id AS id, n_chars, CASE WHEN n_chars >= 1024 THEN format('{:.1f} KB', n_chars / 1024.0::DOUBLE) ELSE n_chars || ' B' END AS size FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25",
     "metadata_rerank": f"WITH {SCORED}, b AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 40) SELECT id, round(score + 0.04 * (n_chars - (SELECT min(n_chars) FROM b)) / ((SELECT max(n_chars) - min(n_chars) FROM b))::DOUBLE, 9) AS score FROM b",
-    "living_authority_filter": rf"WITH {SYNTH} SELECT id, CASE WHEN id = 0 THEN 'docs/SECURITY.md' ELSE path END AS path FROM syn WHERE id < 300 AND (id = 0 OR NOT path LIKE 'docs/%' OR path = 'docs/RELEASE-v1.4.md' OR path LIKE 'docs/guide\_%' ESCAPE '\')",
     "low_evidence_gate": f"WITH {SCORED}, b AS (SELECT * FROM s ORDER BY lexical DESC, id LIMIT 10) SELECT id FROM b WHERE (SELECT max(semantic * 0.1) FROM b) >= 0.5 OR (SELECT max(contains(lower(path || chr(10) || chunk), 'attion')::INT) + max(contains(lower(path || chr(10) || chunk), 'thanedble')::INT) + max(contains(lower(path || chr(10) || chunk), 'hand')::INT) FROM b) >= 2",
     "shortcut_gate": f"WITH {FILES}, h AS (SELECT path, {variant_hit('chunk')} AS overlap FROM f WHERE {variant_hit('chunk')} >= 3), g AS (SELECT count(*) AS files, coalesce(max(overlap), 0) AS overlap, count(DISTINCT {FOLDER}) AS folders FROM h) SELECT *, files BETWEEN 1 AND 10 AND overlap >= 2 AND folders <= 2 AS passed FROM g",
     "content_scan": f"WITH {FILES}, w AS (SELECT id, {variant_hit('path || chr(10) || chunk')} AS b, {variant_hit('path')} AS p, {tok(chr(112) + 'ath || chr(32) || chunk')} AS t FROM f WHERE {variant_hit('chunk')} > 0) SELECT id, round(least(1.0, 0.6 * b / 3.0 + 0.25 * (0.75 * len(list_filter({TERMS}, lambda q: list_contains(t, q))) / 3.0 + 0.25 * contains(array_to_string(t, ' '), 'attion thanedble hand')::INT) + 0.15 * p / 3.0)::DOUBLE, 9) AS score FROM w",
@@ -133,7 +133,11 @@ ORACLES = {
     "symbol_boost": f"WITH {SYMS} SELECT file, round(0.1 * hits / 4.0, 9)::DOUBLE AS boost FROM sh",
     "recall_lanes": f"WITH {LANES} SELECT path, round(sum(score)::DOUBLE, 9) AS score, string_agg(DISTINCT lane, ',' ORDER BY lane) AS lanes FROM lanes GROUP BY path ORDER BY sum(score) DESC, path LIMIT 120",
     "agent_context": f"WITH {CONTEXT} SELECT path, id, round(score, 9) AS score, array_to_string(lanes, ',') AS lanes, array_to_string(evidence, ',') AS evidence FROM ctx",
-    "strict_verdict": f"WITH {CONTEXT}, g AS (SELECT c.score AS top_score, greatest(0, c.score - coalesce((SELECT score FROM ctx ORDER BY score DESC, path LIMIT 1 OFFSET 1), 0)) AS gap, len(evidence) AS covered, len(lanes) AS lanes FROM ctx c ORDER BY score DESC, path LIMIT 1), h AS (SELECT *, least(1.0, 0.18 * least(1, greatest(0, top_score)) + 0.42 * covered / 3.0 + 0.18 * least(1, lanes / 4.0) + 0.22 * least(1, gap)) AS confidence FROM g) SELECT round(top_score, 9) AS top_score, round(gap, 9) AS gap, covered, lanes, round(confidence, 9) AS confidence, CASE WHEN confidence >= 0.68 THEN 'best' WHEN confidence >= 0.45 THEN 'degraded' ELSE 'uncertain' END AS quality, confidence >= 0.68 AND covered > 0 AND lanes >= 2 AS passed FROM h",
+    "strict_verdict": f"""WITH {CONTEXT}, {SMALLER}, sm AS (SELECT f.path, row_number() OVER (ORDER BY {cos("embedding", "q")} DESC, f.id) AS semantic_rank FROM f JOIN embeddings e ON e.vec_id = f.id, q QUALIFY semantic_rank <= 40),
+      g AS (SELECT c.path, c.id, c.score AS top_score, greatest(0, c.score - coalesce((SELECT score FROM ctx ORDER BY score DESC, path LIMIT 1 OFFSET 1), 0)) AS gap, len(evidence) AS covered, len(lanes) AS lanes FROM ctx c ORDER BY score DESC, path LIMIT 1),
+      h AS (SELECT *, least(1.0, 0.18 * least(1, greatest(0, top_score)) + 0.42 * covered / 3.0 + 0.18 * least(1, lanes / 4.0) + 0.22 * least(1, gap)) AS confidence FROM g)
+      SELECT round(top_score, 9) AS top_score, round(gap, 9) AS gap, covered, lanes, round(confidence, 9) AS confidence, CASE WHEN confidence >= 0.68 THEN 'best' WHEN confidence >= 0.45 THEN 'degraded' ELSE 'uncertain' END AS quality, path, id % 3 <= 1 AS fresh, semantic_rank,
+        confidence >= 0.68 AND id % 3 <= 1 AND covered > 0 AND lanes >= 2 AND coalesce(semantic_rank <= 20, false) AS passed FROM h LEFT JOIN sm USING (path)""",
     "interval_overlap_anchor": f"WITH {CHUNKS} SELECT doc_id AS file, chunk_index, start_line, end_line, CASE WHEN start_line <= doc_id % 20 + 3 AND end_line >= 3 THEN (doc_id % 10) / 10.0 ELSE 0 END::DOUBLE AS anchor FROM c",
     "paired_efficiency": f"""WITH {TRIALS}, {PAIRS}, g AS (SELECT count(*) AS pairs, avg(tq) + 0.02 >= avg(bq) AND avg(tw::INT) + 0.02 >= avg(bw::INT) AS ok FROM pr), m AS (SELECT count(*) AS n, quantile_cont(value, 0.25) AS p25, median(value) AS median, quantile_cont(value, 0.75) AS p75, count(DISTINCT repo) AS repos FROM tm), z AS (SELECT count(*) AS eligible, sum(bt) / sum(tt) AS ros FROM el)
       SELECT pairs, eligible, ok AND pairs > 0 AS quality_gate, n, round(p25, 6) AS p25, round(median, 6) AS median, round(p75, 6) AS p75, round(ros, 6) AS ratio_of_sums, CASE WHEN ok AND pairs > 0 AND n >= 30 AND repos >= 3 AND eligible / pairs >= 0.8 THEN 'reportable' ELSE 'insufficient' END AS claim_status FROM g, m, z""",
@@ -146,26 +150,18 @@ ORACLES = {
       h AS (SELECT item_id, id, count(*) AS n FROM o JOIN (SELECT id, unnest(list_distinct({tok("chunk")})) AS y FROM f) USING (y) GROUP BY ALL), r AS (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, id) AS rank FROM h),
       x AS (SELECT item_id, min(id) AS id FROM b JOIN f ON contains(chunk, b.text) GROUP BY item_id), z AS (SELECT item_id, rank FROM x LEFT JOIN r USING (item_id, id))
       SELECT count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr, round(avg(coalesce((rank <= 1)::INT, 0)), 9) AS hit_1, round(avg(coalesce((rank <= 5)::INT, 0)), 9) AS hit_5, round(avg(coalesce((rank <= 10)::INT, 0)), 9) AS hit_10 FROM z""",
-    "intent_classify": r"""WITH u AS (SELECT conv_id, turn, lower(text[1:40]) AS q FROM conversations WHERE role = 'user'), w AS (SELECT *, regexp_extract_all(q, '[a-z][a-z0-9_]*') AS t FROM u)
-      SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'mixed' WHEN regexp_matches(q, 'find |where is|where''s|locate |show me|look for|search for|open ') THEN 'filename'
-        WHEN list_has_any(t, string_split('how why what explain describe implement implementation logic behaviour behavior flow pipeline purpose reason decide decides handle handles process calls called invoked trigger triggers', ' ')) THEN 'semantic'
-        WHEN len(list_filter(t, lambda y: length(y) > 2)) >= 6 THEN 'semantic' WHEN len(list_filter(t, lambda y: length(y) > 2)) BETWEEN 1 AND 4 THEN 'lexical' ELSE 'mixed' END AS intent FROM w""",
-    "focused_passages": "WITH h AS (SELECT conv_id, turn, length(text) AS size, contains(lower(text), 'that')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT AS hits FROM conversations) SELECT conv_id, turn, hits FROM (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY hits DESC, turn ROWS UNBOUNDED PRECEDING) AS u FROM h WHERE hits > 0) WHERE u <= 1500",
-    "ngram_centroid": """WITH g AS (SELECT doc_id, lang, x[i:i + 2] AS g, count(*) AS n FROM (SELECT doc_id, lang, x, unnest(generate_series(1, greatest(length(x) - 2, 1))) AS i FROM (SELECT doc_id, lang, lower(text[1:200]) AS x FROM documents)) GROUP BY ALL),
-      c AS (SELECT lang, g, sum(n)::DOUBLE AS w FROM g WHERE doc_id % 2 = 0 GROUP BY lang, g), z AS (SELECT lang, sqrt(sum(w * w)) AS len FROM c GROUP BY lang),
-      s AS (SELECT doc_id, c.lang, sum(n * w) / any_value(len) AS score FROM g JOIN c USING (g) JOIN z ON z.lang = c.lang WHERE doc_id % 2 = 1 GROUP BY doc_id, c.lang)
-      SELECT doc_id, lang AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS k FROM s) WHERE k = 1""",
+    "turn_budget": "WITH h AS (SELECT conv_id, turn, length(text) AS size, contains(lower(text), 'that')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT AS hits FROM conversations) SELECT conv_id, turn, hits FROM (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY hits DESC, turn ROWS UNBOUNDED PRECEDING) AS u FROM h WHERE hits > 0) WHERE u <= 1500",
     "expiring_index": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "stream_index_upsert": "SELECT 'doc_' || doc_id AS file, CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000 ELSE doc_id END AS version, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE n_chars END AS n_chars FROM documents",
-    "ngram_centroid_whole": """WITH d AS (SELECT doc_id, lang, doc_id % 2 AS fold, lower(text) AS x FROM documents),
+    "ngram_centroid": """WITH d AS (SELECT doc_id, lang, doc_id % 2 AS fold, lower(text) AS x FROM documents),
       g AS (SELECT doc_id, lang, fold, x[i:i + 2] AS g, count(*) AS n FROM (SELECT *, unnest(generate_series(1, greatest(length(x) - 2, 1))) AS i FROM d) GROUP BY ALL),
       c AS (SELECT 1 - fold AS fold, lang, g, sum(n)::DOUBLE AS w FROM g WHERE lang IS NOT NULL GROUP BY ALL), z AS (SELECT fold, lang, sqrt(sum(w * w)) AS len FROM c GROUP BY ALL),
       s AS (SELECT doc_id, c.lang, sum(n * w) / any_value(len) AS score FROM g JOIN c USING (fold, g) JOIN z ON z.lang = c.lang AND z.fold = c.fold GROUP BY doc_id, c.lang),
       b AS (SELECT doc_id, lang AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS k FROM s) WHERE k = 1)
       SELECT doc_id, predicted FROM d LEFT JOIN b USING (doc_id)""",
-    "intent_classify_whole": r"""WITH u AS (SELECT conv_id, turn, lower(text) AS q, text AS raw FROM conversations WHERE role = 'user'), w AS (SELECT *, regexp_extract_all(q, '[a-z][a-z0-9_]*') AS t FROM u)
+    "intent_classify": r"""WITH u AS (SELECT conv_id, turn, lower(text) AS q, text AS raw FROM conversations WHERE role = 'user'), w AS (SELECT *, regexp_extract_all(q, '[a-z][a-z0-9_]*') AS t FROM u)
       SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'mixed' WHEN regexp_matches(q, 'find |where is|where''s|locate |show me|look for|search for|open ') OR regexp_matches(raw, '\b\w+\.(?:py|js|ts|tsx|rs|go|md|json|yaml|yml|toml|html|svg|pdf|docx|txt|sh|c|cpp|h|hpp|java|kt|swift|sql)\b') THEN 'filename'
         WHEN list_has_any(t, string_split('how why what explain describe implement implementation logic behaviour behavior flow pipeline purpose reason decide decides handle handles process calls called invoked trigger triggers', ' ')) THEN 'semantic'
         WHEN len(list_filter(t, lambda y: length(y) > 2)) >= 6 THEN 'semantic' WHEN len(list_filter(t, lambda y: length(y) > 2)) BETWEEN 1 AND 4 THEN 'lexical' ELSE 'mixed' END AS intent FROM w""",
-    "living_authority_all": rf"WITH {SYNTH} SELECT id, CASE WHEN id = 0 THEN 'docs/SECURITY.md' ELSE path END AS path FROM syn WHERE (id = 0 OR NOT path LIKE 'docs/%' OR path = 'docs/RELEASE-v1.4.md' OR path LIKE 'docs/guide\_%' ESCAPE '\')",
+    "living_authority_filter": rf"WITH {SYNTH} SELECT id, CASE WHEN id = 0 THEN 'docs/SECURITY.md' ELSE path END AS path FROM syn WHERE (id = 0 OR NOT path LIKE 'docs/%' OR path = 'docs/RELEASE-v1.4.md' OR path LIKE 'docs/guide\_%' ESCAPE '\')",
 }

@@ -101,7 +101,7 @@ def seeds(files: DataFrame, query: str, picks: DataFrame | None = None, k: int =
 def imports(text: Column) -> Column:
     """Distinct modules that a text imports, in any of nine ways of saying so, as they are written."""
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(rx), F.lit(1)) for rx in IMPORTS]))
-    return F.coalesce(F.array_distinct(F.filter(F.transform(found, F.trim), lambda m: m != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(found, lambda m: F.trim(m)), lambda m: m != "")), F.array().cast("array<string>"))
 
 
 def import_diffusion(modules: DataFrame, files: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

@@ -85,7 +85,7 @@ def depth_merge(sources: list[DataFrame], k: int) -> DataFrame:
         F.min(at).alias("at"), F.min_by(body, at).alias("first"), F.min_by(F.when(deep, body), F.when(deep, at)).alias("deep"),
     )
     best = F.when(F.col("first.fallback") == "filename-lookup", F.coalesce("deep", "first")).otherwise(F.col("first"))
-    kept = merged.orderBy("at").limit(k).withColumn("b", best).withColumn("rank", F.row_number().over(Window.orderBy("at")))
+    kept = merged.orderBy("at", "path").limit(k).withColumn("b", best).withColumn("rank", F.row_number().over(Window.orderBy("at", "path")))
     return kept.select("path", "rank", "b.snippet", "b.fallback")
 
 

@@ -61,7 +61,7 @@ def coalesce_aliases(votes: DataFrame, aliases: DataFrame) -> DataFrame:
 def identifier_names(chunk: Column) -> Column:
     """Names that a chunk defines: of its header, and definitions and constants in its first twelve lines."""
     head = F.array_join(F.slice(T.lines(chunk), 1, 12), "\n")
-    listed = F.transform(F.regexp_extract_all(chunk, F.lit(r"\[symbol:\s*([^\]]+)\]"), F.lit(1)), F.trim)
+    listed = F.transform(F.regexp_extract_all(chunk, F.lit(r"\[symbol:\s*([^\]]+)\]"), F.lit(1)), lambda n: F.trim(n))
     defined = F.regexp_extract_all(head, F.lit(r"(?m)^\s*(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
     constant = F.regexp_extract_all(head, F.lit(r"(?m)^\s*([A-Z][A-Z0-9_]{2,})\s*="), F.lit(1))
     return F.filter(F.concat(listed, defined, constant), lambda n: n != "")
@@ -86,7 +86,7 @@ def identity_score(terms: list[str], names: Column) -> Column:
 
 def name_hits(terms: list[str], names: Column) -> Column:
     """Indices of the terms of which a form lies in a name."""
-    plain = F.transform(names, T.plain_token)
+    plain = F.transform(names, lambda n: T.plain_token(n))
     within = lambda forms: F.exists(plain, lambda n: T.any_of(n.contains(x) for x in forms))
     hit = [F.when(within(f), F.lit(i)) for i, t in enumerate(terms) if len(t) > 2 and (f := T.normal_forms(t))]
     return F.array_compact(F.array(*hit)) if hit else F.array().cast("array<int>")
@@ -126,7 +126,8 @@ def scored_chunks(chunks: DataFrame, votes: DataFrame, query: str, symbols: Data
 
 def candidate_chunks(chunks: DataFrame, votes: DataFrame, query: str, k: int = 10, symbols: DataFrame | None = None, intent: str | None = None, keep_all: bool = False) -> DataFrame:
     """The best chunk of each of the k best files."""
-    return R.file_rank(scored_chunks(chunks, votes, query, symbols, intent, keep_all), k)
+    best = R.best_per_key(scored_chunks(chunks, votes, query, symbols, intent, keep_all), ["path"], [F.desc("score"), F.col("id")])
+    return R.top_k(best, k, tie="path")
 
 
 def support_pack(scored: DataFrame, best: DataFrame, per_path: int = 2) -> DataFrame:

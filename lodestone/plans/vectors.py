@@ -51,7 +51,7 @@ def _block(rows: DataFrame, part: pa.Table, size: int, k: int, kinds: dict[str,
         queries, mine, lengths = sent.value
         best, ids = None, None
         for b in batches:
-            fits = np.flatnonzero(np.array([v is not None and len(v) == size for v in b.column(1)]))
+            fits = np.flatnonzero(pc.equal(pc.list_value_length(b.column(1)), size).fill_null(False).to_numpy(zero_copy_only=False))
             for lo in range(0, len(fits), ROWS):
                 some = b.take(pa.array(fits[lo : lo + ROWS]))
                 x = some.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, size)

@@ -120,7 +120,7 @@ def script_edges(files: DataFrame, text: str = "text") -> DataFrame:
 def markdown_edges(files: DataFrame, targets: DataFrame | None = None, text: str = "text") -> DataFrame:
     """src, dst of links and wiki links to files among targets (files, if none are given), whose suffix may be left out; a
     folder stands for its index."""
-    found = F.concat(F.regexp_extract_all(text, F.lit(r"\[[^\]\n]*\]\(\s*([^)\s'\"<>]+)"), F.lit(1)), F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]\n|#]+)(?:#[^\]\n|]*)?(?:\|[^\]\n]*)?\]\]"), F.lit(1)), F.trim))
+    found = F.concat(F.regexp_extract_all(text, F.lit(r"\[[^\]\n]*\]\(\s*([^)\s'\"<>]+)"), F.lit(1)), F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]\n|#]+)(?:#[^\]\n|]*)?(?:\|[^\]\n]*)?\]\]"), F.lit(1)), lambda w: F.trim(w)))
     rows = files.select(F.col("file").alias("src"), F.explode(F.array_distinct(found)).alias("spec"))
     rows = rows.filter(~F.col("spec").rlike(r"^([a-zA-Z][a-zA-Z0-9+.\-]*:|#)")).withColumn("href", F.regexp_replace("spec", "[#?].*$", "")).filter("href <> ''")
     rows = rows.withColumn("base", T.normal_path(F.concat_ws("/", F.nullif(T.folder(F.col("src")), F.lit(".")), F.col("href"))))

@@ -14,6 +14,7 @@ from lodestone.operators import rank as R
 from lodestone.plans import planner as P
 from lodestone.plans import search as Q
 from lodestone.sources import corpus as C
+from lodestone.sources import edges
 from lodestone.sources import store
 
 CHUNKS = "id long, path string, language string, chunk string, embedding array<float>"
@@ -163,14 +164,14 @@ def test_crawl_and_ignore_rules(spark, tmp_path):
 
 def test_import_edges(spark):
     files = spark.createDataFrame([("pkg/__init__.py", ""), ("pkg/a.py", "from . import b\nfrom .b import f\nimport pkg.sub.c.thing\n"), ("pkg/b.py", "import os\n"), ("pkg/sub/c.py", "from ..a import x\n")], "file string, text string")
-    got = {(r.src, r.dst) for r in C.python_imports(files).collect()}
+    got = {(r.src, r.dst) for r in edges.python_imports(files).collect()}
     assert {("pkg/a.py", "pkg/b.py"), ("pkg/a.py", "pkg/sub/c.py"), ("pkg/sub/c.py", "pkg/a.py")} <= got
     assert not any(a == b for a, b in got)
 
 
 def test_link_edges(spark):
     pages = spark.createDataFrame([("docs/i.md", "[a](o.md) [b](../x.md#t) ![i](p.png) [e](https://h.io) [[faq]] [s](#top)")], "file string, text string")
-    assert {r.dst for r in C.link_edges(pages).collect()} == {"docs/o.md", "x.md", "docs/faq.md"}
+    assert {r.dst for r in edges.link_edges(pages).collect()} == {"docs/o.md", "x.md", "docs/faq.md"}
 
 
 def test_store_replaces_and_forgets(spark):

@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestone.oracles import ORACLES
-from lodestone.queries import QUERIES
+from lodestone import code_oracles, code_queries, oracles, queries
 from scripts.compare import rows_of
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = {**queries.QUERIES, **code_queries.QUERIES}, {**oracles.ORACLES, **code_oracles.ORACLES}
 
 
 @pytest.fixture(scope="module")
