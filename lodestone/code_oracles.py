@@ -17,7 +17,7 @@ RECALL = rf"""WITH {CODE}, q AS (SELECT unnest([{{'t': 'test', 'v': ['test']}},
 m AS (SELECT file, q.t AS t, contains(file, q.t) OR contains(regexp_replace(lower(file), '[^\p{{L}}\p{{N}}]', '', 'g'), q.t) AS in_path,
   len(list_filter(q.v, lambda y: contains(lower(text), y))) > 0 AS in_text, len(list_filter(q.v, lambda y: contains(lower(cls), y) OR contains(w, y))) > 0 AS in_name, contains(lower(file), q.t) AS plain FROM code, q),
 p AS (SELECT file, sum(in_path::INT) AS p, sum(in_text::INT) AS c, sum(in_name::INT) AS s, sum(plain::INT) AS o, file LIKE 'tests/%' AS test FROM m GROUP BY file),
-v AS (SELECT file AS path, CASE WHEN p > 0 THEN 0.75 + 0.15 * p ELSE 0 END + 0.55 * c + CASE WHEN c > 0 THEN 0.9 ELSE 0 END + s + CASE WHEN test THEN 1.1 + 0.2 * o + 2.5 ELSE 0.15 END AS score,
+v AS (SELECT file AS path, CASE WHEN p > 0 THEN 0.75 + 0.15 * p ELSE 0 END + 0.55 * c + CASE WHEN c > 0 THEN 0.9 ELSE 0 END + s + CASE WHEN test THEN 1.1::DOUBLE + 0.2 * o + 2.5 ELSE 0.15::DOUBLE END AS score,
   list_sort(list_filter([CASE WHEN p > 0 THEN 'path' END, CASE WHEN c > 0 THEN 'chunk' END, CASE WHEN c > 0 THEN 'rg' END, CASE WHEN s > 0 THEN 'symbol' END, CASE WHEN test THEN 'source-type' END, CASE WHEN test THEN 'prior:test' ELSE 'prior:source' END], lambda y: y IS NOT NULL)) AS lanes
   FROM p WHERE p > 0 OR c > 0 OR s > 0 OR test)"""
 WORDS = "regexp_extract_all(low, '[A-Za-z0-9._-]{2,80}')"
