@@ -46,6 +46,13 @@ def test_language_held_out(spark):
     assert (held.lang_pred == held.lang).mean() > 0.95
 
 
+def test_lm_learns(spark):
+    got = queries.op8_maxent_lm(spark, SF).toPandas()
+    held = got[got.held_out]
+    assert (held.score > held.base_score).mean() >= 0.9
+    assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.2
+
+
 def test_models_on_awkward_rows(docs, rows, labels, none):
     n = len(rows)
     scored = quality.classify(docs, labels).collect()
