@@ -1,16 +1,18 @@
 r"""Benchmark decontamination by a broadcast hash set of normalised n-grams, with DataFrame functions only.
 
 Texts are lower-cased over A-Z and cut into words. A benchmark item gives all its windows of 10 consecutive words; one
-of fewer words, but not none, is a single window. The windows' hashes become a literal IN set, which Catalyst turns
-into a hash set that is sent with the plan; every document is scanned once, in place: a window is looked up by the
-hash of its first two words, then of all its words, and each hit is verified against the windows' texts. So hash
-collisions can't flag a document, and no document text is shuffled.
+of fewer words, but not none, is a single window. For each number of words the windows become one row, a bitmap over
+hashes and buckets of the windows' texts, which a scalar subquery sends with the plan. Every document is scanned once, in
+place: a position is looked up in the bitmap by its first two words, then in its bucket by all its words, where texts are
+compared. So hash collisions can't flag a document, and no document text is shuffled.
 
-The benchmark is counted first. Beyond `most_windows` distinct windows the set isn't sent with the plan: document
-windows are exploded and joined with it by a shuffle, with the same results.
+The benchmark is counted first. If its windows have more than MOST_BYTES of text, only bitmaps over the hashes of whole
+windows are sent, of LARGE_BITS for each window up to MOST_LONGS in all: positions that hit them, a few in a hundred
+besides true ones, are shuffled and verified by a join with the windows. The results are the same.
 
 Edge cases: null or empty texts have no words; a null item id is hit but isn't listed; repeated rows each get a row;
-equal windows of several items count for each; an empty benchmark leaves all documents clean; extra columns are ignored.
+equal windows of several items count for each; an empty benchmark leaves all documents clean; extra columns are kept by
+`scan` and `decontaminate` (but for the three that `scan` adds), and ignored by `report`.
 """
 
 from __future__ import annotations
@@ -23,17 +25,14 @@ from lodestone.llm.common import materialise
 WINDOW = 10
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_WINDOWS = 100_000
+#: Bytes of window texts that are sent, and bits of the bitmap for each window; beyond, bits for each window and longs in all.
+MOST_BYTES, BITS, LARGE_BITS, MOST_LONGS = 32 << 20, 16, 32, 8 << 20
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
-_WORDS_SQL = f"coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), r'{WORDS}', 0), cast(array() AS array<string>))"
-_NO_HITS = "cast(array() AS array<struct<window:string, n:int, at:int>>)"
-
-
 def _hash_sql(array: str, n: int) -> str:
     return f"xxhash64({', '.join(f'get({array}, i + {j})' for j in range(n))})"
 
@@ -49,83 +48,94 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return names.select("item_id", "n", "window", F.coalesce(*hashes).alias("hash"), heads.alias("head")).distinct()
 
 
-def _literals(values: set) -> str:
-    return ", ".join(f"{v}L" if v != -(2**63) else "(-9223372036854775807L - 1L)" for v in sorted(values))
+def _dense(rows: DataFrame, n: int, empty: Column) -> DataFrame:
+    """One row, v: an array of n values, those of rows (at, v) at their places. n is bounded by the constants above."""
+    every = rows.sparkSession.range(n).select(F.col("id").alias("at")).join(rows, "at", "left").select("at", F.coalesce("v", empty).alias("v"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("v"))
 
 
 class HashSet:
-    """The windows of a benchmark by their number of words, as literals of a plan."""
+    """A benchmark's windows as a row of (bits, buckets) for each number of words."""
 
-    def __init__(self, windows: DataFrame, most_windows: int = MOST_WINDOWS):
+    def __init__(self, windows: DataFrame, most_bytes: int = MOST_BYTES):
         self.windows = windows
-        distinct = windows.select("n", "window", "hash", "head").distinct()
-        rows = distinct.limit(most_windows + 1).collect()
-        self.small = len(rows) <= most_windows
-        self.lengths = sorted({r["n"] for r in rows} if self.small else {r[0] for r in windows.select("n").distinct().collect()})
-        self.sets: dict[int, tuple[set, set, set]] = {}
-        for r in rows if self.small else ():
-            for known, value in zip(self.sets.setdefault(r["n"], (set(), set(), set())), (r["head"], r["hash"], r["window"]), strict=True):
-                known.add(value)
+        self.distinct = windows.select("n", "window", "hash", "head").distinct()
+        sizes = self.distinct.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("window")).alias("bytes")).orderBy("n").collect()
+        self.small = sum(r["bytes"] for r in sizes) <= most_bytes
+        bits = BITS if self.small else LARGE_BITS
+        #: By number of words: longs of the bitmap, and buckets.
+        self.sizes = {r["n"]: (max(1, min(MOST_LONGS, r["rows"] * bits // 64)), max(1, r["rows"] // 2)) for r in sizes}
+
+    def row(self, n: int) -> Column:
+        """The set of one number of words, as a scalar subquery: struct(bits, buckets). Without buckets if they are too many."""
+        slots, groups = self.sizes[n]
+        mine = self.distinct.filter(F.col("n") == n)
+        bit = F.pmod("head" if self.small else "hash", F.lit(64 * slots))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+        bits = _dense(mine.groupBy(F.call_function("shiftright", bit, F.lit(6)).alias("at")).agg(F.bit_or(one).alias("v")), slots, F.lit(0).cast("long"))
+        held = mine.groupBy(F.pmod("hash", F.lit(groups)).alias("at")).agg(F.array_sort(F.collect_set("window")).alias("v"))
+        none = F.array().cast("array<string>")
+        buckets = _dense(held, groups, none) if self.small else self.windows.sparkSession.range(1).select(F.array().cast("array<array<string>>").alias("v"))
+        both = bits.withColumnRenamed("v", "bits").join(buckets.withColumnRenamed("v", "buckets"))
+        return materialise(both, f"set{n}").select(F.struct("bits", "buckets")).scalar()
+
+    def starts(self, n: int) -> str:
+        """SQL of the positions in x.w where a window of n words starts, or may start if only bitmaps are sent."""
+        slots, groups = self.sizes[n]
+        whole = _hash_sql("x.w", n)
+        bit = f"pmod({_hash_sql('x.w', min(n, 2)) if self.small else whole}, {64 * slots}L)"
+        test = f"(shiftright(get(x.s{n}.bits, int(shiftright({bit}, 6))), int(pmod({bit}, 64L))) & 1L) = 1L"
+        if self.small:
+            test += f" AND array_contains(get(x.s{n}.buckets, int(pmod({whole}, {groups}L))), array_join(slice(x.w, i + 1, {n}), ' '))"
+        return f"CASE WHEN size(x.w) >= {n} THEN filter(sequence(0, size(x.w) - {n}), i -> {test}) ELSE cast(array() AS array<int>) END"
 
-    def starts(self, array: str, n: int) -> str:
-        """SQL of the positions in an array of words where a window of n words starts, verified by its text."""
-        heads, hashes, texts = self.sets[n]
-        tests = [f"{_hash_sql(array, min(n, 2))} IN ({_literals(heads)})"] + [f"{_hash_sql(array, n)} IN ({_literals(hashes)})"] * (n > 2)
-        quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in sorted(texts))
-        verify = f"array_join(slice({array}, i + 1, {n}), ' ') IN ({quoted})"
-        return f"CASE WHEN size({array}) >= {n} THEN filter(sequence(0, size({array}) - {n}), i -> {' AND '.join([*tests, verify])}) ELSE array() END"
 
+_NO_HITS = "cast(array() AS array<struct<window:string, n:int, at:int>>)"
 
-def _spread(starts: str, n: int) -> str:
-    return f"flatten(transform({starts}, p -> sequence(p, p + {n - 1})))"
 
+def _with_found(df: DataFrame, known: HashSet) -> DataFrame:
+    """df (kept columns, text) with __found: struct(words, hits, hit). Words, sets and starts are bound by lambdas, and each of
+    the subqueries' columns is named once, so that Catalyst folds all into one expression: a set is never copied into a
+    row, and a filter on the result doesn't cut texts again at each position."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "text"]
+    if not known.sizes:
+        return df.select(*kept, F.struct(words(F.col("text")).alias("words"), F.expr(_NO_HITS).alias("hits"), F.array().cast("array<int>").alias("hit")).alias("__found"))
+    sets = df.select(*kept, words(F.col("text")).alias("__w"), *[known.row(n).alias(f"__s{n}") for n in known.sizes])
+    bound = "array(struct(__w AS w, " + ", ".join(f"__s{n} AS s{n}" for n in known.sizes) + "))"
+    starts = ", ".join(f"{known.starts(n)} AS at{n}" for n in known.sizes)
+    hits = ", ".join(f"transform(y.at{n}, p -> struct(array_join(slice(y.w, p + 1, {n}), ' ') AS window, {n} AS n, int(p) AS at))" for n in known.sizes)
+    hit = ", ".join(f"flatten(transform(y.at{n}, p -> sequence(int(p), int(p) + {n - 1})))" for n in known.sizes)
+    told = f"transform({bound}, x -> struct(x.w AS w, {starts}))"
+    return sets.select(*kept, F.expr(f"get(transform({told}, y -> struct(y.w AS words, concat({hits}) AS hits, array_distinct(concat({hit})) AS hit)), 0)").alias("__found"))
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs' columns but `text`, and words (its words), hits (array of struct(window, n, at): verified windows of the
     benchmark), hit (distinct positions of words inside them). Columns of those names in docs are replaced."""
-    return _scan(docs, HashSet(materialise(benchmark_windows(benchmark, window), "windows"), most_windows))
+    return _scan(docs, HashSet(materialise(benchmark_windows(benchmark, window), "windows"), most_bytes))
 
 
-def _scan(docs: DataFrame, found: HashSet) -> DataFrame:
+def _scan(docs: DataFrame, known: HashSet) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "words", "hits", "hit")]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], "text")
-    if not found.small:
-        return _joined(df, found, kept)
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.expr(_found_sql(found)).alias("__found")).select(*[F.col(f"`{c}`") for c in kept], "__found.*")
-
-
-def _found_sql(found: HashSet) -> str:
-    """SQL of struct(words, hits, hit). The words and the starts are bound by lambdas, not by columns: else a filter on
-    the result, which Catalyst moves below the projection, would cut the text into words again at each position."""
-    if not found.lengths:
-        return f"struct({_WORDS_SQL} AS words, {_NO_HITS} AS hits, cast(array() AS array<int>) AS hit)"
-    starts = ", ".join(f"{found.starts('w', n)} AS at_{n}" for n in found.lengths)
-    hits = ", ".join(f"transform(a.at_{n}, p -> struct(array_join(slice(w, p + 1, {n}), ' ') AS window, {n} AS n, int(p) AS at))" for n in found.lengths)
-    hit = ", ".join(_spread(f"a.at_{n}", n) for n in found.lengths)
-    inner = f"transform(array(struct({starts})), a -> struct(w AS words, concat({hits}) AS hits, array_distinct(concat({hit})) AS hit))"
-    return f"get(flatten(transform(array({_WORDS_SQL}), w -> {inner})), 0)"
-
-
-def _joined(df: DataFrame, found: HashSet, kept: list[str]) -> DataFrame:
-    """The way for a benchmark beyond the bound: the documents' windows, by hash, meet the benchmark's in a shuffle."""
-    df = df.select(*[F.col(f"`{c}`") for c in kept], words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("__n"))
-    df = materialise(df, "words")
-    every = None
-    for n in found.lengths:
-        cut = F.expr(f"CASE WHEN size(words) >= {n} THEN transform(sequence(0, size(words) - {n}), i -> struct({_hash_sql('words', n)} AS hash, array_join(slice(words, i + 1, {n}), ' ') AS window)) ELSE array() END")
-        part = df.select("__n", F.posexplode(cut).alias("at", "w")).select("__n", "at", F.lit(n).alias("n"), "w.hash", "w.window")
-        every = part if every is None else every.unionByName(part)
-    known = found.windows.select("n", "hash", "window").distinct()
-    hits = every.join(known, ["n", "hash", "window"]).groupBy("__n").agg(F.collect_list(F.struct("window", "n", "at")).alias("hits"))
-    out = df.join(hits, "__n", "left").withColumn("hits", F.coalesce("hits", F.expr(_NO_HITS)))
+    own = [F.col(f"`{c}`") for c in kept]
+    df = _with_found(docs.select(*own, "text"), known)
+    return df.select(*own, "__found.*") if known.small else _verified(df.select(*own, "__found.*"), known, own)
+
+
+def _verified(df: DataFrame, known: HashSet, own: list[Column]) -> DataFrame:
+    """For a benchmark beyond the bound: positions that hit a bitmap meet the benchmark's windows in a shuffle."""
+    df = materialise(df.withColumn("__n", F.monotonically_increasing_id()), "scanned")
+    may = df.select("__n", F.explode("hits").alias("h")).select("__n", "h.window", "h.n", "h.at")
+    hits = may.join(known.distinct.select("n", "window"), ["n", "window"]).groupBy("__n").agg(F.collect_list(F.struct("window", "n", "at")).alias("__hits"))
+    out = df.join(hits, "__n", "left").withColumn("hits", F.coalesce("__hits", F.expr(_NO_HITS)))
     hit = F.array_distinct(F.expr("flatten(transform(hits, h -> sequence(h.at, h.at + h.n - 1)))"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "words", "hits", hit.alias("hit"))
+    return out.select(*own, "words", "hits", hit.alias("hit"))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids, as strings, of the items hit): a row for each document."""
     windows = materialise(benchmark_windows(benchmark, window), "windows")
-    scanned = _scan(docs.select("doc_id", "text"), HashSet(windows, most_windows)).select(
+    scanned = _scan(docs.select("doc_id", "text"), HashSet(windows, most_bytes)).select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.size("hit").cast("long").alias("n_hit"),
@@ -140,12 +150,12 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_win
     return clean.unionByName(hit).select("doc_id", "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs without contaminated documents (mode "documents"), or with the hit words cut out of their texts (mode "spans")."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    marked = scan(docs.select(row, "text"), benchmark, window, most_windows)
+    marked = scan(docs.select(row, "text"), benchmark, window, most_bytes)
     own = [F.col("__row").getField(c).alias(c) for c in docs.columns]
     if mode == "documents":
         return marked.filter(F.size("hit") == 0).select(*own)

@@ -146,7 +146,7 @@ def test_suffix_arrays_and_merge():
     assert [x.tolist() for x in suffix.merge([(a, np.array([5, 9])), (b, np.array([2, 7]))])] == [[5, 2], [2, 7]]
 
 
-@pytest.mark.parametrize("most", [100_000, 1])
+@pytest.mark.parametrize("most", [decontam.MOST_BYTES, 1])
 def test_decontamination(docs, rows, benchmark, most):
     item = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: item.findall((t or "").translate(LOW))
@@ -164,11 +164,11 @@ def test_decontamination(docs, rows, benchmark, most):
                     hit.update(range(i, i + n))
                     items |= windows[tuple(w[i : i + n])]
         want.append((r[0], len(w), len(hit), tuple(sorted(str(x) for x in items if x is not None))))
-    got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.report(docs, benchmark, most_windows=most).collect()]
+    got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.report(docs, benchmark, most_bytes=most).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    clean = decontam.decontaminate(docs, benchmark, "documents", most_windows=most)
+    clean = decontam.decontaminate(docs, benchmark, "documents", most_bytes=most)
     assert clean.columns == docs.columns and clean.count() == sum(not x[2] for x in want)
-    cuts = decontam.decontaminate(docs, benchmark, "spans", most_windows=most)
+    cuts = decontam.decontaminate(docs, benchmark, "spans", most_bytes=most)
     assert collected(cuts, "doc_id", "text") != collected(docs, "doc_id", "text") and cuts.count() == len(rows)
     by = {r.doc_id: r.text for r in cuts.collect()}
     assert by[106] == "one" and by[103] is None
