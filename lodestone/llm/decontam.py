@@ -64,15 +64,15 @@ class HashSet:
         self.small = sum(r["bytes"] for r in sizes) <= most_bytes
         bits = BITS if self.small else LARGE_BITS
         #: By number of words: longs of the bitmap, and buckets.
-        self.sizes = {r["n"]: (max(1, min(MOST_LONGS, r["rows"] * bits // 64)), max(1, r["rows"] // 2)) for r in sizes}
+        self.sizes = {r["n"]: (min(MOST_LONGS, 1 << (r["rows"] * bits // 64).bit_length()), max(1, r["rows"] // 2)) for r in sizes}
 
     def row(self, n: int) -> Column:
         """The set of one number of words, as a scalar subquery: struct(bits, buckets). Without buckets if they are too many."""
         slots, groups = self.sizes[n]
         mine = self.distinct.filter(F.col("n") == n)
-        bit = F.pmod("head" if self.small else "hash", F.lit(64 * slots))
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-        bits = _dense(mine.groupBy(F.call_function("shiftright", bit, F.lit(6)).alias("at")).agg(F.bit_or(one).alias("v")), slots, F.lit(0).cast("long"))
+        h = F.col("head" if self.small else "hash")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        bits = _dense(mine.groupBy(F.call_function("shiftright", h, F.lit(6)).bitwiseAND(F.lit(slots - 1)).alias("at")).agg(F.bit_or(one).alias("v")), slots, F.lit(0).cast("long"))
         held = mine.groupBy(F.pmod("hash", F.lit(groups)).alias("at")).agg(F.array_sort(F.collect_set("window")).alias("v"))
         none = F.array().cast("array<string>")
         buckets = _dense(held, groups, none) if self.small else self.windows.sparkSession.range(1).select(F.array().cast("array<array<string>>").alias("v"))
@@ -83,11 +83,11 @@ class HashSet:
         """SQL of the positions in x.w where a window of n words starts, or may start if only bitmaps are sent."""
         slots, groups = self.sizes[n]
         whole = _hash_sql("x.w", n)
-        bit = f"pmod({_hash_sql('x.w', min(n, 2)) if self.small else whole}, {64 * slots}L)"
-        test = f"(shiftright(get(x.s{n}.bits, int(shiftright({bit}, 6))), int(pmod({bit}, 64L))) & 1L) = 1L"
-        if self.small:
-            test += f" AND array_contains(get(x.s{n}.buckets, int(pmod({whole}, {groups}L))), array_join(slice(x.w, i + 1, {n}), ' '))"
-        return f"CASE WHEN size(x.w) >= {n} THEN filter(sequence(0, size(x.w) - {n}), i -> {test}) ELSE cast(array() AS array<int>) END"
+        hashes = f"transform(sequence(0, size(x.w) - {n}), i -> {_hash_sql('x.w', min(n, 2)) if self.small else whole})"
+        # The bitmap is bound once more, as reading it from the set's row for each position costs as much as the hash.
+        near = f"get(transform(array(x.s{n}.bits), b -> transform({hashes}, (h, i) -> IF(getbit(get(b, int(shiftright(h, 6) & {slots - 1}L)), int(h & 63L)) = 1, i, -1))), 0)"
+        found = f" AND array_contains(get(x.s{n}.buckets, int(pmod({whole}, {groups}L))), array_join(slice(x.w, i + 1, {n}), ' '))" if self.small else ""
+        return f"CASE WHEN size(x.w) >= {n} THEN filter({near}, i -> i >= 0{found}) ELSE cast(array() AS array<int>) END"
 
 
 _NO_HITS = "cast(array() AS array<struct<window:string, n:int, at:int>>)"
