@@ -16,8 +16,8 @@ A document is found by its shard's range, then with a few probes and one compari
 document is touched.
 
 Texts are cut where the byte-level pre-tokenizer always cuts: around runs of white space, whose last space goes with
-the word behind it, and between ASCII letters, digits and marks. Each distinct piece is encoded once while a worker remembers it, many in one call with newlines
-between them. This gives the ids of the whole text; texts with white space beyond ASCII or with the tokenizer's added tokens are encoded whole.
+the word behind it, and between ASCII letters, digits and marks. Distinct pieces are encoded many in one call with newlines
+between them, and a worker remembers those that occur more than once in a batch, within bounds. This gives the ids of the whole text; texts with white space beyond ASCII or with the tokenizer's added tokens are encoded whole.
 
 Edge cases: null or empty texts are the end id alone; a null id comes first, under a key of its own; rows with one
 id are ordered by their texts' hashes and keyed by their turn among them; a text above the shard size has a shard of its own; an empty
@@ -44,7 +44,7 @@ END_ID = 2
 #: Ids in a shard: it is closed when the next document would pass this.
 SHARD_IDS = 1 << 18
 #: UTF-8 bytes of texts encoded at a time; distinct pieces, and bytes of them, that a Python worker remembers.
-BATCH_BYTES, MOST_PIECES, MOST_BYTES = 6 << 20, 500_000, 24 << 20
+BATCH_BYTES, MOST_PIECES, MOST_BYTES = 4 << 20, 400_000, 16 << 20
 #: Pieces that are encoded in one call.
 JOINED = 1000
 
@@ -88,39 +88,47 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, ids: np.ndarray, n: np.ndarray, pieces: list[bytes]) -> None:
-        k = len(self.known)
+    def _store(self, at: int, ids: np.ndarray, n: np.ndarray) -> None:
+        """Ids of pieces numbered from `at` on."""
         while self.filled + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
-        if k + len(pieces) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.empty(len(x) + len(pieces), np.int64)]) for x in (self.starts, self.lengths))
+        if at + len(n) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty(len(x) + len(n), np.int64)]) for x in (self.starts, self.lengths))
         self.flat[self.filled : self.filled + len(ids)] = ids
-        self.starts[k : k + len(pieces)] = self.filled + np.cumsum(n) - n
-        self.lengths[k : k + len(pieces)] = n
+        self.starts[at : at + len(n)] = self.filled + np.cumsum(n) - n
+        self.lengths[at : at + len(n)] = n
         self.filled += len(ids)
-        self.held += sum(map(len, pieces))
-        self.known.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
-    def _codes(self, pieces: list[bytes]) -> np.ndarray:
-        """The number of each of some distinct pieces, encoding those that aren't known."""
-        if len(self.known) + len(pieces) > MOST_PIECES or self.held > MOST_BYTES:
+    def _codes(self, pieces: list[bytes], often: np.ndarray) -> tuple[np.ndarray, int]:
+        """The number of each of some distinct pieces, encoding those that aren't known; of these only those that occur often
+        are remembered. Then how many ids those take: what lies behind may be overwritten by the next call."""
+        if len(self.known) > MOST_PIECES or self.held > MOST_BYTES:
             self.forget()
-        new = [p for p in pieces if p not in self.known]
-        alone = [p for p in new if not p.strip() or self.newline is None]
-        if alone:
-            rows = self.whole([p.decode("utf-8") for p in alone])
-            n = np.array([len(r) for r in rows], np.int64)
-            self._learn(np.fromiter((i for r in rows for i in r), np.uint32, int(n.sum())), n, alone)
-            skip = set(alone)
-            new = [p for p in new if p not in skip]
-        for lo in range(0, len(new), JOINED):
-            part = new[lo : lo + JOINED]
-            ids = np.array(self.whole([b"\n".join(part).decode("utf-8")])[0], np.uint32)
-            gaps = np.flatnonzero(ids == self.newline)
-            if len(gaps) != len(part) - 1:
-                raise ValueError("a piece holds the newline's id")
-            self._learn(ids[ids != self.newline], np.diff(np.concatenate([[-1], gaps, [len(ids)]])) - 1, part)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        find, at = self.known.get, len(self.known)
+        codes = np.fromiter((find(p, -1) for p in pieces), np.int64, len(pieces))
+        for some in (often, ~often):
+            new = np.flatnonzero((codes < 0) & some).tolist()
+            alone = [i for i in new if not pieces[i].strip() or self.newline is None]
+            if alone:
+                rows, skip = self.whole([pieces[i].decode("utf-8") for i in alone]), set(alone)
+                n = np.array([len(r) for r in rows], np.int64)
+                self._store(at, np.fromiter((i for r in rows for i in r), np.uint32, int(n.sum())), n)
+                codes[alone] = np.arange(at, at + len(alone))
+                at, new = at + len(alone), [i for i in new if i not in skip]
+            for lo in range(0, len(new), JOINED):
+                part = new[lo : lo + JOINED]
+                ids = np.array(self.whole([b"\n".join([pieces[i] for i in part]).decode("utf-8")])[0], np.uint32)
+                gaps = np.flatnonzero(ids == self.newline)
+                if len(gaps) != len(part) - 1:
+                    raise ValueError("a piece holds the newline's id")
+                self._store(at, ids[ids != self.newline], np.diff(np.concatenate([[-1], gaps, [len(ids)]])) - 1)
+                codes[part] = np.arange(at, at + len(part))
+                at += len(part)
+            if some is often:
+                kept, learnt = self.filled, [i for i in (*alone, *new)]
+                self.known.update((pieces[i], int(codes[i])) for i in learnt)
+                self.held += sum(len(pieces[i]) for i in learnt)
+        return codes, kept
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, and how many each text has."""
@@ -144,14 +152,19 @@ class Encoder:
             follows = ~ends_text & (kind[np.minimum(run + 1, len(kind) - 1)] > 1)
             begins[run] = follows | np.isin(run, texts_at)
         at = np.flatnonzero(begins)
+        del kind, pair, begins, run, plain
         if len(at):
             offsets = np.append(at, len(data)).astype(np.int32)
             cut = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-            codes = self._codes(cut.dictionary.to_pylist())[cut.indices.to_numpy()]
+            indices = cut.indices.to_numpy()
+            numbers, kept = self._codes(cut.dictionary.to_pylist(), np.bincount(indices, minlength=len(cut.dictionary)) > 1)
+            codes = numbers[indices]
+            del cut, indices, offsets
             n = self.lengths[codes]
             ends = np.cumsum(n)
             ids = self.flat[np.repeat((self.starts[codes] - (ends - n)).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
             per_text = np.diff(np.append(0, ends)[np.searchsorted(at, np.append(0, edges))])
+            self.filled = kept
         else:
             ids, per_text = np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         if odd:
@@ -258,6 +271,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
             real = [k for k in keys if k is not None]
             row = [part, shard, min(real, default=None), max(real, default=None), before, len(keys), held, len(keys) - len(real), np.array(real, "<i8").tobytes(), payload, index]
             shard, before, keys, tokens, counts, held = shard + 1, before + held, [], [], [], 0
+            pa.default_memory_pool().release_unused()
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
