@@ -34,7 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/{name}"
+    """A path in a new folder of the shared one, which is deleted when the driver's JVM ends."""
+    home = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{home}/{name}"
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -23,6 +23,8 @@ from lodestone.llm.common import WORD, id_mod, materialise
 
 SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 5
 BINS, MOST_RULES, MOST_CONDITIONS = 24, 8, 3
+#: Steps in which values are counted for quantiles, and how much finer they are near 0 than at a feature's maximum.
+GRID, FINE = 4096, 1000.0
 #: A rule is kept if so large a share of what it covers among the rows held back has label 0.
 LEAST_PRECISION, LEAST_COVERED = 0.8, 3
 
@@ -109,10 +111,24 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def cut_points(labelled: DataFrame, bins: int = BINS) -> dict[str, list[float]]:
-    """Candidate thresholds of each feature: quantiles of the rows of each label."""
-    at = [i / bins for i in range(1, bins)]
-    found = labelled.groupBy("label").agg(*[F.percentile_approx(F.col(f).cast("double"), at, 10_000).alias(f) for f in FEATURES]).collect()
-    return {f: sorted({x for r in found for x in (r[f] or ())}) for f in FEATURES}
+    """Candidate thresholds of each feature: quantiles of the rows of each label, from exact counts over GRID steps that are
+    finer near 0. Counts don't depend on the order of rows, so reruns find the same."""
+    most = labelled.agg(*[F.max(F.col(f).cast("double")).alias(f) for f in FEATURES]).first().asDict()
+    span = math.log1p(FINE)
+    step = lambda f: F.floor(F.log1p(F.col(f).cast("double") * (FINE / (most[f] or 1.0))) * (GRID / span)).cast("int")
+    every = labelled.select("label", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), step(f).alias("b")) for f in FEATURES])).alias("x"))
+    counts: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in every.groupBy("label", "x.f", "x.b").agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect():
+        counts.setdefault((r["f"], r["label"]), []).append((r["b"], r["n"]))
+    cuts: dict[str, set[float]] = {f: set() for f in FEATURES}
+    for (f, _), found in counts.items():
+        total, upto, wanted = sum(n for _, n in found), 0, 1
+        for b, n in found:
+            upto += n
+            while wanted < bins and upto * bins >= wanted * total:
+                cuts[f].add(math.expm1((b + 1) / GRID * span) * (most[f] or 1.0) / FINE)
+                wanted += 1
+    return {f: sorted(c) for f, c in cuts.items()}
 
 
 def learn(labelled: DataFrame, hold: Column, bins: int = BINS, most_rules: int = MOST_RULES, most_conditions: int = MOST_CONDITIONS) -> list[Rule]:
