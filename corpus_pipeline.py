@@ -47,7 +47,7 @@ STAGES = [
     ("token-ID / binary output", token_shards),
 ]
 
-#: The quality classifier's scores aren't SQL; tests hold each stage against a brute-force version.
+#: The quality classifier's scores aren't SQL; tests/llm/test_models.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
