@@ -446,8 +446,6 @@ def scratch(spark) -> str:
 def stream_index_upsert(spark, d):
     """documents, streamed in micro-batches into an index of its own in the scratch folder, then read back."""
     home = scratch(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(home)
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file"), F.col("doc_id").alias("version"), "lang", "n_chars")
     docs.write.parquet(f"{home}/in")
     docs.filter("version % 10 = 0").withColumn("version", F.col("version") + 1_000_000).withColumn("n_chars", F.lit(0).cast("long")).write.mode("append").parquet(f"{home}/in")

@@ -29,7 +29,7 @@ def upsert(spark: SparkSession, path: str, buckets: int = BUCKETS):
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Writes the index at path to target as one batch, a file's last version each; readers then move to target."""
-    read(spark, path).drop("batch").write.mode("overwrite").partitionBy().parquet(f"{target}/batch=-1")
+    read(spark, path).drop("batch").write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def follow(spark: SparkSession, source: str, schema: TY.StructType, index: str, checkpoint: str, files_per_batch: int = 100):

@@ -38,6 +38,29 @@ def test_bad_utf8(spark):
     assert "ok" in documents.extract(df).first().text
 
 
+def test_pdf_text(spark):
+    import zlib
+
+    shown = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) w\\366rld) Tj 0 -14 Td [(sec) -20 (ond)] TJ ET\n" + b"BT (" + b"more text " * 6 + b") Tj ET"
+    pdf = b"%PDF-1.4\n1 0 obj <</Filter /FlateDecode>>\nstream\n" + zlib.compress(shown) + b"\nendstream\nendobj\n2 0 obj\nstream\nBT (plain) Tj ET\nendstream"
+    data = [("a.pdf", bytearray(pdf)), ("b.pdf", bytearray(b"no")), ("c.pdf", None), ("d.exe", bytearray(b"x"))]
+    got = {r.path: r for r in documents.extract(rows(spark, data, "path string, content binary")).collect()}
+    assert got["a.pdf"].text == "Hello (PDF) w\xf6rld\nsecond\n" + ("more text " * 6).strip() + "\nplain" and got["a.pdf"].has_text_layer
+    assert got["b.pdf"].text is None and not got["c.pdf"].has_text_layer and "d.exe" not in got
+
+
+def test_compact_keeps_the_last_versions(spark, tmp_path):
+    from lodestone.streaming import maintain
+
+    write = maintain.upsert(spark, f"file://{tmp_path}/i")
+    write(rows(spark, [("a", 1, "x"), ("b", 1, "y"), ("a", 2, "z")], "file string, version int, v string"), 0)
+    write(rows(spark, [("b", 0, "old"), ("c", 5, "n")], "file string, version int, v string"), 1)
+    write(rows(spark, [("b", 0, "old"), ("c", 5, "n")], "file string, version int, v string"), 1)
+    maintain.compact(spark, f"file://{tmp_path}/i", f"file://{tmp_path}/j")
+    for at in ("i", "j"):
+        assert sorted((r.file, r.version, r.v) for r in maintain.read(spark, f"file://{tmp_path}/{at}").collect()) == [("a", 2, "z"), ("b", 1, "y"), ("c", 5, "n")]
+
+
 def test_impl_for(spark):
     df = rows(spark, [("a.rs", "impl<T> Display for Token<T> {\nimpl Plain {\n")], "file string, text string")
     assert [r.name for r in C.symbols(df).orderBy("start_line").collect()] == ["Token", "Plain"]
