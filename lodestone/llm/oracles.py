@@ -95,4 +95,35 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM f GROUP BY conv_id
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op5_suffix_dedup": OP5, "op6_decontaminate": OP6, "op9_chat_format": OP9}
+#: crc32 of a list of bytes `{0}`, with the table `crc` (one row, list t of 256) in scope.
+CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, {0}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
+CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, x: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END) AS v FROM (SELECT unnest(range(256))::UBIGINT AS i)))"
+
+
+def _crc(text: str) -> str:
+    """SQL for the crc32 of a text's UTF-8 bytes."""
+    return CRC.format(f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::UBIGINT)")
+
+
+OP11 = f"""
+WITH {CRC_TABLE},
+e AS (
+  SELECT 2 * (conv_id >> 3) + c % 2 AS "user", (c // 2) % 7200 + 300 * turn + h % 600 AS s, h // 600 AS g, h
+  FROM (SELECT conv_id, turn, {_crc("conv_id::VARCHAR")} AS c, {_crc("conv_id::VARCHAR || ':' || turn::VARCHAR")} AS h
+        FROM conversations, crc WHERE turn IS NOT NULL AND conv_id IS NOT NULL)),
+v AS (SELECT "user", s, h, floor(s / 1800)::BIGINT + CASE WHEN g % 3 = 0 THEN g % 4 ELSE 0 END AS batch FROM e),
+x AS (SELECT v."user", b.batch, s, h, v.batch AS own FROM (SELECT DISTINCT "user", batch FROM v) b JOIN v ON v."user" = b."user" AND v.batch <= b.batch),
+o AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY "user", batch ORDER BY s) <= 240 THEN 0 ELSE 1 END AS opens FROM x),
+k AS (SELECT *, sum(opens) OVER (PARTITION BY "user", batch ORDER BY s) AS nr FROM o),
+w AS (
+  SELECT "user", batch, min(s) AS start_s, max(s) AS end_s, count(*) AS n_events, count(*) FILTER (WHERE own = batch) AS n_new, sum(h)::BIGINT AS h_sum
+  FROM k GROUP BY "user", batch, nr HAVING n_new > 0),
+r AS (
+  SELECT a."user", a.batch, a.start_s, min(b.batch) AS retracted_batch, arg_min(b.start_s, b.batch) AS retracted_start_s
+  FROM w a JOIN w b ON a."user" = b."user" AND b.batch > a.batch AND b.start_s <= a.start_s AND a.end_s <= b.end_s GROUP BY ALL),
+n AS (SELECT "user", retracted_batch AS batch, retracted_start_s AS start_s, count(*) AS n FROM r GROUP BY ALL)
+SELECT w.*, coalesce(n, 0)::BIGINT AS n_retracted, retracted_batch, retracted_start_s
+FROM w LEFT JOIN r USING ("user", batch, start_s) LEFT JOIN n USING ("user", batch, start_s)
+"""
+
+ORACLES = {"op2_mix_sources": OP2, "op5_suffix_dedup": OP5, "op6_decontaminate": OP6, "op9_chat_format": OP9, "op11_late_sessions": OP11}

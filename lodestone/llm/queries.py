@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, dedup_spans, langid, lm, mix, quality, rules, simhash, tokens
+from lodestone.llm import chat, decontam, dedup_spans, langid, lm, mix, quality, rules, sessions, simhash, tokens
 from lodestone.llm.common import id_mod, table
 
 
@@ -79,6 +79,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_versions(sessions.turn_events(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_mix_sources": op2_mix_sources,
@@ -90,4 +94,5 @@ QUERIES = {
     "op8_maxent_lm": op8_maxent_lm,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op11_late_sessions": op11_late_sessions,
 }
