@@ -126,4 +126,29 @@ SELECT w.*, coalesce(n, 0)::BIGINT AS n_retracted, retracted_batch, retracted_st
 FROM w LEFT JOIN r USING ("user", batch, start_s) LEFT JOIN n USING ("user", batch, start_s)
 """
 
-ORACLES = {"op2_mix_sources": OP2, "op5_suffix_dedup": OP5, "op6_decontaminate": OP6, "op9_chat_format": OP9, "op11_late_sessions": OP11}
+OP12 = rf"""
+WITH {CRC_TABLE},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM benchmark),
+df AS (SELECT r, unnest(list_concat(w, list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2]))) AS f FROM b),
+k AS (SELECT f, {_crc("f")} % 10000 AS k FROM (SELECT f FROM df UNION SELECT f FROM bf), crc),
+s AS (SELECT k, count(*) AS s FROM df JOIN k USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM bf JOIN k USING (f) GROUP BY k),
+g AS (
+  SELECT s.k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (SELECT sum(s) + 10000 FROM s)::DOUBLE / ((s + 1)::DOUBLE * (SELECT coalesce(sum(t), 0) + 10000 FROM t)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (k)),
+m AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM df JOIN k USING (f) JOIN g USING (k) GROUP BY r),
+z AS (
+  SELECT r, doc_id, greatest(2 * len(w) - 1, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN m USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, n_features, weight) AS rank FROM z WHERE n_features >= 39)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT floor(25 * count(*) / 100) FROM o) THEN rank END AS rank FROM z LEFT JOIN o USING (r)
+"""
+
+ORACLES = {"op2_mix_sources": OP2, "op5_suffix_dedup": OP5, "op6_decontaminate": OP6, "op9_chat_format": OP9, "op11_late_sessions": OP11, "op12_resample": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, dedup_spans, langid, lm, mix, quality, rules, sessions, simhash, tokens
+from lodestone.llm import chat, decontam, dedup_spans, langid, lm, mix, quality, resample, rules, sessions, simhash, tokens
 from lodestone.llm.common import id_mod, table
 
 
@@ -83,6 +83,10 @@ def op11_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_versions(sessions.turn_events(table(spark, sf_dir, "conversations")))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_mix_sources": op2_mix_sources,
@@ -95,4 +99,5 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
     "op11_late_sessions": op11_late_sessions,
+    "op12_resample": op12_resample,
 }
