@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, dedup_spans, langid, lm, mix, quality, resample, rules, sessions, simhash, tokens
+from lodestone.llm import chat, decontam, dedup_spans, html, langid, lm, mix, quality, resample, rules, sessions, simhash, tokens
 from lodestone.llm.common import id_mod, table
 
 
@@ -87,6 +87,10 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_mix_sources": op2_mix_sources,
@@ -100,4 +104,5 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_late_sessions": op11_late_sessions,
     "op12_resample": op12_resample,
+    "op13_main_text": op13_main_text,
 }
