@@ -59,7 +59,8 @@ ORACLES = {
       ORDER BY g::INT + d::INT DESC, ng::INT + nd::INT DESC, CASE WHEN regexp_matches(path, '[.](md|py|js)$') THEN 1 ELSE 2 END, v DESC, len(string_split(path, '/')), path LIMIT 25""",
     "filename_shortcut": f"WITH {CODE}, m AS (SELECT file AS path, id FROM code WHERE contains(lower(split_part(file, '/', -1)), 'test_f94')) SELECT path, 'py' AS language, 1.0::DOUBLE AS score, 'filename-lookup' AS fallback, 'test_f94' AS token FROM m WHERE (SELECT count(*) FROM m) <= 30 ORDER BY len(string_split(path, '/')), id DESC, path LIMIT 10",
     "multi_root_names": f"WITH {CODE}, m AS (SELECT r || '/' || file AS path, r AS root FROM code, (VALUES ('a'), ('b')) x(r) WHERE contains(split_part(file, '/', -1), 'f19')) SELECT path, root, 'f19' AS token FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS k FROM m) WHERE k <= 5",
-    "scope_folder": "SELECT 'pkg/migrations' AS folder, 0.95::DOUBLE AS confidence",
+    "scope_folder": f"""WITH {SYNTH}, p AS (SELECT DISTINCT path FROM syn), f AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS folder FROM (SELECT path, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS n FROM p))
+      SELECT folder, 0.95::DOUBLE AS confidence FROM f WHERE split_part(lower(folder), '/', -1) = 'migrations' ORDER BY len(string_split(folder, '/')), folder LIMIT 1""",
     "output_boundary": f"WITH {SYNTH} SELECT id, CASE WHEN id % 2 = 0 THEN '/repo/' || path ELSE path END AS path FROM syn WHERE (id % 2 = 0 OR id % 9 <> 1) AND (path LIKE 'src/%' OR path LIKE 'docs/%.md') AND NOT path LIKE 'docs/RELEASE%'",
     "depth_merge": f"""WITH {SCORED}, r AS (SELECT id, {FOLDER} AS path, semantic, lexical FROM s),
       a AS (SELECT path, id, lexical, row_number() OVER (PARTITION BY path ORDER BY lexical DESC, id) AS k FROM r), a2 AS (SELECT path, id, lexical FROM a WHERE k = 1 ORDER BY lexical DESC, id LIMIT 30),
@@ -68,9 +69,15 @@ ORACLES = {
       SELECT path, row_number() OVER (ORDER BY src, rk, path) AS rank, snippet, fallback FROM m ORDER BY src, rk, path LIMIT 40""",
     "fast_intent_centroid": f"WITH {CENTROIDS} SELECT conv_id, turn, {', '.join(f'round({k}, 7) AS {k}' for k in EXAMPLES)} FROM sc",
     "fast_intents": f"""WITH {CENTROIDS}, r AS (SELECT conv_id, turn, greatest({NAMES}) AS score, list_sort([{NAMES}], 'DESC')[2] AS second, greatest(filename, semantic, lexical) AS plain,
-      CASE greatest({NAMES}) {" ".join(f"WHEN {k} THEN '{k}'" for k in EXAMPLES)} END AS intent FROM sc), l AS (SELECT *, score - CASE WHEN intent LIKE 'metadata%' THEN plain ELSE second END AS lead FROM r)
-      SELECT l.conv_id, l.turn, CASE WHEN intent <> 'lexical' AND score >= CASE intent WHEN 'filename' THEN 0.035 WHEN 'semantic' THEN 0.08 ELSE 0.05 END AND lead >= CASE intent WHEN 'filename' THEN 0.02 WHEN 'metadata_created' THEN 0.04 ELSE 0.05 END
-        AND NOT (intent = 'semantic' AND score < 0.1 AND len(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]{{1,80}}')) <= 3) THEN intent END AS intent, round(score, 7) AS score, round(lead, 7) AS lead FROM l JOIN u ON l.conv_id = u.conv_id AND l.turn = u.turn""",
+      CASE greatest({NAMES}) {" ".join(f"WHEN {k} THEN '{k}'" for k in EXAMPLES)} END AS best, filename FROM sc),
+      n AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._-]{{1,80}}') AS names, regexp_split_to_array(text, '["''“”‘’`]') AS parts FROM u),
+      q AS (SELECT *, len(names) AS nn, len(list_filter(names, lambda x: regexp_matches(x, '[._/-]'))) > 0 AS structured,
+        len(list_filter(names, lambda x: regexp_matches(x, '[0-9._-]'))) > 0 OR len(list_filter(list_transform(range(1, len(parts) // 2 + 1), lambda i: CASE WHEN 2 * i < len(parts) THEN trim(parts[2 * i]) ELSE '' END), lambda x: length(x) >= 2 AND regexp_matches(x, '[0-9._/\\-]'))) > 0 AS pathlike
+        FROM r JOIN n USING (conv_id, turn)),
+      l AS (SELECT *, CASE WHEN best = 'semantic' AND pathlike AND nn <= 4 AND score - second < 0.1 AND filename >= 0.035 THEN 1 WHEN best = 'semantic' AND nn <= 3 AND score < 0.1 THEN 2 WHEN best = 'semantic' AND structured AND score >= 0.18 THEN 3 WHEN best = 'semantic' AND structured THEN 4 WHEN best LIKE 'metadata%' THEN 5 ELSE 6 END AS how FROM q),
+      m AS (SELECT conv_id, turn, how, CASE how WHEN 1 THEN 'filename' ELSE best END AS intent, CASE how WHEN 1 THEN filename ELSE score END AS score, CASE how WHEN 1 THEN 0 WHEN 5 THEN score - plain ELSE score - second END AS lead FROM l)
+      SELECT conv_id, turn, CASE WHEN how <> 2 AND intent <> 'lexical' AND score >= CASE intent WHEN 'filename' THEN 0.035 WHEN 'semantic' THEN 0.08 ELSE 0.05 END
+        AND lead >= CASE WHEN how IN (1, 3) THEN 0 WHEN how = 4 OR intent = 'filename' THEN 0.02 WHEN intent = 'metadata_created' THEN 0.04 ELSE 0.05 END THEN intent END AS intent, round(score, 7) AS score, round(lead, 7) AS lead FROM m""",
     "agent_intents": r"""WITH u AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations WHERE role = 'user'), w AS (SELECT *, regexp_extract_all(q, '[a-z0-9_]+') AS t FROM u)
       SELECT conv_id, turn, CASE WHEN list_has_any(t, string_split('test tests testing covers cover covered proves prove assert asserts regression fixture fixtures', ' ')) THEN 'test_location'
         WHEN list_has_all(t, ['environment', 'variables']) OR list_contains(t, 'env') OR list_has_all(t, ['database', 'ollama']) THEN 'config_location'
