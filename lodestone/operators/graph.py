@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,16 +15,22 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return ends.groupBy("file").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, iterations: int = 50) -> DataFrame:
-    """file, in_degree, out_degree, pagerank. Edges are first summed by pair, so a step shuffles each pair once; dangling
-    nodes give to all. A step reads the last one's ranks three times, so each is cut by a checkpoint, which executors share."""
-    spark = edges.sparkSession
+def need_checkpoints(spark: SparkSession) -> None:
+    """Sees to it that there is a checkpoint folder: the cluster's, or, in local mode where none is set, a temporary one."""
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local"):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
+        spark.sparkContext.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, damping: float = 0.85, iterations: int = 50) -> DataFrame:
+    """file, in_degree, out_degree, pagerank. Edges are first summed by pair, so a step shuffles each pair once; dangling
+    nodes give to all. A step reads the last one's ranks three times, so each is cut by a checkpoint, which executors share."""
+    spark = edges.sparkSession
+    need_checkpoints(spark)
     stats = degrees(edges, nodes).checkpoint()
     n = stats.count()
     if not n:

@@ -152,6 +152,6 @@ def link_edges(pages: DataFrame, text: str = "text") -> DataFrame:
     rows = pages.select(F.col("file").alias("src"), F.explode(found).alias("link")).filter(~F.col("link").rlike(r"^([a-z][a-z0-9+.-]*:|//|#)"))
     folder = F.regexp_replace(F.regexp_extract("src", "^(.*/)?", 0), "/$", "")
     link = F.regexp_replace("link", "[#?].*$", "")
-    joined = F.when(link.startswith("/"), F.substring(link, 2, 10_000)).otherwise(F.concat_ws("/", F.nullif(folder, F.lit("")), link))
+    joined = F.when(link.startswith("/"), F.substr(link, F.lit(2))).otherwise(F.concat_ws("/", F.nullif(folder, F.lit("")), link))
     clean = F.regexp_replace(F.regexp_replace(joined, r"(^|/)(\./)+", "$1"), r"[^/]+/\.\./", "")
     return rows.select("src", clean.alias("dst")).filter("src <> dst AND dst <> ''")

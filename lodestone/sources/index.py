@@ -1,7 +1,8 @@
 """An index as Parquet tables: its schemas, building it whole or by steps, enrichment, and recovery after a change of model.
 
-Tables lie below one folder, a version each: a writer writes the next version's folder, then the pointer `current` names it, so
-that readers see the old version or the new one, and a failed write changes nothing. Edge cases: a table that was never
+Tables of rows by file (`DELTA`) are deltas: a refresh writes the rows of the files that changed, for all tables in one step, and costs
+what changed. The others are small or made whole: a version each, which the pointer `current` names once it is written. Readers see
+a table as it was before a step or after it, and a failed step changes nothing. Edge cases: a table that was never
 written is empty; columns that a stored version lacks are null; an embedder or answerer that fails for a row gives null,
 and the row stays pending; ties go by file and id.
 """
@@ -9,7 +10,8 @@ and the row stays pending; ties go by file and id.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,19 +19,30 @@ from pyspark.sql import types as TY
 
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
+from lodestone.operators import graph
 from lodestone.sources import corpus as C
+from lodestone.sources import edges as E
 from lodestone.sources import store
+from lodestone.sources.delta import Deltas
 
 SCHEMAS = {
     "chunks": "id long, file string, chunk_index int, chunk string, language string, start_line int, end_line int, start_byte long, end_byte long, file_mtime double, description string, enriched_at double",
-    "vectors": "id long, embedding array<float>",
+    "vectors": "id long, file string, embedding array<float>",
     "symbols": "file string, name string, name_lower string, kind string, start_line int, end_line int, file_mtime double",
     "files": "file string, chunk_count long, embedding array<float>",
+    "edges": "file string, dst string",
+    "degrees": "file string, in_degree long, out_degree long",
     "file_graph": "file string, in_degree long, out_degree long, pagerank double",
     "metadata": "key string, value string",
     "meta": "key string, value string",
     "router_cache": "key string, value string, at double",
 }
+#: Tables that are kept as deltas.
+DELTA = ("chunks", "vectors", "symbols", "files", "edges", "degrees")
+#: Files with these names stand for their folder; references may name only the folder, or the crate.
+FOLDER_FILES, CRATE_WORDS = ("__init__", "mod", "lib", "main", "index"), ("crate::", "super::", "self::")
+#: Beyond so many names of new and vanished files, all files' references are read anew. Beyond so many steps, they are merged.
+MOST_NAMES, MOST_STEPS = 400, 20
 MODEL_CHARS = 7500
 DEFER, THROTTLE_SECONDS, BATCH = 25, 30.0, 64
 CONTENT_TYPES = {"code": ("py", "rs", "ts", "tsx", "js", "jsx", "mjs", "cjs"), "markdown": ("md", "mdx", "markdown"), "document": ("pdf", "docx"), "text": ("txt", "rst", "html")}
@@ -63,12 +76,28 @@ class Index:
                 return None
             raise
 
-    def read(self, table: str) -> DataFrame:
+    @property
+    def deltas(self) -> Deltas:
+        return Deltas(self.spark, f"{self.path}/deltas", {t: self.schema(t) for t in DELTA})
+
+    def read(self, table: str, files: DataFrame | None = None) -> DataFrame:
+        """A table as it is now; of `files` (file) only, if given, where the table has files. Vectors come by id."""
+        if table in DELTA:
+            rows = self.deltas.read(table, files)
+            return rows.drop("file") if table == "vectors" else rows
         v = self.version(table)
         if v is None:
             return self.spark.createDataFrame([], self.schema(table))
         return self.spark.read.schema(self.schema(table)).parquet(f"{self.path}/{table}/v{v}")
 
+    def work(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, written once below the index and read back: what a step uses more than once is computed once."""
+        path = f"{self.path}/work/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        home = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        home.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(home)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def write(self, table: str, rows: DataFrame) -> None:
         """rows as the table's next version. Columns that rows lacks are null."""
         v, kind = (self.version(table) or 0) + 1, self.schema(table)
@@ -106,45 +135,148 @@ def build_chunks(files: DataFrame, embed: Embedder) -> DataFrame:
     return store.stamped(rows.withColumn("id", F.xxhash64("file", "chunk_index")))
 
 
-def refresh(index: Index, files: DataFrame, embed: Embedder, defer: int | None = DEFER, now: float | None = None, full: bool = False) -> dict[str, int]:
+def _names(files: DataFrame) -> Column:
+    """What a reference to a file says: the stem of its name; of a file that stands for its folder, names of folders and a crate's."""
+    parts = F.split("file", "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
+    folders = F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.least(F.size(parts) - 1, F.lit(2)))
+    said = F.when(stem.isin(*FOLDER_FILES), F.concat(folders, F.array(stem, *map(F.lit, CRATE_WORDS)))).otherwise(F.array(stem))
+    return F.concat(said, F.transform(said, lambda x: F.replace(x, F.lit("-"), F.lit("_"))))
+
+
+def _mentioning(files: DataFrame, named: DataFrame) -> DataFrame:
+    """file of the files whose text may refer to one of the named ones, or of all, if too many are named."""
+    words = [r[0] for r in named.select(F.explode(_names(named)).alias("w")).filter("w <> ''").distinct().limit(MOST_NAMES + 1).collect()]
+    if len(words) > MOST_NAMES:
+        return files.select("file")
+    return files.filter(F.coalesce(T.any_of(F.contains("text", F.lit(w)) for w in words), F.lit(False))).select("file") if words else files.select("file").limit(0)
+
+
+def _graph_step(index: Index, files: DataFrame, pending: DataFrame, added: DataFrame, gone: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """The changes of `edges` and `degrees`: edges of the files that may have other edges than before (changed ones, and those that may
+    refer to new or vanished files), and the degrees these change. Other files' texts are only searched for the names. Files that no
+    extractor takes have no part in this."""
+    taken = E.suffix(F.col("file")).isin(*{s for suffixes, _ in E.EXTRACTORS.values() for s in suffixes})
+    files, pending, added, gone = (rows.filter(taken) for rows in (files, pending, added, gone))
+    if pending.isEmpty() and gone.isEmpty():
+        return {}
+    around = _mentioning(files, added.unionByName(gone)) if not index.read("edges").isEmpty() else files.select("file").limit(0)
+    sources = index.work("sources", pending.select("file").unionByName(around).distinct())
+    marked = files.select("file", "text").join(sources.withColumn("__own", F.lit(True)), "file", "left")
+    found = E.file_edges(marked.select("file", F.when(F.col("__own"), F.col("text")).alias("text")))
+    new = index.work("edges", found.join(sources.withColumnRenamed("file", "src"), "src", "left_semi").select(F.col("src").alias("file"), "dst"))
+    touched = sources.unionByName(gone.select("file"))
+    old = index.read("edges", touched)
+    count = lambda rows, file, i, o: rows.select(F.col(file).alias("file"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    moves = count(new, "file", 0, 1).unionByName(count(new, "dst", 1, 0)).unionByName(count(old, "file", 0, -1)).unionByName(count(old, "dst", -1, 0))
+    moved = index.work("moves", moves.groupBy("file").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).filter("i <> 0 OR o <> 0"))
+    before = index.read("degrees", moved).select("file", F.col("in_degree").alias("a"), F.col("out_degree").alias("b"))
+    after = moved.join(before, "file", "left").select("file", (F.col("i") + F.coalesce("a", F.lit(0))).alias("in_degree"), (F.col("o") + F.coalesce("b", F.lit(0))).alias("out_degree"))
+    touched, after = index.work("touched", touched), index.work("degrees", after)
+    return {"edges": (new, touched), "degrees": (after.filter("in_degree > 0 OR out_degree > 0"), after)}
+
+
+def refresh(index: Index, files: DataFrame, embed: Embedder, defer: int | None = DEFER, now: float | None = None, full: bool = False, batch: int | None = None, rank: bool | None = None, gone: DataFrame | None = None) -> dict[str, int]:
     """Takes new and changed files (file, text, language, mtime) into the index and forgets vanished ones; counts of what
     happened. A refresh within the throttle does nothing; beyond `defer` pending files it leaves them (deferred) unless
-    full. Run twice, it changes nothing the second time."""
+    full. Run twice, it changes nothing the second time; with `batch`, a batch that was taken in is skipped. What is written are the rows
+    of changed files: chunks and vectors (each text goes to the embedder once), symbols, file vectors, edges and degrees. `file_graph` with PageRank,
+    which is of the whole graph, is made anew if `rank`, by default by full refreshes. Where `files` are only some of the
+    corpus, `gone` (file) says what vanished; else it is what isn't listed."""
     now = time.time() if now is None else now
+    nothing = {"throttled": 0, "indexed": 0, "deferred": 0, "forgotten": 0}
+    _, steps, last_batch = index.deltas.manifest()
+    if batch is not None and last_batch is not None and batch <= last_batch:
+        return {**nothing, "skipped": 1}
     last = {r["key"]: r["value"] for r in index.read("metadata").filter("key = 'refreshed_at'").collect()}.get("refreshed_at")
-    if not full and last is not None and now - float(last) < THROTTLE_SECONDS:
-        return {"throttled": 1, "indexed": 0, "deferred": 0, "forgotten": 0}
-    old, vectors = index.read("chunks"), index.read("vectors")
-    pending = files if full else store.changed(files, old.select("file", "file_mtime"))
-    gone = old.select("file").distinct().join(files.select("file"), "file", "left_anti")
-    counts = {"throttled": 0, "indexed": pending.count(), "deferred": 0, "forgotten": gone.count()}
+    if not full and batch is None and last is not None and now - float(last) < THROTTLE_SECONDS:
+        return {**nothing, "throttled": 1}
+    old = index.work("known", index.read("chunks").groupBy("file").agg(F.min("file_mtime").alias("file_mtime")))
+    listed = files.select("file", "mtime")
+    pending_names = index.work("pending", (listed.select("file") if full else store.changed(listed, old).select("file")).distinct())
+    missing = index.work("gone", old.join(files if gone is None else gone, "file", "left_anti" if gone is None else "left_semi").select("file"))
+    counts = {**nothing, "indexed": pending_names.count(), "forgotten": missing.count()}
     if defer is not None and not full and counts["indexed"] > defer:
-        return {**counts, "indexed": 0, "forgotten": 0, "deferred": counts["indexed"]}
+        return {**nothing, "deferred": counts["indexed"]}
     if counts["indexed"] or counts["forgotten"]:
-        fresh = build_chunks(pending, embed)
-        kept = store.without_missing(old, files).join(pending.select("file"), "file", "left_anti")
-        index.write("chunks", kept.unionByName(fresh.drop("embedding"), allowMissingColumns=True))
-        index.write("vectors", vectors.join(kept.select("id"), "id", "left_semi").unionByName(fresh.select("id", "embedding")))
-        stored = index.read("chunks").select("id", "file").join(index.read("vectors"), "id")
-        index.write("files", store.file_vectors(stored))
-        names = C.symbols(pending.select("file", "text"))
-        index.write("symbols", index.read("symbols").join(files.select("file"), "file", "left_semi").join(pending.select("file"), "file", "left_anti").unionByName(names, allowMissingColumns=True))
+        pending = files.join(pending_names, "file", "left_semi")
+        fresh = index.work("fresh", build_chunks(pending, embed))
+        added = pending_names.join(old, "file", "left_anti")
+        whole = files if gone is None else files.select("file", "text").unionByName(old.join(files, "file", "left_anti").join(missing, "file", "left_anti").select("file", F.lit(None).cast("string").alias("text")))
+        stale = index.work("stale", pending_names.unionByName(missing))
+        changes = {
+            "chunks": (fresh.drop("embedding"), stale),
+            "vectors": (fresh.select("id", "file", "embedding"), stale),
+            "symbols": (C.symbols(pending.select("file", "text")), stale),
+            "files": (store.file_vectors(fresh.select("file", "embedding")), stale),
+            **_graph_step(index, whole, pending_names, added, missing),
+        }
+        index.deltas.commit(changes, batch)
+        if len(steps.get("chunks", ())) + 1 > MOST_STEPS:
+            index.deltas.compact()
+        if full if rank is None else rank:
+            rank_graph(index)
     index.put("metadata", {"refreshed_at": repr(now)})
     return counts
 
 
-def enrich(chunks: DataFrame, vectors: DataFrame, answer: Answerer, embed: Embedder, now: float, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """chunks and vectors with a description of pending chunks (no enriched_at): answer(file, language, chunk), or null if it
-    fails, which leaves a chunk pending. At most `most` are taken, by id; what is taken is all one step, so a step that fails
-    is taken again."""
-    pending = chunks.filter("enriched_at IS NULL").select("id", "file", "language", "chunk")
-    if most is not None:
-        pending = pending.orderBy("id").limit(most)
+def rank_graph(index: Index, **settings) -> None:
+    """Makes `file_graph` of the stored edges."""
+    index.write("file_graph", graph.pagerank(index.read("edges").select(F.col("file").alias("src"), "dst"), **settings))
+
+
+def _told(pending: DataFrame, answer: Answerer, embed: Embedder) -> DataFrame:
+    """id, __d, __v of the pending chunks that got a description."""
     told = pending.select("id", F.nullif(answer(F.col("file"), F.coalesce("language", F.lit("")), F.coalesce("chunk", F.lit(""))), F.lit("")).alias("__d"), "chunk").filter("__d IS NOT NULL")
-    told = told.withColumn("__v", embed_text(F.concat("chunk", F.lit("\n\n"), F.col("__d")), embed)).drop("chunk")
-    new = chunks.join(told, "id", "left")
+    return told.withColumn("__v", embed_text(F.concat("chunk", F.lit("\n\n"), F.col("__d")), embed)).drop("chunk")
+
+
+def _pending(chunks: DataFrame, most: int | None) -> DataFrame:
+    pending = chunks.filter("enriched_at IS NULL").select("id", "file", "language", "chunk")
+    return pending if most is None else pending.orderBy("id").limit(most)
+
+
+def _described(chunks: DataFrame, told: DataFrame, now: float) -> DataFrame:
+    new = chunks.join(told.select("id", "__d"), "id", "left")
     new = new.withColumn("description", F.coalesce("__d", "description")).withColumn("enriched_at", F.when(F.col("__d").isNotNull(), F.lit(now)).otherwise(F.col("enriched_at")))
-    return new.drop("__d", "__v"), vectors.join(told.select("id", "__v"), "id", "left").select("id", F.coalesce("__v", "embedding").alias("embedding"))
+    return new.drop("__d")
+
+
+def _moved(vectors: DataFrame, told: DataFrame) -> DataFrame:
+    return vectors.join(told.select("id", "__v"), "id", "left").withColumn("embedding", F.coalesce(F.col("__v"), "embedding")).drop("__v")
+
+
+def enrich(chunks: DataFrame, vectors: DataFrame, answer: Answerer, embed: Embedder, now: float, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """chunks and vectors with a description of pending chunks (no enriched_at): answer(file, language, chunk), or null if it
+    fails, which leaves a chunk pending. At most `most` are taken, by id. Answers and their vectors are made once, now, and kept in the
+    checkpoint folder, so that both results have the same."""
+    graph.need_checkpoints(chunks.sparkSession)
+    told = _told(_pending(chunks, most), answer, embed).checkpoint()
+    return _described(chunks, told, now), _moved(vectors, told).select("id", "embedding")
+
+
+def enrich_index(index: Index, answer: Answerer, embed: Embedder, now: float, step: int = 500, most_steps: int | None = None) -> Iterator[dict]:
+    """Enriches pending chunks of an index step by step and tells the progress after each. A step is committed as a delta of the files it
+    touched: a run that is killed is resumed by another call, which takes what is still pending. Chunks whose answer failed are
+    tried once a run. A step's numbers: told, failed, and those of `progress`."""
+    began, done, failed, taken = time.time(), 0, 0, 0
+    tried = None
+    while most_steps is None or taken < most_steps:
+        chunks = index.read("chunks")
+        left = chunks if tried is None else chunks.filter(F.col("id") > tried)
+        pending = index.work("asked", _pending(left, step))
+        n, last = pending.agg(F.count(F.lit(1)), F.max("id")).first()
+        if not n:
+            return
+        told = index.work("told", _told(pending, answer, embed))
+        right = told.count()
+        if right:
+            files = index.work("enriched", pending.join(told.select("id"), "id", "left_semi").select("file").distinct())
+            described, moved = _described(index.read("chunks", files), told, now), _moved(index.deltas.read("vectors", files), told)
+            index.deltas.commit({"chunks": (described, files), "vectors": (moved, files)})
+        done, failed, taken, tried = done + right, failed + n - right, taken + 1, last
+        total = done + index.read("chunks").filter("enriched_at IS NULL").count()
+        yield {"told": done, "failed": failed, **progress(done, total, time.time() - began)}
 
 
 def recovery_batch(chunks: DataFrame, vectors: DataFrame, dimension: int, batch: int = 20) -> DataFrame:
