@@ -12,6 +12,12 @@ CODE = r"""code AS (SELECT n AS id, w, b, CASE WHEN n % 5 = 4 THEN 'tests/test_f
 FAMILY = rf"""fam AS (SELECT *, CASE WHEN regexp_matches(stem, '^\d{{2,8}}[_-]') THEN dir || '::numeric:' || ext WHEN length(stem) >= 6 THEN dir || '::' || stem[1:6] || ':' || ext ELSE path END AS fam
   FROM (SELECT *, {FOLDER} AS dir, lower(regexp_replace(split_part(path, '/', -1), '\.[^.]*$', '')) AS stem, lower(regexp_extract(path, '(\.[^.]+)$', 1)) AS ext FROM hits)),
 one AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY fam) AS members, min(path) OVER (PARTITION BY fam) AS first FROM fam) WHERE members < 3 OR path = first)"""
+POLY = r"""poly AS (SELECT *, CASE k
+    WHEN 0 THEN ['use crate::f' || (n + 28) || '::go;', '/* { */', 'pub(crate) struct S' || n || ' { x: u8 }', '', 'impl S' || n || ' {', '    pub unsafe fn g' || n || '(&self) -> char {', '        ''}''', '    }', '}']
+    WHEN 1 THEN ['import { a } from ''./f' || (n + 4) || ''';', 'export interface I' || n || ' {', '  a: string;', '}', 'export default function h' || n || '(x) {', '  if (x) { return `}`; }', '  return x;', '}']
+    WHEN 2 THEN ['# F' || n, 'see [next](f' || (n + 4) || '.md) and [[f' || (n + 8) || ']]']
+    ELSE ['from .f' || (n + 4) || ' import y', '', '', '@deco(', '    1', ')', 'class K' || n || ':', '    ' || repeat('"', 3) || 'doc }' || repeat('"', 3), '', '    async def run_' || n || '(self):', '        return 1'] END AS lines
+  FROM (SELECT p_partkey AS n, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN 'crates/c' || (p_partkey % 7) || '/src/f' || p_partkey || '.rs' WHEN 1 THEN 'web/f' || p_partkey || '.ts' WHEN 2 THEN 'docs/f' || p_partkey || '.md' ELSE 'pkg/f' || p_partkey || '.py' END AS file FROM part))"""
 #: Every test has the terms test, part and value somewhere; a name may hold a term's form. Colours and things of part names may hold some too.
 RECALL = rf"""WITH {CODE}, q AS (SELECT unnest([{{'t': 'test', 'v': ['test']}}, {{'t': 'covers', 'v': ['covers', 'cover']}}, {{'t': 'part', 'v': ['part']}}, {{'t': 'value', 'v': ['value']}}]) AS q),
 m AS (SELECT file, q.t AS t, contains(file, q.t) OR contains(regexp_replace(lower(file), '[^\p{{L}}\p{{N}}]', '', 'g'), q.t) AS in_path,
@@ -67,6 +73,11 @@ ORACLES = {
       b AS (SELECT path, id, semantic, row_number() OVER (PARTITION BY path ORDER BY semantic DESC, id) AS k FROM r), b2 AS (SELECT path, id, semantic FROM b WHERE k = 1 ORDER BY semantic DESC, id LIMIT 30),
       m AS (SELECT coalesce(a2.path, b2.path) AS path, CASE WHEN a2.path IS NULL THEN 1 ELSE 0 END AS src, CASE WHEN a2.path IS NULL THEN -semantic ELSE -lexical END AS rk, CASE WHEN b2.path IS NULL THEN 'lexical ' || a2.id ELSE 'semantic ' || b2.id END AS snippet, CASE WHEN b2.path IS NULL THEN 'filename-lookup' ELSE 'cascade' END AS fallback FROM a2 FULL JOIN b2 ON a2.path = b2.path)
       SELECT path, row_number() OVER (ORDER BY src, rk, path) AS rank, snippet, fallback FROM m ORDER BY src, rk, path LIMIT 40""",
+    "polyglot_edges": f"WITH {POLY}, step AS (SELECT * FROM (VALUES (0, 28), (1, 4), (2, 4), (2, 8), (3, 4)) v(k, far)) SELECT a.file AS src, b.file AS dst FROM poly a JOIN step USING (k) JOIN poly b ON b.n = a.n + far",
+    "polyglot_definitions": f"""WITH {POLY}, r AS (SELECT * FROM (VALUES (0, 'S', 'struct', 3, 3), (0, 'S', 'impl', 5, 9), (0, 'g', 'function', 6, 8), (1, 'I', 'class', 2, 4), (1, 'h', 'function', 5, 8), (3, 'K', 'class', 7, 11), (3, 'run_', 'function', 10, 11)) v(k, name, kind, start_line, end_line))
+      SELECT file, name || n AS name, lower(name || n) AS name_lower, kind, start_line, end_line FROM poly JOIN r USING (k)""",
+    "polyglot_chunks": f"""WITH {POLY}, c AS (SELECT * FROM (VALUES (0, 1, 3), (0, 5, 9), (1, 2, 4), (1, 5, 8), (2, 1, 2), (3, 1, 6), (3, 7, 7), (3, 8, 11)) v(k, start_line, end_line))
+      SELECT file, start_line, end_line, length(array_to_string(lines[start_line:end_line], chr(10))) AS chars FROM poly JOIN c USING (k)""",
     "fast_intent_centroid": f"WITH {CENTROIDS} SELECT conv_id, turn, {', '.join(f'round({k}, 7) AS {k}' for k in EXAMPLES)} FROM sc",
     "fast_intents": f"""WITH {CENTROIDS}, r AS (SELECT conv_id, turn, greatest({NAMES}) AS score, list_sort([{NAMES}], 'DESC')[2] AS second, greatest(filename, semantic, lexical) AS plain,
       CASE greatest({NAMES}) {" ".join(f"WHEN {k} THEN '{k}'" for k in EXAMPLES)} END AS best, filename FROM sc),

@@ -26,6 +26,7 @@ from lodestone.plans import vectors as X
 from lodestone.sources import corpus as C
 from lodestone.sources import edges as E
 from lodestone.sources import index as K
+from lodestone.sources import structure as Z
 
 CODE_QUERY = "which test covers part value"
 PICK_QUERY = "tests of src m12"
@@ -66,6 +67,31 @@ def structural_chunks(spark, d):
     return C.structural_chunks(files, spans=spans).select("file", "start_line", "end_line", F.char_length("chunk").alias("chars"))
 
 
+def polyglot(spark: SparkSession, d: str) -> DataFrame:
+    """file, text: a file for each row of `part`, in Rust, TypeScript, Markdown and Python by turns, each with references to later ones."""
+    n, at = F.col("p_partkey"), lambda k: (F.col("p_partkey") + k).cast("string")
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else at(p) for p in parts])
+    rust = join("use crate::f", 28, "::go;\n/* { */\npub(crate) struct S", 0, " { x: u8 }\n\nimpl S", 0, " {\n    pub unsafe fn g", 0, "(&self) -> char {\n        '}'\n    }\n}\n")
+    script = join("import { a } from './f", 4, "';\nexport interface I", 0, " {\n  a: string;\n}\nexport default function h", 0, "(x) {\n  if (x) { return `}`; }\n  return x;\n}\n")
+    marked = join("# F", 0, "\nsee [next](f", 4, ".md) and [[f", 8, "]]\n")
+    python = join("from .f", 4, " import y\n\n\n@deco(\n    1\n)\nclass K", 0, ":\n    \"\"\"doc }\"\"\"\n\n    async def run_", 0, "(self):\n        return 1\n")
+    crate = F.concat(F.lit("crates/c"), (n % 7).cast("string"), F.lit("/src/f"), at(0), F.lit(".rs"))
+    path = F.when(n % 4 == 0, crate).when(n % 4 == 1, join("web/f", 0, ".ts")).when(n % 4 == 2, join("docs/f", 0, ".md")).otherwise(join("pkg/f", 0, ".py"))
+    return Q.table(spark, d, "part").select(path.alias("file"), F.when(n % 4 == 0, rust).when(n % 4 == 1, script).when(n % 4 == 2, marked).otherwise(python).alias("text"))
+
+
+def polyglot_edges(spark, d):
+    return E.file_edges(polyglot(spark, d))
+
+
+def polyglot_definitions(spark, d):
+    return Z.definitions(polyglot(spark, d))
+
+
+def polyglot_chunks(spark, d):
+    return Z.code_chunks(polyglot(spark, d), max_lines=6).select("file", "start_line", "end_line", F.char_length("chunk").alias("chars"))
+
+
 def dir_picks(spark, d):
     return D.dir_picks(code(spark, d).select(T.folder(F.col("file")).alias("folder")), PICK_QUERY)
 
@@ -337,6 +363,6 @@ QUERIES = {
         import_edges, code_symbols, structural_chunks, dir_picks, seed_rank, seed_budget, import_diffusion, file_imports, cold_start, cosine_sigma, candidate_recall, candidate_chunks,
         support_pack, alias_coalesce, outline_budget, snippet_trim, descriptor_search, filename_shortcut, multi_root_names, scope_folder, output_boundary, depth_merge, gate_flags,
         fast_intent_centroid, fast_intents, focused_passages, agent_intents, hybrid_search, multi_channel_rrf, cascade_search, cosine_topk_many, lexical_score_topk, phrase_score,
-        diversify_cap2, rg_fallback, stale_by_file, recovery_batch, enrich_update, index_refresh, completion_quality, context_scores, corpus_reduction, policy_ratios, probe_rank,
+        diversify_cap2, rg_fallback, stale_by_file, recovery_batch, enrich_update, index_refresh, polyglot_edges, polyglot_definitions, polyglot_chunks, completion_quality, context_scores, corpus_reduction, policy_ratios, probe_rank,
     )
 }

@@ -17,13 +17,15 @@ LANGUAGES = {
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin",
     "scala": "scala", "md": "markdown", "txt": "text", "rst": "text", "html": "html", "json": "json",
 }
+#: Before the word that says what is defined there may be any of these.
+MODIFIERS = r"(?:(?:pub(?:\s*\([^)]*\))?|export|default|declare|public|protected|private|internal|static|final|abstract|async|override|unsafe|const|extern(?:\s*\"[^\"]*\")?)\s+)*"
 SYMBOL_KINDS = (
-    ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:def|fn|func|function)\s+([A-Za-z_]\w*)"),
-    ("class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_]\w*)"),
-    ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)"),
-    ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:trait|interface)\s+([A-Za-z_]\w*)"),
-    ("impl", r"^\s*impl(?:\s*<[^>]*>)?\s+(?:[\w:<>,\s]+\s+for\s+)?([A-Za-z_]\w*)"),
-    ("module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+([A-Za-z_]\w*)"),
+    ("function", rf"^\s*{MODIFIERS}(?:def|fn|func|function\s*\*?)\s+([A-Za-z_$][\w$]*)"),
+    ("class", rf"^\s*{MODIFIERS}class\s+([A-Za-z_]\w*)"),
+    ("struct", rf"^\s*{MODIFIERS}struct\s+([A-Za-z_]\w*)"),
+    ("trait", rf"^\s*{MODIFIERS}(?:trait|interface)\s+([A-Za-z_]\w*)"),
+    ("impl", r"^\s*(?:unsafe\s+)?impl(?:\s*<[^>]*>)?\s+(?:[\w:<>,\s]+\s+for\s+)?([A-Za-z_]\w*)"),
+    ("module", rf"^\s*{MODIFIERS}mod\s+([A-Za-z_]\w*)"),
 )
 MAX_LINES, MAX_CHARS = 50, 1000
 CODE_LINES, CODE_CHARS = 80, 2000
@@ -150,5 +152,5 @@ def symbols(files: DataFrame, text: str = "text") -> DataFrame:
 def first_symbol(text: Column) -> Column:
     """The first definition in the first 25 lines, or an empty string."""
     head = F.array_join(F.slice(T.lines(text), 1, 25), "\n")
-    rx = r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+|export\s+|default\s+|async\s+|abstract\s+)*(?:def|fn|func|function|class|struct|trait|interface|impl|mod|enum|type)(?:\s*<[^>]*>)?\s+(?:[\w:<>,\s]+\s+for\s+)?([A-Za-z_]\w*)"
+    rx = rf"(?m)^\s*{MODIFIERS}(?:def|fn|func|function|class|struct|trait|interface|impl|mod|enum|type)(?:\s*<[^>]*>)?\s+(?:[\w:<>,\s]+\s+for\s+)?([A-Za-z_]\w*)"
     return F.regexp_extract(head, rx, 1)

@@ -23,6 +23,7 @@ from lodestone.operators import graph
 from lodestone.sources import corpus as C
 from lodestone.sources import edges as E
 from lodestone.sources import store
+from lodestone.sources import structure as X
 from lodestone.sources.delta import Deltas
 
 SCHEMAS = {
@@ -207,7 +208,7 @@ def refresh(index: Index, files: DataFrame, embed: Embedder, defer: int | None =
         changes = {
             "chunks": (fresh.drop("embedding"), stale),
             "vectors": (fresh.select("id", "file", "embedding"), stale),
-            "symbols": (C.symbols(pending.select("file", "text")), stale),
+            "symbols": (definitions(pending.select("file", "text")), stale),
             "files": (store.file_vectors(fresh.select("file", "embedding")), stale),
             **_graph_step(index, whole, pending_names, added, missing),
         }
@@ -225,6 +226,12 @@ def rank_graph(index: Index, **settings) -> None:
     index.write("file_graph", graph.pagerank(index.read("edges").select(F.col("file").alias("src"), "dst"), **settings))
 
 
+def definitions(files: DataFrame) -> DataFrame:
+    """Symbols of files (file, text): by structure where the language has rules, else line by line."""
+    known = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).isin("py", *X.BRACES)
+    return X.definitions(files.filter(known)).unionByName(C.symbols(files.filter(~known)), allowMissingColumns=True)
+
+
 def _told(pending: DataFrame, answer: Answerer, embed: Embedder) -> DataFrame:
     """id, __d, __v of the pending chunks that got a description."""
     told = pending.select("id", F.nullif(answer(F.col("file"), F.coalesce("language", F.lit("")), F.coalesce("chunk", F.lit(""))), F.lit("")).alias("__d"), "chunk").filter("__d IS NOT NULL")
