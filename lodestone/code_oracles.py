@@ -73,6 +73,9 @@ ORACLES = {
       b AS (SELECT path, id, semantic, row_number() OVER (PARTITION BY path ORDER BY semantic DESC, id) AS k FROM r), b2 AS (SELECT path, id, semantic FROM b WHERE k = 1 ORDER BY semantic DESC, id LIMIT 30),
       m AS (SELECT coalesce(a2.path, b2.path) AS path, CASE WHEN a2.path IS NULL THEN 1 ELSE 0 END AS src, CASE WHEN a2.path IS NULL THEN -semantic ELSE -lexical END AS rk, CASE WHEN b2.path IS NULL THEN 'lexical ' || a2.id ELSE 'semantic ' || b2.id END AS snippet, CASE WHEN b2.path IS NULL THEN 'filename-lookup' ELSE 'cascade' END AS fallback FROM a2 FULL JOIN b2 ON a2.path = b2.path)
       SELECT path, row_number() OVER (ORDER BY src, rk, path) AS rank, snippet, fallback FROM m ORDER BY src, rk, path LIMIT 40""",
+    "term_matches": """WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{8,}')) AS pattern FROM benchmark),
+      t AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)
+      SELECT doc_id, pattern, strpos(x, pattern)::BIGINT - 1 AS first_at FROM t JOIN p ON contains(x, pattern)""",
     "polyglot_edges": f"WITH {POLY}, step AS (SELECT * FROM (VALUES (0, 28), (1, 4), (2, 4), (2, 8), (3, 4)) v(k, far)) SELECT a.file AS src, b.file AS dst FROM poly a JOIN step USING (k) JOIN poly b ON b.n = a.n + far",
     "polyglot_definitions": f"""WITH {POLY}, r AS (SELECT * FROM (VALUES (0, 'S', 'struct', 3, 3), (0, 'S', 'impl', 5, 9), (0, 'g', 'function', 6, 8), (1, 'I', 'class', 2, 4), (1, 'h', 'function', 5, 8), (3, 'K', 'class', 7, 11), (3, 'run_', 'function', 10, 11)) v(k, name, kind, start_line, end_line))
       SELECT file, name || n AS name, lower(name || n) AS name_lower, kind, start_line, end_line FROM poly JOIN r USING (k)""",

@@ -12,6 +12,7 @@ from lodestone import queries as Q
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
 from lodestone.operators import evalstats as S
+from lodestone.operators import patterns
 from lodestone.operators import rank as R
 from lodestone.plans import discover as D
 from lodestone.plans import gates as G
@@ -92,6 +93,14 @@ def polyglot_chunks(spark, d):
     return Z.code_chunks(polyglot(spark, d), max_lines=6).select("file", "start_line", "end_line", F.char_length("chunk").alias("chars"))
 
 
+def term_matches(spark, d):
+    """Every word of eight letters or more of the benchmark, looked for in every whole document."""
+    low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = Q.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(low("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("pattern"))
+    docs = Q.table(spark, d, "documents").select("doc_id", low("text").alias("text"))
+    return patterns.matches(docs, ["doc_id"], words).select("doc_id", "pattern", "first_at")
+
+
 def dir_picks(spark, d):
     return D.dir_picks(code(spark, d).select(T.folder(F.col("file")).alias("folder")), PICK_QUERY)
 
@@ -363,6 +372,6 @@ QUERIES = {
         import_edges, code_symbols, structural_chunks, dir_picks, seed_rank, seed_budget, import_diffusion, file_imports, cold_start, cosine_sigma, candidate_recall, candidate_chunks,
         support_pack, alias_coalesce, outline_budget, snippet_trim, descriptor_search, filename_shortcut, multi_root_names, scope_folder, output_boundary, depth_merge, gate_flags,
         fast_intent_centroid, fast_intents, focused_passages, agent_intents, hybrid_search, multi_channel_rrf, cascade_search, cosine_topk_many, lexical_score_topk, phrase_score,
-        diversify_cap2, rg_fallback, stale_by_file, recovery_batch, enrich_update, index_refresh, polyglot_edges, polyglot_definitions, polyglot_chunks, completion_quality, context_scores, corpus_reduction, policy_ratios, probe_rank,
+        diversify_cap2, rg_fallback, stale_by_file, recovery_batch, enrich_update, index_refresh, polyglot_edges, polyglot_definitions, polyglot_chunks, term_matches, completion_quality, context_scores, corpus_reduction, policy_ratios, probe_rank,
     )
 }

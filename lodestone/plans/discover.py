@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
+from lodestone.operators import patterns
 from lodestone.operators import rank as R
 
 # Results depend on them.
@@ -105,13 +106,13 @@ def imports(text: Column) -> Column:
 
 
 def import_diffusion(modules: DataFrame, files: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """path, score of the files whose path holds an imported module (module) as a path: its length counts, 64 at most.
-    Modules are those of a few seeds, so they go to the files as one row."""
+    """path, score of the files whose path holds an imported module (module) as a path: its length counts, 64 at most. All modules are looked
+    for in one pass over the paths."""
     plain = F.trim(F.lower(F.replace(F.replace("module", F.lit("."), F.lit("/")), F.lit("::"), F.lit("/"))), F.lit("/"))
-    one = modules.select(plain.alias("m")).filter(F.char_length("m") >= 3).agg(F.collect_set("m").alias("modules"))
-    low = F.lower("path")
-    score = F.array_max(F.transform(F.filter("modules", lambda m: F.contains(low, m)), lambda m: F.least(F.char_length(m), F.lit(64))))
-    return files.select("path").distinct().crossJoin(F.broadcast(one)).select("path", score.alias("score")).filter("score IS NOT NULL").orderBy(F.desc("score"), "path").limit(k)
+    wanted = modules.select(plain.alias("pattern")).filter(F.char_length("pattern") >= 3)
+    hits = patterns.matches(files.select("path", F.lower("path").alias("text")).distinct(), ["path"], wanted)
+    best = hits.groupBy("path").agg(F.max(F.least(F.char_length("pattern"), F.lit(64))).alias("score"))
+    return best.orderBy(F.desc("score"), "path").limit(k)
 
 
 def cosine_top_sigma(files: DataFrame, query: Column, k: int = 5) -> tuple[DataFrame, DataFrame]:
