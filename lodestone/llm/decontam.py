@@ -7,11 +7,13 @@ place: a position is looked up in the bitmap by its first two words, then in its
 compared. So hash collisions can't flag a document, and no document text is shuffled.
 
 The benchmark is counted first. If its windows have more than MOST_BYTES of text, only bitmaps over the hashes of whole
-windows are sent, of LARGE_BITS for each window up to MOST_LONGS in all: positions that hit them, a few in a hundred
-besides true ones, are shuffled and verified by a join with the windows. The results are the same.
+windows are sent, of LARGE_BITS for each window up to MOST_LONGS in all, and a first scan finds the windows at the positions that hit
+them, a few in a hundred besides true ones. These windows, without texts or documents, meet the benchmark's in a shuffle, and the ones that
+occur, as a rule few, are the set of the second scan, in place as above. Should even these pass the bound, the positions that hit
+are verified by a shuffled join, of the documents that have one. The results are the same.
 
 Edge cases: null or empty texts have no words; a null item id is hit but isn't listed; repeated rows each get a row;
-equal windows of several items count for each; an empty benchmark leaves all documents clean; extra columns are kept by
+equal windows of several items count for each; an empty benchmark leaves all documents clean; extra columns, of any name, are kept by
 `scan` and `decontaminate` (but for the three that `scan` adds), and ignored by `report`.
 """
 
@@ -112,30 +114,39 @@ def _with_found(df: DataFrame, known: HashSet) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """docs' columns but `text`, and words (its words), hits (array of struct(window, n, at): verified windows of the
     benchmark), hit (distinct positions of words inside them). Columns of those names in docs are replaced."""
-    return _scan(docs, HashSet(materialise(benchmark_windows(benchmark, window), "windows"), most_bytes))
+    kept = [c for c in docs.columns if c not in ("text", "words", "hits", "hit")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row") if kept else F.lit(None).alias("__row")
+    found = _scan(docs.select(row, "text"), materialise(benchmark_windows(benchmark, window), "windows"), most_bytes)
+    return found.select(*[F.col("__row").getField(c).alias(c) for c in kept], "words", "hits", "hit")
 
 
-def _scan(docs: DataFrame, known: HashSet) -> DataFrame:
-    kept = [c for c in docs.columns if c not in ("text", "words", "hits", "hit")]
-    own = [F.col(f"`{c}`") for c in kept]
-    df = _with_found(docs.select(*own, "text"), known)
-    return df.select(*own, "__found.*") if known.small else _verified(df.select(*own, "__found.*"), known, own)
+def _scan(docs: DataFrame, windows: DataFrame, most_bytes: int) -> DataFrame:
+    """docs (no column of the names used here, text) with words, hits and hit in place of text."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    known = HashSet(windows, most_bytes)
+    if not known.small:
+        may = _with_found(docs.select("text"), known).select(F.explode("__found.hits").alias("h")).select("h.n", "h.window").distinct()
+        known = HashSet(materialise(windows.join(may, ["n", "window"], "left_semi"), "occurring"), most_bytes)
+    found = _with_found(docs, known).select(*own, "__found.*")
+    return found if known.small else _verified(found, known, own)
 
 
 def _verified(df: DataFrame, known: HashSet, own: list[Column]) -> DataFrame:
-    """For a benchmark beyond the bound: positions that hit a bitmap meet the benchmark's windows in a shuffle."""
+    """Where even the windows that occur are beyond the bound: positions that hit a bitmap meet them in a shuffle. Rows without such a
+    position aren't joined."""
     df = materialise(df.withColumn("__n", F.monotonically_increasing_id()), "scanned")
     may = df.select("__n", F.explode("hits").alias("h")).select("__n", "h.window", "h.n", "h.at")
     hits = may.join(known.distinct.select("n", "window"), ["n", "window"]).groupBy("__n").agg(F.collect_list(F.struct("window", "n", "at")).alias("__hits"))
-    out = df.join(hits, "__n", "left").withColumn("hits", F.coalesce("__hits", F.expr(_NO_HITS)))
+    near = df.filter(F.size("hits") > 0).join(hits, "__n", "left").withColumn("hits", F.coalesce("__hits", F.expr(_NO_HITS)))
     hit = F.array_distinct(F.expr("flatten(transform(hits, h -> sequence(h.at, h.at + h.n - 1)))"))
-    return out.select(*own, "words", "hits", hit.alias("hit"))
+    clean = df.filter(F.size("hits") == 0)
+    return clean.select(*own, "words", "hits", "hit").unionByName(near.select(*own, "words", "hits", hit.alias("hit")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids, as strings, of the items hit): a row for each document."""
     windows = materialise(benchmark_windows(benchmark, window), "windows")
-    scanned = _scan(docs.select("doc_id", "text"), HashSet(windows, most_bytes)).select(
+    scanned = _scan(docs.select("doc_id", "text"), windows, most_bytes).select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.size("hit").cast("long").alias("n_hit"),
