@@ -25,7 +25,8 @@ SYMBOLS, SPACES, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 5
 BINS, MOST_RULES, MOST_CONDITIONS = 24, 8, 3
 #: Steps in which values are counted for quantiles, and how much finer they are near 0 than at a feature's maximum.
 GRID, FINE = 4096, 1000.0
-#: A rule is kept if so large a share of what it covers among the rows held back has label 0.
+#: A rule is kept if so large a share of what it covers among the rows held back has label 0. A condition covers so many rows of label 0
+#: where it grows, and one among the rows held back, so that few labels suffice.
 LEAST_PRECISION, LEAST_COVERED = 0.8, 3
 
 FEATURES = ("n_words", "symbol_share", "repeat_share", "dup_line_share", "distinct_share", "word_length", "upper_share", "digit_share", "punct_share")
@@ -192,12 +193,13 @@ def _pruned(rows: DataFrame, rule: Rule) -> Rule:
     worth = [(got[2 * k] - got[2 * k + 1]) / max(1, got[2 * k] + got[2 * k + 1]) for k in range(len(rule))]
     k = worth.index(max(worth))
     bad, good = got[2 * k], got[2 * k + 1]
-    return rule[: k + 1] if bad >= LEAST_COVERED and bad >= LEAST_PRECISION * (bad + good) else ()
+    return rule[: k + 1] if bad and bad >= LEAST_PRECISION * (bad + good) else ()
 
 
 def learn_from(measured: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Learns from labels (doc_id, quality), rules held to rows whose crc32(doc_id) mod 4 is 1; those of 2 stay unseen."""
-    labelled = measured.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").filter(F.col("label").isin(0, 1))
+    """Learns from labels (doc_id, quality), rules held to rows whose crc32(doc_id) mod 4 is 1; those of 2 stay unseen. Rows that fail the
+    base rules are left out, as the list never decides for them."""
+    labelled = measured.filter(~base_failed()).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").filter(F.col("label").isin(0, 1))
     fold = id_mod("doc_id", 4)
     return learn(labelled.withColumn("fold", fold).filter("fold <> 2"), F.col("fold") == 1)
 
