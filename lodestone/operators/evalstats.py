@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("repo", "task_id", "effort", "trial")
@@ -60,15 +60,21 @@ def paired_efficiency(trials: DataFrame, treatment: str, baseline: str, field: s
 
 def bootstrap_medians(tasks: DataFrame, samples: int = 2000, seed: int = 20260814) -> DataFrame:
     """sample, value: medians of tasks (repo, task_id, value) drawn repo by repo, then task by task, with replacement.
-    Draws are hashes of (seed, sample, place), so they don't depend on partitions. Input is one row a task."""
-    repos = tasks.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("task_id", "value"))).alias("tasks"))
-    packed = repos.agg(F.array_sort(F.collect_list(F.struct("repo", "tasks"))).alias("repos"))
-    draws = tasks.sparkSession.range(samples).select(F.col("id").alias("sample")).crossJoin(F.broadcast(packed))
+    Draws are hashes of (seed, sample, place), so they don't depend on partitions. Input is one row a task; tasks and repositories are
+    numbered, a draw is a row with a number, and a join gives it its value, so that no row or broadcast holds all tasks. Equal
+    values of a sample are counted before its median is found. Null repositories are one; without tasks there are no samples."""
     draw = lambda *at: F.pmod(F.xxhash64(F.lit(seed), "sample", *at[:-1]), at[-1]).cast("int")
-    picked = F.transform(F.sequence(F.lit(1), F.size("repos")), lambda i: F.struct(i.alias("i"), F.get("repos", draw(i, F.size("repos")))["tasks"].alias("tasks")))
-    slots = draws.select("sample", F.explode(picked).alias("r")).select("sample", "r.i", "r.tasks").select("sample", "i", "tasks", F.explode(F.sequence(F.lit(1), F.size("tasks"))).alias("j"))
-    values = slots.select("sample", F.get("tasks", draw(F.col("i"), F.col("j"), F.size("tasks")))["value"].alias("value"))
-    return values.groupBy("sample").agg(F.percentile("value", 0.5).alias("value"))
+    numbered = tasks.select("repo", "value", (F.row_number().over(Window.partitionBy("repo").orderBy("task_id", "value")) - 1).alias("k"))
+    repos = tasks.groupBy("repo").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    # Only repositories are numbered over all, and their number is a bound of what one task sees here.
+    repos = repos.select("repo", "n", (F.row_number().over(Window.orderBy("repo")) - 1).alias("r"))
+    total = repos.agg(F.count(F.lit(1)).cast("int").alias("repos"))
+    places = tasks.sparkSession.range(samples).select(F.col("id").alias("sample")).crossJoin(F.broadcast(total)).filter("repos > 0")
+    places = places.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("repos"))))
+    picked = places.select("sample", "i", draw(F.col("i"), F.col("repos")).alias("r")).join(repos, "r")
+    slots = picked.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n")))).select("sample", F.col("repo").alias("__repo"), draw(F.col("i"), F.col("j"), F.col("n")).alias("__k"))
+    drawn = slots.join(numbered, F.col("__repo").eqNullSafe(F.col("repo")) & (F.col("__k") == F.col("k"))).groupBy("sample", "value").agg(F.count(F.lit(1)).alias("times"))
+    return drawn.groupBy("sample").agg(F.percentile("value", 0.5, F.col("times")).alias("value"))
 
 
 def policy_totals(trials: DataFrame) -> DataFrame:
