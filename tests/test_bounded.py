@@ -71,8 +71,10 @@ def test_bound_is_sure_and_leaves_most_out(corpus):
     assert H.sure_score(rows, lower, 100_000, 2) is None
 
 
-def test_no_text_in_any_exchange(corpus):
-    chunks, symbols, rank = corpus
+def test_no_text_in_any_exchange(corpus, tmp_path):
+    cached, symbols, rank = corpus
+    cached.write.parquet(f"file://{tmp_path}/chunks")  # the plan of cached rows has their own exchange
+    chunks = cached.sparkSession.read.parquet(f"file://{tmp_path}/chunks")
     plan = H.hybrid_search(chunks, P.QuerySpec("refresh token", (1.0, 0.3, 0.1)), symbols=symbols, pagerank=rank)._jdf.queryExecution().explainString(chunks.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     moved = re.findall(r"\) (?:\w*Exchange|TakeOrderedAndProject|Sort|SortAggregate)\b[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", plan)
     assert moved and not any(re.search(r"\bchunk#", x) for x in moved)
