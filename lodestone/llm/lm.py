@@ -11,8 +11,9 @@ their own; other words fall into classes by a hash of their ending.
   weights stand in tables that grow with the vocabulary, by hash of the word.
 
 1. encode: texts are read and cut into tokens once. Chunks of texts, as token numbers in the chunk's own vocabulary, are
-   written to the shared folder, dealt into STEPS parts, with the words that are frequent in them.
-2. topics: frequent words of all chunks are summed, their successions too, and clustered.
+   written to the shared folder, with the words that are frequent in them. A hash of its id puts a text into one of STEPS
+   parts; a chunk is of one part.
+2. topics: words that may be frequent are counted in all chunks; successions of those that are, are summed and clustered.
 3. count: a chunk sends its distinct words, by hash (64 bits stand for a word), with their training counts by topic. They
    are summed where they meet; each chunk gets its words' totals back in the order it sent them.
 4. fit: distributed gradient steps. The class softmax takes one step for each part of the training tokens: a task sums the
@@ -20,6 +21,8 @@ their own; other words fall into classes by a hash of their ending.
    them. The word weights then take theirs under sums over each class and topic, which all tables make together.
 5. score: a chunk meets its words' totals and is scored in numpy, a block of tokens at a time.
 
+Nothing but the order of floating point sums depends on how rows lie in partitions: scores of two layouts agree.
+
 What reaches the driver or is broadcast (frequent words, successions, class weights, sums by class and topic) has a fixed
 bound; word counts and weights stay in tables that grow with the corpus.
 
@@ -103,7 +106,7 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
         rank = np.empty(len(h), np.uint32)
         rank[order] = np.arange(len(h), dtype=np.uint32)
         h, tails, trained = h[order], tails[order], trained[order]
-        step, total = number % STEPS, int(trained.sum() + (~out).sum())
+        step, total = part.column("step")[0].as_py(), int(trained.sum() + (~out).sum())
         yield _row(
             kind=0, step=step, chunk=number, docs=part.column("doc_id").to_pylist(), held=out.tobytes(), sizes=n.astype("<u4").tobytes(),
             codes=rank[codes].tobytes(), names=h.tobytes(), tails=tails.tobytes(),
@@ -112,20 +115,24 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
         yield _row(kind=1, step=step, chunk=number, payload=total.to_bytes(8, "little") + h[some].tobytes() + trained[some].astype("<u4").tobytes() + tails[some].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held_back, size = TaskContext.get().partitionId() << 32, [], 0
-        number += TaskContext.get().partitionId() % STEPS
+        number = TaskContext.get().partitionId() << 32
+        held_back, size = [[] for _ in range(STEPS)], [0] * STEPS
         for b in batches:
-            step = max(1, int(len(b) * CHUNK_BYTES / max(1, b.column("text").nbytes)))
-            for lo in range(0, len(b), step):
-                held_back.append(b.slice(lo, step))
-                size += held_back[-1].column("text").nbytes
-                if size >= CHUNK_BYTES // 2:
-                    yield from chunk_rows(pa.Table.from_batches(held_back), number)
-                    number, held_back, size = number + 1, [], 0
-        if held_back:
-            yield from chunk_rows(pa.Table.from_batches(held_back), number)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
+            some = max(1, int(len(b) * CHUNK_BYTES / max(1, b.column("text").nbytes)))
+            for lo in range(0, len(b), some):
+                cut = b.slice(lo, some)
+                for step in pc.unique(cut.column("step")).to_pylist():
+                    held_back[step].append(cut.filter(pc.equal(cut.column("step"), step)))
+                    size[step] += held_back[step][-1].column("text").nbytes
+                    if size[step] >= CHUNK_BYTES // 2:
+                        yield from chunk_rows(pa.Table.from_batches(held_back[step]), number)
+                        number, held_back[step], size[step] = number + 1, [], 0
+        for rest in filter(None, held_back):
+            yield from chunk_rows(pa.Table.from_batches(rest), number)
+            number += 1
+
+    step = F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held")).withColumn("step", step)
     return rows.mapInArrow(run, ENCODED)
 
 
@@ -171,8 +178,12 @@ def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def frequent_words(encoded: DataFrame) -> Heads:
-    """Words that are frequent in all chunks together. A word so frequent is so in a chunk, and counts where it is listed;
-    at most 2 / TOPIC_SHARE of a chunk are, and they are summed before they reach the driver."""
+    """Words of at least TOPIC_SHARE of all training tokens, with their exact counts.
+
+    A chunk lists the words of at least half that share of its own tokens, so chunks that don't list a word hold less than
+    half the share of all tokens. What is listed less often than the other half can't be frequent; the others, at most
+    2 / TOPIC_SHARE words, are counted in all chunks.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,10 +196,28 @@ def frequent_words(encoded: DataFrame) -> Heads:
 
     rows = encoded.filter("kind = 1").select("payload").mapInArrow(listed, "h long, n long, tail int").groupBy("h", "tail").agg(F.sum("n").alias("n"))
     total = rows.filter("tail = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    some = rows.filter((F.col("tail") >= 0) & (F.col("n") >= TOPIC_SHARE * total) & (F.col("n") > 0)).toArrow()
-    h = some.column("h").to_numpy().view(np.uint64)
+    may = rows.filter((F.col("tail") >= 0) & (F.col("n") >= TOPIC_SHARE / 2 * total) & (F.col("n") > 0)).toArrow()
+    h = may.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return Heads(total, h[order], some.column("n").to_numpy()[order], some.column("tail").to_numpy()[order])
+    h, tails = h[order], may.column("tail").to_numpy()[order]
+    sent = encoded.sparkSession.sparkContext.broadcast(h)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(sent.value), np.int64)
+        for b in batches:
+            for row in b.to_pylist():
+                held, n, codes, names, _ = _chunk(row)
+                at, own = _found(sent.value, names)
+                trained = np.bincount(codes[np.repeat(~held, n)], minlength=len(names))
+                out[at[own]] += trained[own]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["at", "n"])
+
+    n = np.zeros(len(h), np.int64)
+    if len(h):
+        sums = encoded.filter("kind = 0").select(*CHUNK).mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        n[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    often = n >= max(1, TOPIC_SHARE * total)
+    return Heads(total, h[often], n[often], tails[often])
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -471,7 +500,7 @@ class ClassModel:
         for g, n, f in zip(out, seen, self.features(before, skip), strict=True):
             order = np.argsort(f, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(f[order]) != 0))
-            g[f[order][first]] += np.add.reduceat(rest[order], first, axis=0)
+            g[f[order][first]] += np.add.reduceat(rest[order], first, axis=0, dtype=np.float64)
             n[f[order][first]] += np.diff(np.append(first, len(f)))
 
 
@@ -490,7 +519,7 @@ def fit_classes(encoded: DataFrame, heads: Heads, words: Words, steps: int = STE
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, known = sent.value  # noqa: B023
-            out, seen = [np.zeros(w.shape, np.float32) for w in m.weights], [np.zeros(len(w), np.float32) for w in m.weights]
+            out, seen = [np.zeros(w.shape) for w in m.weights], [np.zeros(len(w)) for w in m.weights]
             some = False
             for b in batches:
                 for row in b.to_pylist():

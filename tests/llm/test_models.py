@@ -148,6 +148,18 @@ def test_lm_learns(spark):
     assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.08
 
 
+def test_lm_does_not_depend_on_layout(spark):
+    """The same documents in 1 and in 8 partitions, in another order, give the same frequent words and scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, many = lm.fit(docs.repartition(1)), lm.fit(docs.repartition(8, F.hash("text")))
+    assert one.heads.tokens == many.heads.tokens and len(one.heads.hashes) > 50
+    assert all((getattr(one.heads, x) == getattr(many.heads, x)).all() for x in ("hashes", "counts", "tails", "topics"))
+    scores = [{r.doc_id: (r.base_score, r.score) for r in lm.score(f.encoded, f.counted, f.heads, f.words, f.classes, f.places).collect()} for f in (one, many)]
+    assert len(scores[0]) == docs.count() == len(scores[1])
+    for i, (base, score) in scores[0].items():
+        assert scores[1][i] == (pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-6))
+
+
 def test_models_on_awkward_rows(docs, rows, labels, none):
     n = len(rows)
     scored = quality.classify(docs, labels).collect()
