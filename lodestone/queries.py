@@ -14,6 +14,7 @@ from lodestone.functions import vector as V
 from lodestone.operators import evalstats as S
 from lodestone.operators import evidence as E
 from lodestone.operators import graph as G
+from lodestone.operators import likeness
 from lodestone.operators import rank as R
 from lodestone.plans import planner as P
 from lodestone.plans import recall as A
@@ -400,6 +401,14 @@ def _expected(items: DataFrame, f: DataFrame) -> DataFrame:
     return at.join(F.broadcast(keyed), "k").filter(F.contains("chunk", F.col("text"))).groupBy("item_id").agg(F.min("id").alias("id"))
 
 
+def closest_part_names(spark, d):
+    """Names of every fiftieth part, each without its second and its last letter, and the closest of all parts' names."""
+    parts = table(spark, d, "part")
+    name = F.col("p_name")
+    typed = parts.filter("p_partkey % 50 = 0").select(F.concat(F.substring(name, 1, 1), F.substr(name, F.lit(3), F.greatest(F.lit(0), F.length(name) - 3))).alias("typed"))
+    return likeness.closest_names(typed, parts.select(name))
+
+
 def intent_classify(spark, d):
     """Intents of whole user turns."""
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", P.intent_column(F.col("text")).alias("intent"))
@@ -461,6 +470,6 @@ QUERIES = {
         unembedded_files, dim_filter, missing_files, index_stats, enrich_progress, tier_merge, source_type_prior, non_canonical_penalty, family_dedupe, folder_counts, group_budget,
         prefix_budget, metadata_topk, metadata_rerank, living_authority_filter, low_evidence_gate, shortcut_gate, content_scan, symbol_channel, symbol_boost, recall_lanes,
         agent_context, strict_verdict, interval_overlap_anchor, paired_efficiency, repo_rollup, bootstrap_ci, policy_totals, trial_collapse, capacity_projection, mrr_hit_rate,
-        intent_classify, turn_budget, ngram_centroid, expiring_index, stream_index_upsert,
+        intent_classify, turn_budget, ngram_centroid, expiring_index, stream_index_upsert, closest_part_names,
     )
 }
