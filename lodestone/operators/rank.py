@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import need_checkpoints
+
 RRF_K, PER_FILE = 60, 2
 TIE_GAP, TIE_WEIGHT, TIE_ROWS = 0.005, 0.005, 5
 TIERS = {
@@ -116,6 +118,19 @@ def group_budget(rows: DataFrame, group: str, group_rank: str, order: list[Colum
 
 
 def prefix_budget(rows: DataFrame, key: str, size: str, order: list[Column], most: int) -> DataFrame:
-    """Of each key its first rows as long as their sizes sum to at most `most`."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__upto", F.sum(size).over(w)).filter(F.col("__upto") <= most).drop("__upto")
+    """Of each key its first rows as long as their sizes sum to at most `most`.
+
+    Rows are laid out by key and order, so that a key of many rows lies in many partitions; each of these sums its sizes, the
+    sums before a partition are few (a row for each key in each partition), and rows are summed up inside their partition. The
+    layout is a checkpoint, which two readers share. A null size adds nothing; a row before which no size is known is left
+    out; rows of one key and order are in any order; null keys are a key; an empty table gives an empty result.
+    """
+    need_checkpoints(rows.sparkSession)
+    laid = rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sums = laid.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__in")).agg(F.sum(size).alias("__sum"))
+    before = Window.partitionBy("__key").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__key", "__in", F.sum("__sum").over(before).alias("__before"))
+    inside = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = laid.withColumn("__upto", F.sum(size).over(inside)).join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__in")))
+    upto = F.coalesce(F.col("__before") + F.col("__upto"), F.col("__upto"), F.col("__before"))
+    return summed.filter(upto <= most).select(rows.columns)

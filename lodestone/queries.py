@@ -247,7 +247,7 @@ def group_budget(spark, d):
 
 
 def prefix_budget(spark, d):
-    rows = files(spark, d).withColumn("folder", F.regexp_replace("path", "/.*$", ""))
+    rows = files(spark, d).select(F.regexp_replace("path", "/.*$", "").alias("folder"), "id", "n_chars")
     return R.prefix_budget(rows, "folder", "n_chars", [F.col("id")], 12_000).select("folder", "id", "n_chars")
 
 
@@ -417,7 +417,7 @@ def intent_classify(spark, d):
 def turn_budget(spark, d):
     """Turns of a conversation with most terms, as long as they fit a budget."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text", T.hit_count(["that", "the", "der"], F.col("text")).alias("hits")).filter("hits > 0")
-    rows = rows.withColumn("size", F.char_length("text"))
+    rows = rows.select("conv_id", "turn", "hits", F.char_length("text").alias("size"))
     return R.prefix_budget(rows, "conv_id", "size", [F.desc("hits"), F.col("turn")], 1500).select("conv_id", "turn", "hits")
 
 

@@ -35,10 +35,14 @@ def latest(rows: DataFrame, key: list[str], version: str) -> DataFrame:
 
 
 def file_vectors(chunks: DataFrame, file: str = "file") -> DataFrame:
-    """file, chunk_count, embedding: the mean of a file's scaled vectors, scaled; files of several dimensions have none."""
+    """file, chunk_count, embedding: the mean of a file's scaled vectors, scaled; files of several dimensions have none.
+
+    Elements are summed by file and place before they are shuffled. A file's vectors are of one dimension if and only if all
+    its places have the same number of elements. Null vectors and those of length zero aren't counted.
+    """
     v = chunks.select(file, F.col("embedding").cast("array<double>").alias("v")).withColumn("len", V.norm(F.col("v"))).filter("len > 0")
-    dims = v.groupBy(file).agg(F.count(F.lit(1)).alias("chunk_count"), F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).filter("a = b")
-    parts = v.select(file, F.posexplode(F.transform("v", lambda x: x / F.col("len"))).alias("i", "x")).groupBy(file, "i").agg(F.avg("x").alias("m"))
-    means = parts.groupBy(file).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("mean"))
-    out = means.join(dims, file).withColumn("len", V.norm(F.col("mean"))).filter("len > 0")
+    parts = v.select(file, F.posexplode(F.transform("v", lambda x: x / F.col("len"))).alias("i", "x")).groupBy(file, "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    places = F.array_sort(F.collect_list(F.struct("i", "m")))
+    means = parts.groupBy(file).agg(F.transform(places, lambda p: p["m"]).alias("mean"), F.min("n").alias("chunk_count"), F.max("n").alias("most"))
+    out = means.filter("chunk_count = most").withColumn("len", V.norm(F.col("mean"))).filter("len > 0")
     return out.select(file, "chunk_count", F.transform("mean", lambda x: x / F.col("len")).alias("embedding"))

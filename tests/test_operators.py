@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +187,29 @@ def test_store_replaces_and_forgets(spark):
     assert [r.file_mtime for r in store.stamped(z).orderBy("file").collect()] == [0.0, 3.0]
 
 
+def test_prefix_budget_of_a_hot_key(spark):
+    """A key of most rows is spread over partitions, and its prefix is that of a loop; nulls, ties of size and small keys too."""
+    sizes = random.Random(5)
+    rows = [(("hot" if i % 10 else "k%d" % (i % 30)) if i % 17 else None, i, None if i < 3 or i % 13 == 0 else sizes.randrange(9), "x") for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, id int, size int, __sum string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = R.prefix_budget(df, "k", "size", [F.desc("id")], 3000)
+        assert got.columns == df.columns
+        got = {(r.k, r.id) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = set()
+    for key in {r[0] for r in rows}:
+        total = None
+        for k, i, size, _ in sorted((r for r in rows if r[0] == key), key=lambda r: -r[1]):
+            total = total if size is None else (total or 0) + size
+            if total is not None and total <= 3000:
+                want.add((k, i))
+    assert got == want and 300 < sum(k == "hot" for k, _ in got) < 3000
+    assert R.prefix_budget(df.limit(0), "k", "size", [F.col("id")], 3).count() == 0
+
+
 def test_file_vectors_skip_mixed_dimensions(spark):
     rows = spark.createDataFrame([("a", [3.0, 0.0]), ("a", [0.0, 5.0]), ("b", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [0.0, 0.0])], "file string, embedding array<float>")
     got = store.file_vectors(rows).collect()
