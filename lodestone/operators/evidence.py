@@ -49,11 +49,12 @@ def source_type_lane(files: DataFrame, terms: list[str], wanted: str) -> DataFra
 
 
 def votes(lanes: list[DataFrame]) -> DataFrame:
-    """path, score (summed over lanes), lanes."""
+    """path, score (summed over lanes), lanes. Scores are added as decimals: the sum doesn't depend on the order in which lanes meet, so
+    that equal votes are equal."""
     every = lanes[0]
     for x in lanes[1:]:
         every = every.unionByName(x)
-    return every.groupBy("path").agg(F.sum("score").alias("score"), F.array_sort(F.collect_set("lane")).alias("lanes"))
+    return every.groupBy("path").agg(F.sum(F.col("score").cast("decimal(38,12)")).cast("double").alias("score"), F.array_sort(F.collect_set("lane")).alias("lanes"))
 
 
 def recall(lanes: list[DataFrame], most_paths: int = 120) -> DataFrame:
