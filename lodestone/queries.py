@@ -31,6 +31,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame, per: int = 10_000) -> DataFrame:
+    """rows, dealt to a task for each `per` of them. A column file of short rows is a few splits however many rows it has, and what is
+    made of a row may be long."""
+    return rows.repartition(max(1, -(-rows.count() // per)))
+
+
 def path():
     return F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
 

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import code_queries as CQ
 from lodestone.operators import evidence as E
+from lodestone.sources import structure as S
+
+DATA = "/root/testdata/sf0.1"
+
 
 def test_votes_do_not_depend_on_the_order_of_lanes(spark):
     """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ as doubles; equal votes go by path."""
     lanes = [spark.createDataFrame([("b", x), ("a", y)], "path string, score double").select("path", F.lit(f"l{i}").alias("lane"), "score").coalesce(1) for i, (x, y) in enumerate([(0.1, 0.3), (0.2, 0.2), (0.3, 0.1)])]
     got = E.recall(lanes).collect()
     assert got[0].score == got[1].score and [r.path for r in got] == ["a", "b"]
+
+
+def test_definitions_of_many_files_come_from_many_tasks_in_few_batches(spark, monkeypatch):
+    """`part` is one split; its files are dealt out before they are scanned. Spans are handed on in bounded batches, none is lost."""
+    files = CQ.polyglot(spark, DATA)
+    assert files.rdd.getNumPartitions() > 1
+    some = files.limit(400).coalesce(1).persist()
+    want = [(r.file, s[0], s[1], s[2]) for r in some.collect() for s in S.spans(r.text, r.file.rsplit(".", 1)[1])]
+    monkeypatch.setattr(S, "SPAN_ROWS", 7)
+    got = S.structure(some).select("file", "kind", "name", "start_line").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
