@@ -27,3 +27,11 @@ def test_definitions_of_many_files_come_from_many_tasks_in_few_batches(spark, mo
     monkeypatch.setattr(S, "SPAN_ROWS", 7)
     got = S.structure(some).select("file", "kind", "name", "start_line").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_chunks_of_many_files_come_from_many_tasks(spark):
+    """No task of polyglot_chunks scans or cuts the files of all rows of `part`."""
+    plan = CQ.polyglot_chunks(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    scans = [i for i, line in enumerate(plan.splitlines()) if "Relation [" in line]
+    dealt = [i for i, line in enumerate(plan.splitlines()) if "Repartition 2, true" in line]
+    assert scans and len(dealt) == len(scans)
