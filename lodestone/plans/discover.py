@@ -132,18 +132,25 @@ def confidence(top: Column, sigma: Column) -> Column:
     return F.when(top >= LEAST_COSINE, sure).otherwise("none")
 
 
+def _kept(few: DataFrame) -> DataFrame:
+    """Few rows, computed now."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def cached_embeddings(paths: DataFrame, texts: DataFrame, stored: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     """path, embedding, fresh of some paths: the first stored vector (path, id, embedding) of each, or a new one of its text."""
     known = stored.join(F.broadcast(paths.select("path")), "path", "left_semi").groupBy("path").agg(F.min_by("embedding", "id").alias("cached"))
-    rows = texts.join(F.broadcast(paths.select("path")), "path", "left_semi").join(known, "path", "left")
+    # Kept, as a condition on vectors would else be moved before the join, and every text embedded.
+    rows = _kept(texts.join(F.broadcast(paths.select("path")), "path", "left_semi").select("path", "text")).join(known, "path", "left")
     return rows.select("path", F.coalesce("cached", embed(F.col("text"))).alias("embedding"), F.col("cached").isNull().alias("fresh"))
 
 
 def cold_start(files: DataFrame, query: str, embed: Callable[[Column], Column], k: int = 5, picks: DataFrame | None = None, stored: DataFrame | None = None, most_seeds: int = SEEDS) -> tuple[DataFrame, DataFrame]:
-    """path, score, rank of files (path, text) explored without an index, and one row: seeds, sigma, top, confidence."""
-    first = seeds(files, query, picks, most_seeds).select("path")
+    """path, score, rank of files (path, text) explored without an index, and one row: seeds, sigma, top, confidence. Seeds and neighbours
+    are a few paths, found once and kept: all files are searched for them only once."""
+    first = _kept(seeds(files, query, picks, most_seeds).select("path"))
     told = files.join(F.broadcast(first), "path", "left_semi").select(F.explode(imports(F.col("text"))).alias("module"))
-    near = import_diffusion(told, files).select("path")
+    near = _kept(import_diffusion(_kept(told), files).select("path"))
     chosen = first.unionByName(near).distinct()
     empty = files.select("path", F.lit(0).alias("id"), F.array().cast("array<float>").alias("embedding")).limit(0)
     vectors = cached_embeddings(chosen, files.select("path", "text"), stored if stored is not None else empty, embed)
@@ -159,6 +166,6 @@ def cross_folder(roots: list[DataFrame], query: str, embed: Callable[[Column], C
     for r in roots[1:]:
         files = files.unionByName(r.select("path", "text"))
     chosen = seed_rank(files, query, most_seeds).select("path")
-    rows = files.join(F.broadcast(chosen), "path", "left_semi").select("path", embed(F.col("text")).alias("embedding"))
+    rows = _kept(files.join(F.broadcast(chosen), "path", "left_semi")).select("path", embed(F.col("text")).alias("embedding"))
     top, one = cosine_top_sigma(rows, embed(F.lit(query)), k)
     return top, one.select("sigma", "top", confidence(F.col("top"), F.col("sigma")).alias("confidence"))

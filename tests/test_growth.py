@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import code_queries as CQ
 from lodestone.operators import evidence as E
+from lodestone.plans import discover as D
 from lodestone.sources import structure as S
 
 DATA = "/root/testdata/sf0.1"
@@ -35,3 +36,18 @@ def test_chunks_of_many_files_come_from_many_tasks(spark):
     scans = [i for i, line in enumerate(plan.splitlines()) if "Relation [" in line]
     dealt = [i for i, line in enumerate(plan.splitlines()) if "Repartition 2, true" in line]
     assert scans and len(dealt) == len(scans)
+
+
+def test_cold_start_embeds_chosen_texts_only(spark):
+    """A condition on vectors isn't moved before the choice of files, where every text would be embedded."""
+    embedded = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embed(text):
+        embedded.add(1)
+        return [float(len(text)), 1.0]
+
+    files = spark.range(3000).select(F.concat(F.lit("src/m"), F.col("id") % 9, F.lit("/f"), "id", F.lit(".py")).alias("path"), F.concat(F.lit("import src.m1.f"), "id").alias("text")).persist()
+    top, one = D.cold_start(files, "src m1", embed)
+    assert top.count() == 5 and one.first().seeds <= 35
+    assert embedded.value < 500
