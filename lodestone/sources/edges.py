@@ -20,6 +20,9 @@ SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 DOCUMENT_SUFFIXES = (".md", ".mdx", ".markdown")
 FOREIGN_CRATES = ("std", "core", "alloc", "tokio", "serde", "anyhow", "log", "tracing", "thiserror", "futures", "bytes", "regex", "chrono")
 
+#: Files whose imports one task looks up.
+TASK_FILES = 50_000
+
 Extractor = Callable[[DataFrame], DataFrame]
 EXTRACTORS: dict[str, tuple[tuple[str, ...], Extractor]] = {}
 
@@ -44,12 +47,14 @@ def file_edges(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def python_imports(files: DataFrame, text: str = "text") -> DataFrame:
-    """src, dst: files imported by absolute or relative name, resolved to the longest prefix that is a file."""
+    """src, dst: files imported by absolute or relative name, resolved to the longest prefix that is a file. Names meet files in tasks
+    of a bounded number of files, whatever number of partitions the session has."""
+    tasks = max(1, -(-files.count() // TASK_FILES))
     module = F.regexp_replace(F.regexp_replace(F.regexp_replace("file", r"\.py$", ""), "/__init__$", ""), "/", ".")
     known = files.select("file", module.alias("module"))
     plain = F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+([\w.]+)"), F.lit(1))
     origin = F.regexp_extract_all(text, F.lit(r"(?m)^\s*from\s+(\.*[\w.]*)\s+import\s+"), F.lit(1))
-    wanted = known.join(files.select("file", F.explode(F.concat(plain, origin)).alias("name")), "file")
+    wanted = files.filter("file IS NOT NULL").select("file", module.alias("module"), F.explode(F.concat(plain, origin)).alias("name"))
     dots = F.char_length(F.regexp_extract("name", r"^(\.*)", 1))
     package = F.when(F.col("file").endswith("__init__.py"), F.col("module")).otherwise(F.regexp_replace("module", r"\.?[^.]*$", ""))
     parts = F.split(package, r"\.")
@@ -58,8 +63,8 @@ def python_imports(files: DataFrame, text: str = "text") -> DataFrame:
     full = F.when(dots > 0, F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(rest, F.lit("")))).otherwise(rest)
     steps = wanted.select(F.col("file").alias("src"), F.monotonically_increasing_id().alias("i"), F.split(full, r"\.").alias("p"))
     prefixes = steps.select("src", "i", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.slice("p", 1, n), "."))).alias("module"))
-    hit = prefixes.join(known.withColumnRenamed("file", "dst"), "module")
-    best = hit.groupBy("src", "i").agg(F.max_by("dst", F.char_length("module")).alias("dst"))
+    hit = prefixes.repartition(tasks, "module").join(known.withColumnRenamed("file", "dst").repartition(tasks, "module"), "module")
+    best = hit.repartition(tasks, "src", "i").groupBy("src", "i").agg(F.max_by("dst", F.char_length("module")).alias("dst"))
     return best.filter("src <> dst").select("src", "dst")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import code_queries as CQ
 from lodestone.operators import evidence as E
 from lodestone.plans import discover as D
+from lodestone.sources import edges as EG
 from lodestone.sources import structure as S
 
 DATA = "/root/testdata/sf0.1"
@@ -51,3 +52,13 @@ def test_cold_start_embeds_chosen_texts_only(spark):
     top, one = D.cold_start(files, "src m1", embed)
     assert top.count() == 5 and one.first().seeds <= 35
     assert embedded.value < 500
+
+
+def test_imports_meet_files_in_tasks_of_bounded_size(spark, monkeypatch):
+    """The number of tasks follows the number of files, not the session's partitions; results don't depend on it."""
+    files = CQ.code(spark, "/root/testdata/sf0.01").persist()
+    assert CQ.code(spark, DATA).rdd.getNumPartitions() > 1
+    want = sorted(map(tuple, EG.python_imports(files).collect()))
+    monkeypatch.setattr(EG, "TASK_FILES", 100)
+    many = EG.python_imports(files)
+    assert many.rdd.getNumPartitions() == 20 and sorted(map(tuple, many.collect())) == want and want
