@@ -62,3 +62,8 @@ def test_imports_meet_files_in_tasks_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(EG, "TASK_FILES", 100)
     many = EG.python_imports(files)
     assert many.rdd.getNumPartitions() == 20 and sorted(map(tuple, many.collect())) == want and want
+
+
+def test_code_chunks_and_their_context_come_from_many_tasks(spark):
+    """Chunks and symbols of candidate_chunks are made in more tasks than `part` has splits."""
+    assert CQ.code_chunks(spark, DATA).rdd.getNumPartitions() > 1
