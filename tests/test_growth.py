@@ -67,3 +67,7 @@ def test_imports_meet_files_in_tasks_of_bounded_size(spark, monkeypatch):
 def test_code_chunks_and_their_context_come_from_many_tasks(spark):
     """Chunks and symbols of candidate_chunks are made in more tasks than `part` has splits."""
     assert CQ.code_chunks(spark, DATA).rdd.getNumPartitions() > 1
+
+
+def test_snippets_are_trimmed_in_many_tasks(spark):
+    assert CQ.snippet_trim(spark, DATA).rdd.getNumPartitions() > 1
