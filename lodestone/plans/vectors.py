@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vector import EPSILON
 
-#: Queries that are sent to the rows at a time, and rows that are compared at a time.
-BLOCK, ROWS = 4096, 4096
+#: Queries that are sent to the rows at a time, and rows that are compared at a time with a part of them.
+BLOCK, ROWS, PART = 4096, 2048, 512
 
 
 def cosine_topk_many(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """query, id, score, rank of the k nearest of rows (id, embedding) to each of queries (query, embedding), ties by id. Queries
-    go out in blocks; a partition keeps k rows a query, and these meet by query. Null vectors and those of another
+    go out in blocks; a partition keeps k rows a query, and these meet by query. A
+    task holds the scores of PART queries and ROWS rows at a time, a few times 8 MB. Null vectors and those of another
     dimension than the query's are compared with none.
 
     Blocks are cut by the queries' order, so a block is at most `block` vectors on the driver; with many blocks the rows are
@@ -42,6 +43,30 @@ def cosine_topk_many(rows: DataFrame, queries: DataFrame, k: int = 10, block: in
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _better(score: np.ndarray | None, ids: pa.Array | None, more: np.ndarray, keys: pa.Array, k: int) -> tuple[np.ndarray, pa.Array]:
+    """The k best (score, id) a query of those so far (a row of scores a query, their ids row after row) and of more (a column for each
+    of keys), ties by id. Only the scores that reach a query's k-th best are put in order."""
+    rank = np.empty(len(keys), np.int64)
+    rank[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    n = min(k, more.shape[1])
+    least = -np.partition(-more, n - 1, axis=1)[:, n - 1]
+    row, place = np.nonzero(~(more < least[:, None]))  # what isn't a number comes last
+    order = np.lexsort((rank[place], -more[row, place], row))
+    row, place = row[order], place[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < n
+    top, own = more[row[first], place[first]].reshape(-1, n), keys.take(pa.array(place[first]))
+    if score is None:
+        return top, own
+    m = score.shape[1]
+    every = pa.concat_arrays([ids, own])
+    at = np.hstack([np.arange(len(ids)).reshape(-1, m), len(ids) + np.arange(len(own)).reshape(-1, n)])
+    both = np.hstack([score, top])
+    rank = np.empty(len(every), np.int64)
+    rank[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
+    order = np.lexsort((rank[at], -both), axis=1)[:, :k]
+    return np.take_along_axis(both, order, 1), every.take(pa.array(np.take_along_axis(at, order, 1).ravel()))
+
+
 def _block(rows: DataFrame, part: pa.Table, size: int, k: int, kinds: dict[str, str]) -> DataFrame:
     names = part.column("query").combine_chunks()
     q = part.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(names), size)
@@ -49,25 +74,20 @@ def _block(rows: DataFrame, part: pa.Table, size: int, k: int, kinds: dict[str,
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, mine, lengths = sent.value
-        best, ids = None, None
+        found: list[tuple] = [(None, None)] * -(-len(queries) // PART)  # for each part of the queries: scores, ids
         for b in batches:
             fits = np.flatnonzero(pc.equal(pc.list_value_length(b.column(1)), size).fill_null(False).to_numpy(zero_copy_only=False))
             for lo in range(0, len(fits), ROWS):
                 some = b.take(pa.array(fits[lo : lo + ROWS]))
                 x = some.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, size)
-                score = (mine @ x.T) / (lengths[:, None] * np.sqrt((x * x).sum(axis=1)) + EPSILON)
-                keys = some.column(0)
-                ids = keys if ids is None else pa.concat_arrays([ids, keys])
-                place = np.broadcast_to(np.arange(len(ids) - len(keys), len(ids)), score.shape)
-                both = (score, place) if best is None else (np.hstack([best[0], score]), np.hstack([best[1], place]))
-                rank = np.empty(len(ids), np.int64)
-                rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-                order = np.lexsort((rank[both[1]], -both[0]), axis=1)[:, :k]
-                best = (np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1))
-                used, at = np.unique(best[1], return_inverse=True)
-                ids, best = ids.take(pa.array(used)), (best[0], at.reshape(best[1].shape))
-        if best is not None:
-            n = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([queries.take(pa.array(np.repeat(np.arange(len(queries)), n))), ids.take(pa.array(best[1].ravel())), pa.array(best[0].ravel())], ["query", "id", "score"])
+                norms = np.sqrt((x * x).sum(axis=1))
+                for p in range(len(found)):
+                    own = slice(p * PART, (p + 1) * PART)
+                    score = (mine[own] @ x.T) / (lengths[own, None] * norms + EPSILON)
+                    found[p] = _better(*found[p], score, some.column(0), k)
+        for p, (score, ids) in enumerate(found):
+            if score is not None:
+                names = np.repeat(np.arange(p * PART, p * PART + len(score)), score.shape[1])
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(names)), ids, pa.array(score.ravel())], ["query", "id", "score"])
 
     return rows.select("id", "embedding").mapInArrow(near, f"query {kinds['query']}, id {kinds['id']}, score double")

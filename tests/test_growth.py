@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone import code_queries as CQ
 from lodestone.operators import evidence as E
 from lodestone.plans import discover as D
+from lodestone.plans import vectors as X
 from lodestone.sources import edges as EG
 from lodestone.sources import structure as S
 
@@ -71,3 +72,18 @@ def test_code_chunks_and_their_context_come_from_many_tasks(spark):
 
 def test_snippets_are_trimmed_in_many_tasks(spark):
     assert CQ.snippet_trim(spark, DATA).rdd.getNumPartitions() > 1
+
+
+def test_nearest_of_many_queries_hold_few_scores(spark, monkeypatch):
+    """Parts of queries and rows are smaller than both; ties go by id, and no two large tables of scores are held."""
+    rows = spark.createDataFrame([(i * 7 % 1000, [float(i % 5), float(i % 3), 1.0]) for i in range(1000)], "id long, embedding array<float>")
+    queries = rows.filter("id % 9 = 0").select(F.col("id").alias("query"), "embedding")
+    want = sorted(map(tuple, X.cosine_topk_many(rows, queries, 6).select("query", "rank", "id").collect()))
+    assert X.PART * X.ROWS * 8 <= 16_000_000
+    vs = {r.id: r.embedding for r in rows.collect()}
+    score = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5 + 1e-8)
+    plain = [(q, n, i) for q in vs if q % 9 == 0 for n, (_, i) in enumerate(sorted((-round(score(vs[q], v), 12), i) for i, v in vs.items())[:6], 1)]
+    assert want == sorted(plain)
+    monkeypatch.setattr(X, "PART", 10)
+    monkeypatch.setattr(X, "ROWS", 33)
+    assert sorted(map(tuple, X.cosine_topk_many(rows.repartition(3), queries, 6).select("query", "rank", "id").collect())) == want
