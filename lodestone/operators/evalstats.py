@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,25 +62,79 @@ def paired_efficiency(trials: DataFrame, treatment: str, baseline: str, field: s
     )
 
 
-def bootstrap_medians(tasks: DataFrame, samples: int = 2000, seed: int = 20260814) -> DataFrame:
+#: Up to so many tasks, their values are sent to where the draws are made, 12 bytes a task.
+BOOTSTRAP_TASKS = 4_000_000
+
+
+def bootstrap_medians(tasks: DataFrame, samples: int = 2000, seed: int = 20260814, most: int = BOOTSTRAP_TASKS) -> DataFrame:
     """sample, value: medians of tasks (repo, task_id, value) drawn repo by repo, then task by task, with replacement.
     Draws are hashes of (seed, sample, place), so they don't depend on partitions. Input is one row a task; tasks and repositories are
-    numbered, a draw is a row with a number, and a join gives it its value, so that no row or broadcast holds all tasks. Equal
-    values of a sample are counted before its median is found. Null repositories are one; without tasks there are no samples."""
+    numbered, and a draw is a row with a number. Up to `most` tasks, the values are one bounded broadcast and draws stay where they are made:
+    no draw is shuffled, and a task holds one sample's draws. Beyond, a join gives a draw its value, so that no row or broadcast
+    holds all tasks, and equal values of a sample are counted before its median is found; the draws are the same. Null repositories are one; without tasks
+    there are no samples."""
     draw = lambda *at: F.pmod(F.xxhash64(F.lit(seed), "sample", *at[:-1]), at[-1]).cast("int")
     numbered = tasks.select("repo", "value", (F.row_number().over(Window.partitionBy("repo").orderBy("task_id", "value")) - 1).alias("k"))
     repos = tasks.groupBy("repo").agg(F.count(F.lit(1)).cast("int").alias("n"))
     # Only repositories are numbered over all, and their number is a bound of what one task sees here.
     repos = repos.select("repo", "n", (F.row_number().over(Window.orderBy("repo")) - 1).alias("r"))
     total = repos.agg(F.count(F.lit(1)).cast("int").alias("repos"))
-    places = tasks.sparkSession.range(samples).select(F.col("id").alias("sample")).crossJoin(F.broadcast(total)).filter("repos > 0")
+    here = tasks.count() <= most
+    places = tasks.sparkSession.range(0, samples, 1, min(max(samples, 1), 256)).select(F.col("id").alias("sample")).crossJoin(F.broadcast(total)).filter("repos > 0")
     places = places.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("repos"))))
-    picked = places.select("sample", "i", draw(F.col("i"), F.col("repos")).alias("r")).join(repos, "r")
+    picked = places.select("sample", "i", draw(F.col("i"), F.col("repos")).alias("r")).join(F.broadcast(repos) if here else repos, "r")
+    if here:
+        drawn = picked.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n")))).select("sample", "r", draw(F.col("i"), F.col("j"), F.col("n")).alias("k"))
+        return _medians(drawn, numbered.join(F.broadcast(repos.select(F.col("repo").alias("__repo"), "r")), F.col("repo").eqNullSafe(F.col("__repo"))).select("r", "k", "value"))
     slots = picked.withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n")))).select("sample", F.col("repo").alias("__repo"), draw(F.col("i"), F.col("j"), F.col("n")).alias("__k"))
     drawn = slots.join(numbered, F.col("__repo").eqNullSafe(F.col("repo")) & (F.col("__k") == F.col("k"))).groupBy("sample", "value").agg(F.count(F.lit(1)).alias("times"))
     return drawn.groupBy("sample").agg(F.percentile("value", 0.5, F.col("times")).alias("value"))
 
 
+def _medians(drawn: DataFrame, values: DataFrame) -> DataFrame:
+    """sample, value: the median of the values (r, k, value) that a sample drew (sample, r, k), nulls left out. A sample's draws lie one
+    after another in one partition."""
+    known = values.toArrow()
+    r, k = (known.column(c).to_numpy() for c in ("r", "k"))
+    order = np.lexsort((k, r))
+    starts = np.searchsorted(r[order], np.arange((r.max() if len(r) else 0) + 2))
+    x, null = known.column("value").to_numpy()[order].astype(np.float64), known.column("value").is_null().to_numpy()[order]
+    levels, place = np.unique(x[~null], return_inverse=True)
+    rank = np.full(len(x), len(levels), np.int32)
+    rank[~null] = place
+    sent = drawn.sparkSession.sparkContext.broadcast((starts, rank, levels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, rank, levels = sent.value
+
+        def told(sample: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            mine = np.concatenate(parts)
+            mine = mine[mine < len(levels)]
+            value = None
+            if len(mine):
+                at = ((len(mine) - 1) // 2, len(mine) // 2)
+                low, high = levels[np.partition(mine, at)[list(at)]]
+                value = low if low == high else 0.5 * low + 0.5 * high
+            return pa.RecordBatch.from_arrays([pa.array([sample], pa.int64()), pa.array([value], pa.float64())], ["sample", "value"])
+
+        now, parts = None, []
+        for b in batches:
+            sample, r, k = (c.to_numpy() for c in b.columns)
+            ranks = rank[starts[r] + k]
+            cuts = [0, *(np.flatnonzero(np.diff(sample)) + 1), len(sample)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if parts and sample[lo] != now:
+                        yield told(int(now), parts)
+                        parts = []
+                    now = sample[lo]
+                    parts.append(ranks[lo:hi])
+        if parts:
+            yield told(int(now), parts)
+
+    return drawn.mapInArrow(run, "sample long, value double")
+
+
 def policy_totals(trials: DataFrame) -> DataFrame:
     return trials.groupBy("policy").agg(
         F.count(F.lit(1)).alias("trials"), F.sum("context_tokens").alias("context_tokens"), F.sum("tool_calls").alias("tool_calls"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import code_queries as CQ
+from lodestone.operators import evalstats as S2
 from lodestone.operators import evidence as E
 from lodestone.plans import discover as D
 from lodestone.plans import vectors as X
@@ -87,3 +88,14 @@ def test_nearest_of_many_queries_hold_few_scores(spark, monkeypatch):
     monkeypatch.setattr(X, "PART", 10)
     monkeypatch.setattr(X, "ROWS", 33)
     assert sorted(map(tuple, X.cosine_topk_many(rows.repartition(3), queries, 6).select("query", "rank", "id").collect())) == want
+
+
+def test_bootstrap_draws_are_not_shuffled_and_are_those_of_the_join(spark):
+    """Values sent and values joined give the same medians, with nulls, a null repository and equal values; only the few rows of the result could move."""
+    data = [(None if i % 7 == 0 else f"r{i % 3}", f"t{i}", None if i % 11 == 0 else float(i % 13)) for i in range(300)]
+    tasks = spark.createDataFrame(data, "repo string, task_id string, value double")
+    got = S2.bootstrap_medians(tasks, 40)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S2.bootstrap_medians(tasks, 40, most=0).collect()))
+    assert got.count() == 40 and S2.bootstrap_medians(tasks.limit(0), 40).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1]
+    assert "Aggregate [sample" not in plan
