@@ -458,6 +458,14 @@ def scratch(spark) -> str:
     return f"{found.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, written once to the scratch folder by the tasks that make them and read back. Conditions on what is made of rows are moved
+    before an exchange that deals them out, into the few splits; from a stored table they aren't."""
+    path = f"{scratch(rows.sparkSession)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def stream_index_upsert(spark, d):
     """documents, streamed in micro-batches into an index of its own in the scratch folder, then read back."""
     home = scratch(spark)

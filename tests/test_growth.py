@@ -71,6 +71,14 @@ def test_code_chunks_and_their_context_come_from_many_tasks(spark):
     assert CQ.code_chunks(spark, DATA).rdd.getNumPartitions() > 1
 
 
+def test_conditions_on_texts_hold_after_files_are_dealt_out(spark):
+    """No condition on what is made of rows stands below the exchange that deals them out, where few tasks would check all texts."""
+    for df in (CQ.candidate_chunks(spark, DATA), CQ.candidate_recall(spark, DATA)):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [x for i, line in enumerate(lines) if "Repartition" in line for x in lines[i + 1 : i + 4] if "Filter" in x]
+        assert not [x for x in lines if "p_partkey" in x and "Relation" in x]
+
+
 def test_snippets_are_trimmed_in_many_tasks(spark):
     assert CQ.snippet_trim(spark, DATA).rdd.getNumPartitions() > 1
 
