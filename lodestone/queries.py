@@ -14,6 +14,7 @@ from lodestone.functions import vector as V
 from lodestone.operators import evalstats as S
 from lodestone.operators import evidence as E
 from lodestone.operators import graph as G
+from lodestone.operators import grams
 from lodestone.operators import likeness
 from lodestone.operators import rank as R
 from lodestone.plans import planner as P
@@ -430,13 +431,10 @@ def turn_budget(spark, d):
 def ngram_centroid(spark, d):
     """Language of every document by cosine with centroids of character trigrams of the other fold's whole texts (folds by
     id). A text without a known trigram has no language."""
-    low = F.lower("text")
-    grams = F.when(F.char_length(low) < 3, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text", F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)).alias("fold"))
-    c = docs.filter("lang IS NOT NULL").select((1 - F.col("fold")).alias("fold"), "lang", F.explode(grams).alias("g")).groupBy("fold", "lang", "g").agg(F.count(F.lit(1)).alias("w"))
-    size = c.groupBy("fold", "lang").agg(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("len"))
-    dots = docs.select("doc_id", "fold", F.explode(grams).alias("g")).join(F.broadcast(c), ["fold", "g"]).groupBy("doc_id", "fold", "lang").agg(F.sum("w").alias("dot"))
-    best = dots.join(F.broadcast(size), ["fold", "lang"]).select("doc_id", "lang", (F.col("dot") / F.col("len")).alias("score"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("name"), F.lower("text").alias("text"), F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)).alias("fold"))
+    c = stored(grams.counts(docs.filter("name IS NOT NULL").withColumn("fold", 1 - F.col("fold"))))
+    size = c.groupBy("fold", "name").agg(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("len"))
+    best = grams.dots(docs, "doc_id", c).join(F.broadcast(size), ["fold", "name"]).select("doc_id", F.col("name").alias("lang"), (F.col("dot") / F.col("len")).alias("score"))
     best = R.best_per_key(best, ["doc_id"], [F.desc(F.round("score", 9)), F.col("lang")]).select(F.col("doc_id").alias("id"), F.col("lang").alias("predicted"))
     return docs.join(best, docs["doc_id"].eqNullSafe(best["id"]), "left").select("doc_id", "predicted")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone import code_queries as CQ
+from lodestone import queries as Q
 from lodestone.operators import evalstats as S2
 from lodestone.operators import evidence as E
+from lodestone.operators import grams
 from lodestone.plans import discover as D
 from lodestone.plans import intents as I
 from lodestone.plans import vectors as X
@@ -94,6 +96,32 @@ def test_questions_are_scored_where_they_are_read(spark):
     assert "Generate explode" not in plan and CQ.user_turns(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 1
 
 
+def test_trigrams_are_summed_where_texts_are_read(spark, monkeypatch):
+    """No row for each trigram of a text; sums are those of a plain count, by weights that are sent and by a join, in parts of any size: short, null and astral
+    texts, a null key and one that repeats."""
+    plan = Q.ngram_centroid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan
+    texts = ["", "a", "ab", "abc", "abcd", None, "😀b😀b😀b", "a\0b\0", "abcabcabc", "a", "\0\0"]
+    rows = [(i if i not in (4, 8) else (None if i == 4 else 3), i % 2, "xyz"[i % 3], t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, fold int, name string, text string")
+    cut = lambda t: [] if t is None else [t[i : i + 3] for i in range(max(len(t) - 2, 1))]
+    weights, want = {}, {}
+    for _, f, k, t in rows:
+        for g in cut(t):
+            weights[f, k, g] = weights.get((f, k, g), 0) + 1
+    for i, f, _, t in rows:
+        for g in cut(t):
+            for k in "xyz":
+                if (f, k, g) in weights:
+                    want[i, f, k] = want.get((i, f, k), 0) + weights[f, k, g]
+    for size in (grams.PART_CHARS, 1):
+        monkeypatch.setattr(grams, "PART_CHARS", size)
+        c = grams.counts(docs).persist()
+        assert sorted(r.w for r in c.collect()) == sorted(weights.values())
+        for most in (grams.MOST_WEIGHTS, 0):
+            assert {(r.id, r.fold, r.name): r.dot for r in grams.dots(docs, "id", c, most=most).collect()} == want
+
+
 def test_snippets_are_trimmed_in_many_tasks(spark):
     assert CQ.snippet_trim(spark, DATA).rdd.getNumPartitions() > 1
 
