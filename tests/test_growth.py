@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone import code_queries as CQ
 from lodestone import queries as Q
+from lodestone.functions import text as T
 from lodestone.operators import evalstats as S2
 from lodestone.operators import evidence as E
 from lodestone.operators import grams
@@ -122,6 +123,17 @@ def test_trigrams_are_summed_where_texts_are_read(spark, monkeypatch):
             assert {(r.id, r.fold, r.name): r.dot for r in grams.dots(docs, "id", c, most=most).collect()} == want
 
 
+def test_lines_are_split_once(spark):
+    """The same lines as by a choice of two patterns, at any line ends, and one split in the plan."""
+    texts = ["", "a", "a\n", "\n", "\n\n", "a\r\nb", "a\r\r\nb\r", "\r\n", "a\n\rb", "x\x0by\x0cz\x1cq\x1dr\x1es\x85t\u2028u\u2029", None, "a\\nb", "é\r\n😀\n\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    plain = F.split("text", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    plain = F.when(F.element_at(plain, -1) == "", F.slice(plain, 1, F.size(plain) - 1)).otherwise(plain)
+    found = rows.select("i", T.lines(F.col("text")).alias("got"), plain.alias("want")).collect()
+    assert all(r.got == r.want for r in found) and found[0].got == [] and found[10].got is None
+    assert rows.select(T.lines(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_snippets_are_trimmed_in_many_tasks(spark):
     assert CQ.snippet_trim(spark, DATA).rdd.getNumPartitions() > 1
 
