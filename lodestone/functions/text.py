@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ AUTHORITIES = ("CONTRIBUTING", "GUIDE", "POLICY", "README", "REFERENCE", "RELEAS
 VERSION = r"(?i)(?<![A-Za-z0-9])v?(\d{1,9}\.\d{1,9}(?:\.\d{1,9})?(?:[-+][A-Za-z0-9.-]{1,64})?)"
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -180,7 +186,7 @@ def lines(text: Column) -> Column:
     """A text's lines at any line end; an end at the end of the text begins no line."""
     # The text is split once, by single characters: a choice of two patterns costs several times as much.
     rows = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    return F.get(F.transform(F.array(rows), lambda r: F.when(F.element_at(r, -1) == "", F.slice(r, 1, F.size(r) - 1)).otherwise(r)), F.lit(0))
+    return once(rows, lambda r: F.when(F.element_at(r, -1) == "", F.slice(r, 1, F.size(r) - 1)).otherwise(r))
 
 
 def folder(path: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestone import code_queries as CQ
@@ -12,6 +14,7 @@ from lodestone.operators import evidence as E
 from lodestone.operators import grams
 from lodestone.plans import discover as D
 from lodestone.plans import intents as I
+from lodestone.plans import outline as O
 from lodestone.plans import vectors as X
 from lodestone.sources import corpus as C
 from lodestone.sources import edges as EG
@@ -186,6 +189,41 @@ def test_snippets_are_trimmed_in_many_tasks(spark):
     assert CQ.snippet_trim(spark, DATA).rdd.getNumPartitions() > 1
 
 
+def test_snippets_are_worked_out_once(spark):
+    """The header is read, and the text split into lines, once a snippet; declarations are told by their own patterns only. Snippets are those of a plain version: null,
+    blank, short and long texts, headers with and without a symbol, any line ends."""
+    plan = CQ.snippet_trim(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("symbol: ([^") == 1 and " throws " not in plan
+    pieces = ["[file: a] [lang: b] [symbol: f]\n\n", "[file: a]\n", "[symbol: ]\n", "def f():\n", " has TOKEN\n", "\n", "\r\n", "class K\r", "é😀\n", "filler filler\n", "   \n", "y", "\x0bz\n"]
+    texts = [None, "", "\n", "[file: a]", *("".join(pieces[(i * i + i * j + j * j * j) % 13] for j in range(i % 23 + 1)) for i in range(300))]
+
+    def plain(text, budget):
+        if text is None:
+            return None
+        first, end, rest = text.partition("\n")
+        symbol = re.search(r"\[symbol: ([^\]]+)\]", first)
+        body = (f"[symbol: {symbol[1]}]\n" if symbol else "") + rest.lstrip("\n") if re.search(r"^\[file: [^\]]*\](?: \[[^\]]*\])*\s*$", first.strip(" ")) else text
+        if len(text) <= budget:
+            return body
+        ls = re.split("\r\n|[\n\r\x0b]", body)
+        ls = ls[:-1] if ls[-1] == "" else ls
+        hit = {i for i, x in enumerate(ls) if "token" in x.lower() or re.search(r"^\s*(def|class)\b", x)}
+        top = next((i for i, x in enumerate(ls) if x.strip()), None)
+        out, used, last = [], 0, -2
+        for i, x in enumerate(ls):
+            if i == top or hit & {i - 1, i, i + 1}:
+                piece = x if i == last + 1 or not out else f"⋯\n{x}"
+                if used + len(piece) + 1 > budget:
+                    break
+                out, used, last = [*out, piece], used + len(piece) + 1, i
+        return "\n".join([*out, *["⋯"] * (last < len(ls) - 1)])
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for budget in (0, 40, 1200):
+        got = {r.i: r.t for r in rows.select("i", O.trim_snippet(F.col("s"), ["token"], budget).alias("t")).collect()}
+        assert [got[i] for i in range(len(texts))] == [plain(t, budget) for t in texts]
+
+
 def test_nearest_of_many_queries_hold_few_scores(spark, monkeypatch):
     """Parts of queries and rows are smaller than both; ties go by id, and no two large tables of scores are held."""
     rows = spark.createDataFrame([(i * 7 % 1000, [float(i % 5), float(i % 3), 1.0]) for i in range(1000)], "id long, embedding array<float>")
