@@ -96,6 +96,15 @@ def test_files_are_cut_where_they_are_read(spark, monkeypatch):
         assert sorted(str(tuple(r)) for r in S.code_chunks(files, max_lines=5).collect()) == sorted(map(str, want))
 
 
+def test_lines_of_spans_need_no_names():
+    """Chunks only need the lines of spans: without names those of several lines are the same; a run of words is read as one token, at any lengths."""
+    texts = ["pub fn a() {\n  x\n}\nimpl S { fn b() {}\n}\n", "class A {\n  int f(int a,\n int b) { return 1; }\n}\n", f"{'w' * 65} {'v' * 64} u{'t' * 130} r#\"}}\"# {{\n;\n}}", "a b'x' c\n d, e f {\n}\n#if x\ny z\n"]
+    for text in texts:
+        for suffix in ("rs", "ts", "java", "go", "c", "py"):
+            lines = [{(s[4], s[3]) for s in S.spans(text, suffix, named) if s[3] > s[4]} for named in (True, False)]
+            assert lines[0] == lines[1] and lines[0]
+
+
 def test_cold_start_embeds_chosen_texts_only(spark):
     """A condition on vectors isn't moved before the choice of files, where every text would be embedded."""
     embedded = spark.sparkContext.accumulator(0)
